@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nightloom.llm import common, exact_dedup, near_dedup, quality
+from nightloom.llm import common, exact_dedup, near_dedup, packing, quality, secrets
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_copies(docs)
 
 
-STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage)]
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.mask_secrets(docs, length_col="n_chars")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("secrets", secret_stage), ("packing", packing_stage)]
 
 #: The posterior, the signatures and the tokenizer are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from nightloom.plans import space_queries, time_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = None
+for part in (time_queries, space_queries):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.SQL
+
+FLAGSHIP = time_queries.longest_clear_window

@@ -31,6 +31,8 @@ WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 5
 FIRST_CELL = 1 / 16
 #: Bytes of text that are hashed at once, and rows of a block in block comparisons.
 SLICE, BLOCK = 1 << 20, 256
+#: Rounds in which members outside a bucket's largest class meet one of it, before the rest is compared in blocks.
+MEETINGS = 2
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -234,7 +236,7 @@ def blocks(pdf, similar: float):
     """
     import pandas as pd
 
-    sets = [np.asarray(x, np.int64) for x in pdf["elements"]]
+    sets = [np.unique(np.asarray(x)) for x in pdf["elements"]]
     vocab, code = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(x) for x in sets])
     begin = np.cumsum(sizes) - sizes
@@ -255,6 +257,15 @@ def blocks(pdf, similar: float):
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
+def still_open(met: DataFrame, comps: DataFrame, named) -> DataFrame:
+    """Members of buckets that hold several classes, without the pivot, which everybody has met: key, node, comp, large (of the
+    bucket's largest class), n_large, n_small."""
+    rows = named(met.filter("node != pivot").select("key", "node"), "node", "comp", comps)
+    each = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = each.groupBy("key").agg(F.max_by("comp", "n").alias("top"), F.max("n").alias("n_large"), (F.sum("n") - F.max("n")).alias("n_small")).filter("n_small > 0")
+    return rows.join(most, "key").select("key", "node", "comp", (F.col("comp") == F.col("top")).alias("large"), "n_large", "n_small")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size.
 
@@ -303,20 +314,31 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Then the other pivots that are still of another class.
     rest = named(named(pairs.join(first, ["a", "b"], "left_anti"), "a", "of_a", comps), "b", "of_b", comps).filter("of_a != of_b").select("a", "b")
     comps = joined(comps, settle(verified(rest)))
-    # Last, members of a bucket of which neither is the pivot.
-    left = settle(named(met.filter("node != pivot"), "node", "comp", comps))
-    open_keys = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    left = settle(left.join(open_keys, "key").select("key", "node", "comp", "nb", F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int").alias("mine")))
+    # Then members of a bucket that still holds several classes: those outside its largest class meet members of that.
+    for seed in range(MEETINGS):
+        left = settle(still_open(met, comps, named))
+        if left.isEmpty():
+            break
+        other = left.filter("large").groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key", F.lit(seed))).alias("pivot"))
+        again = left.filter("not large").join(other, "key").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        comps = joined(comps, settle(verified(again)))
+    # Last, whoever is still outside meets everybody of the bucket, in blocks of bounded size.
+    left = settle(still_open(met, comps, named))
     if not left.isEmpty():
-        spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        tag = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("large"), blocks_of("n_large")).otherwise(blocks_of("n_small"))).cast("int")
+        mine = left.withColumn("few", blocks_of("n_small")).withColumn("mine", tag + F.when(F.col("large"), F.col("few")).otherwise(0))
+        last = F.when(F.col("large"), F.col("few")).otherwise(F.col("few") + blocks_of("n_large")) - 1
+        spread = mine.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
             "key", "node", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("half")
         )
         # buckets of the same members in several bands are compared once
         task = spread.groupBy("key", "i", "j").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.count(F.lit(1)).alias("c"))
         task = task.groupBy("s", "c", "i", "j").agg(F.min("key").alias("key")).select("key", "i", "j")
-        held = spread.join(task, ["key", "i", "j"]).join(sets, "node")
+        short = sets.select("node", F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")).alias("elements"))  # half the bytes, no fewer matches
+        held = spread.join(task, ["key", "i", "j"]).join(short, "node")
         links = held.groupBy("key", "i", "j").applyInPandas(lambda pdf: blocks(pdf, similar), "a long, b long").distinct()
-        comps = joined(comps, settle(links))
+        comps = joined(comps, settle(verified(settle(links))))
     labels = nodes.join(comps, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))
     rows_ = settle(full.join(labels, "print").select("doc_id", "comp"))
     named_by = rows_.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))

@@ -23,7 +23,11 @@ def sentences(text: Column) -> Column:
 
 def claims(docs: DataFrame, keys: list[str], text: str, kinds: list[str] | None = None) -> DataFrame:
     """A row per claim: keys, kind, claim. Sentences are gone through where the text is; only claims go on."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(1)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("claim"))) for k in kinds or PATTERNS]
+
+    def of(kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("claim")))
+
+    found = [of(k) for k in kinds or PATTERNS]
     return docs.select(*keys, F.explode(F.concat(*found)).alias("c")).select(*keys, "c.kind", "c.claim")
 
 

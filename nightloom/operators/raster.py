@@ -57,7 +57,7 @@ def convolved(raster: DataFrame, block: int, radius: int, weight) -> DataFrame:
 
     n = 1 << math.ceil(math.log2(block + 4 * radius + 1))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         by, bx = key
         grid = np.zeros((n, n))
         y, x = (pdf["iy"] - by * block + radius).to_numpy(), (pdf["ix"] - bx * block + radius).to_numpy()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,30 +59,44 @@ def from_equidistant(x: Column, y: Column, lat0: float, lon0: float, radius: flo
     return lat, lon0 + F.degrees(F.atan2(x * F.sin(c), rho * math.cos(p0) * F.cos(c) - y * math.sin(p0) * F.sin(c)))
 
 
-def direct(lat: Column, lon: Column, bearing: Column, distance: Column, rounds: int = 6) -> tuple[Column, Column]:
-    """End point on the ellipsoid by Vincenty's direct formula. The iteration gains several digits each round and is written
-    out ``rounds`` times."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with ``value`` named once: a lambda's parameter keeps an expression from being written out where it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def direct(lat: Column, lon: Column, bearing: Column, distance: Column, rounds: int = 6) -> Column:
+    """struct(lat, lon) of the end point on the ellipsoid by Vincenty's direct formula; each of the ``rounds`` of its iteration
+    gains several digits."""
     minor = MAJOR * (1 - FLATTENING)
-    u1 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat)))
-    a1 = F.radians(bearing)
-    s1 = F.atan2(F.tan(u1), F.cos(a1))
-    sin_a = F.cos(u1) * F.sin(a1)
-    cos2_a = 1 - sin_a * sin_a
-    u2 = cos2_a * (MAJOR**2 - minor**2) / minor**2
-    big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-    big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-    sigma = distance / (minor * big_a)
-    for _ in range(rounds):
-        m = F.cos(2 * s1 + sigma)
-        d = big_b * F.sin(sigma) * (m + big_b / 4 * (F.cos(sigma) * (-1 + 2 * m * m) - big_b / 6 * m * (-3 + 4 * F.pow(F.sin(sigma), 2)) * (-3 + 4 * m * m)))
-        sigma = distance / (minor * big_a) + d
-    m = F.cos(2 * s1 + sigma)
-    x = F.sin(u1) * F.sin(sigma) - F.cos(u1) * F.cos(sigma) * F.cos(a1)
-    lat2 = F.atan2(F.sin(u1) * F.cos(sigma) + F.cos(u1) * F.sin(sigma) * F.cos(a1), (1 - FLATTENING) * F.sqrt(sin_a * sin_a + x * x))
-    turn = F.atan2(F.sin(sigma) * F.sin(a1), F.cos(u1) * F.cos(sigma) - F.sin(u1) * F.sin(sigma) * F.cos(a1))
-    c = FLATTENING / 16 * cos2_a * (4 + FLATTENING * (4 - 3 * cos2_a))
-    turn = turn - (1 - c) * FLATTENING * sin_a * (sigma + c * F.sin(sigma) * (m + c * F.cos(sigma) * (-1 + 2 * m * m)))
-    return F.degrees(lat2), lon + F.degrees(turn)
+
+    def with_start(p: Column) -> Column:
+        sin_a = F.cos(p["u1"]) * F.sin(p["a1"])
+        u2 = (1 - sin_a * sin_a) * (MAJOR**2 - minor**2) / minor**2
+        a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
+        b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+        return let(F.struct(p["u1"].alias("u1"), p["a1"].alias("a1"), F.atan2(F.tan(p["u1"]), F.cos(p["a1"])).alias("s1"), sin_a.alias("sin_a"), (distance / (minor * a)).alias("s0"), b.alias("b")), with_line)
+
+    def with_line(q: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            def longer(m: Column) -> Column:
+                inner = F.cos(s) * (-1 + 2 * m * m) - q["b"] / 6 * m * (-3 + 4 * F.sin(s) * F.sin(s)) * (-3 + 4 * m * m)
+                return q["s0"] + q["b"] * F.sin(s) * (m + q["b"] / 4 * inner)
+
+            return let(F.cos(2 * q["s1"] + s), longer)
+
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), q["s0"], step), lambda s: end(q, s))
+
+    def end(q: Column, s: Column) -> Column:
+        u1, a1, sin_a = q["u1"], q["a1"], q["sin_a"]
+        x = F.sin(u1) * F.sin(s) - F.cos(u1) * F.cos(s) * F.cos(a1)
+        lat2 = F.atan2(F.sin(u1) * F.cos(s) + F.cos(u1) * F.sin(s) * F.cos(a1), (1 - FLATTENING) * F.sqrt(sin_a * sin_a + x * x))
+        turn = F.atan2(F.sin(s) * F.sin(a1), F.cos(u1) * F.cos(s) - F.sin(u1) * F.sin(s) * F.cos(a1))
+        cos2_a, m = 1 - sin_a * sin_a, F.cos(2 * q["s1"] + s)
+        c = FLATTENING / 16 * cos2_a * (4 + FLATTENING * (4 - 3 * cos2_a))
+        turn = turn - (1 - c) * FLATTENING * sin_a * (s + c * F.sin(s) * (m + c * F.cos(s) * (-1 + 2 * m * m)))
+        return F.struct(F.degrees(lat2).alias("lat"), (lon + F.degrees(turn)).alias("lon"))
+
+    return let(F.struct(F.atan((1 - FLATTENING) * F.tan(F.radians(lat))).alias("u1"), F.radians(bearing).alias("a1")), with_start)
 
 
 def apparent_angle(rise: Column, distance: Column, k: float = 0.13, radius: float = EARTH_M) -> Column:

@@ -13,8 +13,8 @@ def ray_points(sites: DataFrame, reach: int = 50_000, step: int = 100, azimuths:
     """A point every ``step`` metres of each azimuth's ray: site columns, az, d, lat2, lon2. All rows are made where the site
     is, and nothing of them is kept: what follows is a join with the elevation table and an aggregation."""
     rays = sites.withColumn("az", F.explode(F.sequence(F.lit(0), F.lit(azimuths - 1)))).withColumn("d", F.explode(F.sequence(F.lit(step), F.lit(reach), F.lit(step))))
-    lat2, lon2 = direct(F.col("lat"), F.col("lon"), F.col("az").cast("double") * (360.0 / azimuths), F.col("d").cast("double"))
-    return rays.withColumn("lat2", lat2).withColumn("lon2", lon2)
+    end = direct(F.col("lat"), F.col("lon"), F.col("az").cast("double") * (360.0 / azimuths), F.col("d").cast("double"))
+    return rays.withColumn("end", end).withColumn("lat2", F.col("end.lat")).withColumn("lon2", F.col("end.lon")).drop("end")
 
 
 def horizon(points: DataFrame, keys: list[str], elevation: str, own: str) -> DataFrame:

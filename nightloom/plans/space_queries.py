@@ -257,7 +257,7 @@ def altitude_range_interp(spark, sf_dir):
     return terrain.interpolated_range(frames, windows, ["k"])
 
 
-@query("""WITH f AS (SELECT i, i * 20 % 1440 AS m FROM range(60) t(i)), e AS (SELECT event_id, hour(ts) * 60 + minute(ts) AS at FROM events), d AS (SELECT event_id, i, abs((m - at + 1440 + 720) % 1440 - 720) AS d FROM e, f)
+@query("""WITH f AS (SELECT i, i * 20 % 1440 AS m FROM range(60) t(i)), e AS (SELECT event_id, hour(ts) * 60 + minute(ts) AS w FROM events), d AS (SELECT event_id, i, abs((m - w + 1440 + 720) % 1440 - 720) AS d FROM e, f)
     SELECT event_id, CAST(i AS INTEGER) AS frame FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, i) AS n FROM d) WHERE n = 1 AND d <= 10""")
 def nearest_within_tolerance(spark, sf_dir):
     """The nearest of sixty frames by the clock, at most ten minutes off: a lookup over an array, no join."""
@@ -399,5 +399,15 @@ def target_windows(spark, sf_dir):
 
 @query()
 def vincenty_points(spark, sf_dir):
-    lat, lon = geo.direct(F.col("lat"), F.col("lon"), (F.col("id") * 17 % 360).cast("double"), (F.col("id") * 311 % 50_000 + 100).cast("double"))
-    return inputs.sites(spark, sf_dir).select("id", F.round(lat, 7).alias("lat2"), F.round(lon, 7).alias("lon2"))
+    """End points of rays on the ellipsoid: the iteration has no SQL; tests hold it against a scalar loop."""
+    end = geo.direct(F.col("lat"), F.col("lon"), (F.col("id") * 17 % 360).cast("double"), (F.col("id") * 311 % 50_000 + 100).cast("double"))
+    return inputs.sites(spark, sf_dir).select("id", end.alias("e")).select("id", F.round("e.lat", 7).alias("lat2"), F.round("e.lon", 7).alias("lon2"))
+
+
+@query()
+def horizon_profile(spark, sf_dir):
+    """Horizons of a few sites from rays over an elevation table: points, tile lookup, greatest angle of each azimuth."""
+    s = inputs.few_sites(spark, sf_dir).filter("id < 3").withColumn("own", F.lit(300.0))
+    points = terrain.ray_points(s, reach=3000, step=100, azimuths=36)
+    e = ((F.floor(F.col("lat2") * 2000) * 31 + F.floor(F.col("lon2") * 2000) * 17) % 900).cast("double")
+    return terrain.horizon(points.withColumn("elev", e), ["id"], "elev", "own").select("id", "az", F.round("angle", 6).alias("angle"), "distance")

@@ -50,9 +50,11 @@ RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
 LONGEST = max(map(len, COMMON))
 #: Rows of the keyboard and the two sequences that count as walks in either direction.
 WALKS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789", "qazwsxedcrfvtgbyhnujmikolp")
-STEPS = frozenset(p for w in WALKS for a, b in zip(w, w[1:], strict=False) for p in (a + b, b + a))
+FORWARD = frozenset(a + b for w in WALKS for a, b in zip(w, w[1:], strict=False))
+STEPS = FORWARD | frozenset(p[::-1] for p in FORWARD)
 LEET = str.maketrans("@4301$57", "aaeoisst")
-DATE = re.compile(r"(?:(?:19|20)\d\d([-./]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-./]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:1[0-2]|0?[1-9])", r"(?:3[01]|[12]\d|0?[1-9])"
+DATE = re.compile(rf"(?:{_YEAR}([-./]?){_MONTH}\1{_DAY}|{_DAY}([-./]?){_MONTH}\2{_YEAR}|{_YEAR})")
 YEAR = re.compile(r"(?:19|20)\d\d")
 REPEAT = re.compile(r"(.{1,16}?)\1{1,}", re.S)
 
@@ -70,7 +72,8 @@ def segments_of(value: str) -> Iterator[tuple[int, int, str, float]]:
         for i in range(len(text)):
             for j in range(i + 3, min(i + LONGEST, len(text)) + 1):
                 if text[i:j] in RANK:
-                    case = 0.0 if value[i:j].islower() else math.log10(2) if value[i:j].istitle() or value[i:j].isupper() else 0.3 * (j - i)
+                    word = value[i:j]
+                    case = 0.0 if word == word.lower() else math.log10(2) if word in (word.capitalize(), word.upper()) else 0.3 * (j - i)
                     yield i, j, "word", math.log10(RANK[text[i:j]] + 1) + case + extra
         if text == low.translate(LEET):
             break
@@ -87,7 +90,7 @@ def segments_of(value: str) -> Iterator[tuple[int, int, str, float]]:
         j = i + 1
         turns, before = 0, None
         while j < len(low) and low[j - 1 : j + 1] in STEPS:
-            way = low[j - 1] < low[j]
+            way = low[j - 1 : j + 1] in FORWARD
             turns += before is not None and way != before
             before = way
             j += 1

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from nightloom.plans import funnel, space_queries, text_queries, time_queries
+from nightloom.plans import funnel, report_queries, space_queries, text_queries, time_queries
 from nightloom.streaming import windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (time_queries, space_queries, text_queries, funnel, windows):
+for part in (time_queries, space_queries, report_queries, text_queries, funnel, windows):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.SQL
 

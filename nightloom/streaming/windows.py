@@ -58,8 +58,15 @@ def stream_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(finished(spark, budgets(e, ["site"], "ts", "cost"), "complete"))
 
 
-QUERIES = {"stream_sessions": stream_sessions, "stream_budgets": stream_budgets}
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that a stream has seen, each once: keys are state, and leave it after seven days."""
+    e = stream(spark, f"{sf_dir}/events.parquet").select("user_id", "ts")
+    return finished(spark, first_seen(e, ["user_id"], "ts", "60 days").select("user_id"))
+
+
+QUERIES = {"stream_first_seen": stream_first_seen, "stream_sessions": stream_sessions, "stream_budgets": stream_budgets}
 SQL = {
+    "stream_first_seen": "SELECT DISTINCT user_id FROM events",
     "stream_sessions": """WITH e AS (SELECT user_id % 4 AS site, ts FROM events WHERE event_type = 'purchase'), d AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY site ORDER BY ts) + INTERVAL 3 HOUR THEN 1 ELSE 0 END AS new FROM e), g AS (SELECT *, sum(new) OVER (PARTITION BY site ORDER BY ts) AS k FROM d)
         SELECT site, strftime(min(ts), '%Y-%m-%d %H:%M') AS start, strftime(max(ts) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M') AS "end", count(*) AS n FROM g GROUP BY site, k""",
     "stream_budgets": """WITH w AS (SELECT user_id % 4 AS site, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events)

@@ -19,7 +19,7 @@ VAGUE = r"(?i)\b(?:sometime|at some point|in due course|eventually|soon)\b|そ
 
 def sentences(text: Column) -> Column:
     """Sentences with their stops; a stop within a word or number doesn't end one."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?:[^.!?。！？\n]|[.!?](?=[^\s.!?]))+[.!?。！？]*"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?:[^.!?。！？\n]|[.!?](?=[^\s.!?]))+[.!?。！？]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def claims(docs: DataFrame, keys: list[str], text: str, kinds: list[str] | None = None) -> DataFrame:

@@ -67,10 +67,9 @@ def vague_time_words(spark, sf_dir):
     return claims.vague(said(spark, sf_dir), ["id"], "text")
 
 
-@query("""SELECT n_nationkey AS k, n_regionkey AS label FROM nation WHERE (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) % 3 = n_regionkey % 3 AND false
-    UNION ALL SELECT c_nationkey, CAST(v AS INTEGER) FROM (SELECT c_nationkey, c_custkey % 7 AS v, count(*) OVER (PARTITION BY c_nationkey, c_custkey % 7) AS n FROM customer) WHERE n = 1""")
+@query("""SELECT c_nationkey AS k, label FROM (SELECT c_nationkey, CAST(c_custkey % 701 AS INTEGER) AS label, count(*) OVER (PARTITION BY c_nationkey, c_custkey % 701) AS n FROM customer) WHERE n = 1""")
 def unique_directions(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 7).cast("int").alias("label"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 701).cast("int").alias("label"))
     return claims.unique_only(c, ["k"], "label")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nightloom.operators.graph import settle
+
 
 def final_score(obstruction: Column, alt: Column, horizon: Column, clear: Column, light: Column) -> Column:
     return (100 - obstruction) + 0.5 * F.greatest(F.lit(0.0), alt - F.coalesce(horizon, F.lit(0.0))) + 3 * clear - 10 * light
@@ -33,34 +35,50 @@ def kept_nights(nights: DataFrame, keep: int = 6) -> DataFrame:
     return df.withColumn("reason", F.when(late, "not_in_top_n").otherwise(F.col("reason"))).withColumn("rank", F.when(F.col("open"), F.col("rank"))).drop("open")
 
 
-def average_rank_pct(df: DataFrame, value: str, out: str, groups: list[str] = ()) -> DataFrame:
-    """Average-tie rank over n - 1, in percent; a single row has 0."""
-    w = Window.partitionBy(*groups)
-    n, same = F.count(value).over(w), F.count(F.lit(1)).over(Window.partitionBy(*groups, value))
-    return df.withColumn(out, F.coalesce(F.try_divide((F.rank().over(w.orderBy(value)) - 1 + (same - 1) / 2) * 100, n - 1), F.lit(0.0)))
+def running(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows before it in the order, for distinct values of ``order``.
+
+    Rows are dealt by ranges of the order; each range sums up for itself and is shifted by the sums of the ranges before it, of
+    which there are as many as partitions. No task sees more than its range.
+    """
+    base = settle(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
+    ranges = base.groupBy("__p").agg(F.sum(amount).alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.coalesce(F.sum(amount).over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return base.withColumn("__o", own).join(ranges.select("__p", "__b"), "__p").withColumn(out, F.col("__o") + F.col("__b")).drop("__p", "__o", "__b")
+
+
+def average_rank_pct(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Average-tie rank over n - 1, in percent; a single row has 0, a null value null."""
+    ties = running(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, "__n", "__before")
+    n = ties.agg(F.sum("__n").alias("__all"))
+    pct = F.coalesce(F.try_divide((F.col("__before") + (F.col("__n") - 1) / 2) * 100, F.col("__all") - 1), F.lit(0.0))
+    ranks = ties.crossJoin(F.broadcast(n)).select(value, pct.alias(out))  # one row
+    return df.join(ranks, value, "left")
 
 
 def share_at_most(df: DataFrame, reference: DataFrame, value: str, out: str) -> DataFrame:
-    """Percentage of the reference's values that are at most a row's: cumulative counts, joined by their order, not pairwise."""
-    both = df.withColumn("__k", F.lit(1)).unionByName(reference.select(value).withColumn("__k", F.lit(0)), allowMissingColumns=True)
-    upto = F.count(F.when(F.col("__k") == 0, 1)).over(Window.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    n = F.count(F.when(F.col("__k") == 0, 1)).over(Window.partitionBy())
-    return both.withColumn(out, F.try_divide(upto * 100.0, n)).filter("__k = 1").drop("__k")
+    """Percentage of the reference's values that are at most a row's: running counts of distinct values, joined by value."""
+    both = df.select(value, F.lit(0).alias("__r")).unionByName(reference.select(value, F.lit(1).alias("__r"))).filter(F.col(value).isNotNull())
+    counts = running(both.groupBy(value).agg(F.sum("__r").alias("__n")), value, "__n", "__before")
+    n = counts.agg(F.sum("__n").alias("__all"))
+    share = counts.crossJoin(F.broadcast(n)).select(value, F.try_divide((F.col("__before") + F.col("__n")) * 100.0, F.col("__all")).alias(out))  # one row
+    return df.join(share, value, "left")
 
 
 def threshold_for(df: DataFrame, value: str, n: int) -> DataFrame:
     """The midpoint between the n-th and the next smallest value; an error if they are equal, for then no threshold lets n pass."""
-    two = ranked(df.filter(F.col(value).isNotNull()), [], F.asc(value)).filter(F.col("rank").isin(n, n + 1))
-    mid = two.agg(F.min(value).alias("a"), F.max(value).alias("b"))
+    counts = running(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, "__n", "__before")
+    at = lambda k: F.max(F.when((F.col("__before") < k) & (F.col("__before") + F.col("__n") >= k), F.col(value)))
+    mid = counts.agg(at(n).alias("a"), at(n + 1).alias("b"))
     return mid.select(F.when(F.col("a") < F.col("b"), (F.col("a") + F.col("b")) / 2).otherwise(F.raise_error(F.lit("a tie at the threshold"))).alias("threshold"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation of average-tie ranks."""
-    ranks = average_rank_pct(average_rank_pct(df, a, "__a"), b, "__b")
+    ranks = average_rank_pct(average_rank_pct(df.select(a, b), a, "__a"), b, "__b")
     return ranks.agg(F.corr("__a", "__b").alias("spearman"))
 
 
-def strided(df: DataFrame, step: int, *order: Column) -> DataFrame:
-    """Every ``step``-th row in the order: a sampling operator."""
-    return ranked(df, [], *order, out="__n").filter((F.col("__n") - 1) % step == 0).drop("__n")
+def strided(df: DataFrame, step: int, key: str) -> DataFrame:
+    """Every ``step``-th row in the order of a unique key: a sampling operator."""
+    return running(df.withColumn("__one", F.lit(1)), key, "__one", "__n").filter(F.col("__n") % step == 0).drop("__n", "__one")

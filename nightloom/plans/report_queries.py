@@ -97,7 +97,7 @@ def frame_labels(spark, sf_dir):
 
 @query("""SELECT id FROM (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) WHERE (n - 1) % 10 = 0""")
 def stride_sample(spark, sf_dir):
-    return rank.strided(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), 10, F.asc("id"))
+    return rank.strided(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), 10, "id")
 
 
 @query(f"""WITH {SITES}, t AS (SELECT x, y, px, py, (x * 31 + y * 17 + px * 7 + py) % 900 / 10.0 AS elev FROM range(8) a(x), range(8) b(y), range(8) c(px), range(8) d(py) WHERE (x + y) % 5 <> 0 AND (px + py) % 4 <> 0), k AS (SELECT DISTINCT x, y FROM t),

@@ -20,9 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation
-    and what follows sees the same rows, in the same partitions, however often it reads them."""
+    and what follows sees the same rows, in the same partitions, however often it reads them.
+
+    Shuffle files of what was cut off go when the driver collects its garbage, which may be late, so this asks for it.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def parts_for(rows: int, each: int) -> int:
+    """Partitions of a table of small rows: as many as its rows ask for, not as many as the shuffle before it had."""
+    return max(8, rows // each)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest chain. A link of a node with itself or with null is ignored; no links give no rows.
     """
     edges = settle(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before, parts = None, parts_for(edges.count(), 250_000)
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before or not now[0]:
@@ -44,4 +54,4 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.union(down.select("u", F.col("m").alias("v"))).distinct())
+        edges = settle(small.union(down.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))

@@ -1,34 +1,19 @@
-"""What the corpus operators share: lineage cuts, gapless ranks and word classes."""
+"""What the corpus operators share: gapless ranks, word classes, and lineage cuts from the library."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nightloom.operators.graph import settle, shared_dir
+
+__all__ = ["SPACE", "WORD", "gapless", "settle", "shared_dir", "text_of"]
+
 #: White space as the contracts have it: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="nightloom-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation
-    and what follows sees the same rows, in the same partitions, however often it reads them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_of(col: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -15,7 +15,7 @@ whole texts, and only where a bucket still falls into several components its mem
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightloom.llm.common import settle
-from nightloom.llm.components import components
+from nightloom.operators.graph import components, parts_for
 
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 5
-#: Rank cells: the first has this length, the following double up to 1, then each is 1 long.
+#: Rank cells: the first has this length, each of the following is half as long as all before it.
 FIRST_CELL = 1 / 16
-#: Bytes of text that are hashed at once, and rows of a block in block comparisons.
-SLICE, BLOCK = 1 << 20, 256
+#: Bytes and rows of text that are hashed at once, and rows of a block in block comparisons.
+SLICE, SLICE_ROWS, BLOCK = 1 << 20, 1024, 256
 #: Rounds in which members outside a bucket's largest class meet one of it, before the rest is compared in blocks.
 MEETINGS = 2
 
@@ -125,22 +125,12 @@ def elements(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     return e_doc, mix(e + nth.astype(U) * U(0xA0761D6478BD642F)), prints
 
 
-def cells(most: float) -> list[tuple[float, float]]:
-    out, lo, size = [], 0.0, FIRST_CELL
-    while lo < most:
-        out.append((lo, size))
-        lo += size
-        size = min(lo, 1.0)
-    return out
-
-
+@lru_cache(64)
 def poisson_cdf(mean: float) -> np.ndarray:
-    p, c, out = np.exp(-mean), 0.0, []
-    for i in range(1, 40):
-        c += p
-        out.append(c)
-        p *= mean / i
-    return np.array(out)
+    """Cumulative probabilities of 0, 1, 2 ... as far as they differ from 1."""
+    i = np.arange(int(mean + 12 * np.sqrt(mean) + 40))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(i[1:]))])
+    return np.cumsum(np.exp(i * np.log(mean) - mean - logs))
 
 
 def signatures(e_doc: np.ndarray, e: np.ndarray, n: int, k: int, share: np.ndarray | None = None) -> np.ndarray:
@@ -172,8 +162,9 @@ def signatures(e_doc: np.ndarray, e: np.ndarray, n: int, k: int, share: np.ndarr
         won = best[slot] == rank
         sig[slot[won]] = dart[won]
         lo, cell = lo + size, cell + 1
-        size = min(lo, 1.0)
-        todo &= (lo < goal) | np.isinf(best.reshape(n, k)).any(1)
+        size = lo / 2
+        due = np.flatnonzero(todo & (lo >= goal))
+        todo[due] = np.isinf(best.reshape(n, k)[due]).any(1)
     return sig.reshape(n, k)
 
 
@@ -191,7 +182,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE, side="right")))
+            hi = min(lo + SLICE_ROWS, max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE, side="right"))))
             part = batch.slice(lo, hi - lo)
             low = pc.utf8_lower(pc.fill_null(part.column(text), "")).cast(pa.large_string())
             offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
@@ -279,10 +270,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = settle(docs.mapInArrow(partial(sign, words=words, bands=bands, rows=rows), "doc_id long, print binary, keys array<bigint>"))
     full = signed.filter(F.size("keys") > 0)
     nodes = settle(full.groupBy("print").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
+    parts = parts_for(nodes.count(), 20_000)
+
+    def kept(df: DataFrame) -> DataFrame:
+        """``settle`` for tables of a few small rows a node."""
+        return settle(df.coalesce(parts))
+
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     pivots = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", F.xxhash64("node", "key")).alias("pivot")).filter("n > 1").drop("n")
-    met = settle(buckets.join(pivots, "key"))  # members of buckets with two or more
-    pairs = settle(met.filter("node != pivot").groupBy(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
+    met = kept(buckets.join(pivots, "key"))  # members of buckets with two or more
+    pairs = kept(met.filter("node != pivot").groupBy(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
     wanted = nodes.join(met.select("node").distinct(), "node").select("node", "print", F.col("doc_id").alias("of"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["of"])).select("text", "node", "print")
     sets = settle(texts.mapInArrow(partial(element_lists, words=words), "node long, elements array<bigint>").dropDuplicates(["node"]))
@@ -302,28 +299,28 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """``comps`` with further links between its nodes: only components that these join are gone through."""
         if links.isEmpty():
             return comps
-        over = settle(components(named(named(links, "a", "of_a", comps), "b", "of_b", comps).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+        over = kept(components(named(named(links, "a", "of_a", comps), "b", "of_b", comps).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
         fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))
-        return settle(comps.union(fresh).join(over.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+        return kept(comps.union(fresh).join(over.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
 
     # Each node first meets the pivot that it shares the most bands with; mostly that joins a class.
     sides = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "bands").union(pairs.select("b", "a", "bands"))
     best = sides.groupBy("node").agg(F.max_by("other", F.col("bands") * 1000 + F.pmod(F.xxhash64("node", "other"), F.lit(1000))).alias("other"))
     first = best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    comps = settle(components(settle(verified(first))))
+    comps = kept(components(kept(verified(first))))
     # Then the other pivots that are still of another class.
     rest = named(named(pairs.join(first, ["a", "b"], "left_anti"), "a", "of_a", comps), "b", "of_b", comps).filter("of_a != of_b").select("a", "b")
-    comps = joined(comps, settle(verified(rest)))
+    comps = joined(comps, kept(verified(rest)))
     # Then members of a bucket that still holds several classes: those outside its largest class meet members of that.
     for seed in range(MEETINGS):
-        left = settle(still_open(met, comps, named))
+        left = kept(still_open(met, comps, named))
         if left.isEmpty():
             break
         other = left.filter("large").groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key", F.lit(seed))).alias("pivot"))
         again = left.filter("not large").join(other, "key").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        comps = joined(comps, settle(verified(again)))
+        comps = joined(comps, kept(verified(again)))
     # Last, whoever is still outside meets everybody of the bucket, in blocks of bounded size.
-    left = settle(still_open(met, comps, named))
+    left = kept(still_open(met, comps, named))
     if not left.isEmpty():
         blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
         tag = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("large"), blocks_of("n_large")).otherwise(blocks_of("n_small"))).cast("int")
@@ -338,7 +335,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         short = sets.select("node", F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")).alias("elements"))  # half the bytes, no fewer matches
         held = spread.join(task, ["key", "i", "j"]).join(short, "node")
         links = held.groupBy("key", "i", "j").applyInPandas(lambda pdf: blocks(pdf, similar), "a long, b long").distinct()
-        comps = joined(comps, settle(verified(settle(links))))
+        comps = joined(comps, kept(verified(settle(links))))
     labels = nodes.join(comps, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))
     rows_ = settle(full.join(labels, "print").select("doc_id", "comp"))
     named_by = rows_.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))

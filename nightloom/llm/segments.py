@@ -20,7 +20,7 @@ _OTHER = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x
 #: Marks a text's first segment, which has no space before it; texts with this character are encoded whole.
 _FIRST = "\r"
 #: Bytes of text that are worked on at once, segments that are remembered, segments that are encoded at once.
-SLICE, REMEMBERED, AT_ONCE = 8 << 20, 400_000, 20_000
+SLICE, REMEMBERED, AT_ONCE = 8 << 20, 800_000, 20_000
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -344,6 +344,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id. Rows without an id stay."""
+    """``docs`` with one document of each class: the one with the smallest id. Rows without an id stay; rows that share
+    an id stay or go together."""
     gone = near_classes(docs, id_col, text_col, **more).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -27,10 +27,15 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32),  # the same as runs of any length of which 32 and more count
 )
 KINDS = ("assign", "access", "hex", "guess")
-#: Where a credential's value stands: after its name, in a URL before the host, after an authorization scheme.
+#: A name starts here: no letter before it, or a step of camel case.
+_START = r"(?-i:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+#: Where a credential's value stands: after its name (the base patterns' names may stand within any other), in a URL before the
+#: host, after an authorization scheme. A value ends at white space; in quotes at the quote, in a URL at the host's "@".
 CONTEXT = re.compile(
-    r"""(?:\b(?:pwd|pass|passphrase|passcode|credentials?|auth|private_?key|access_?key|secret_?key|client_?secret|auth_?key|db_?pass|login)["']?\x20*[:=]\x20*["']?"""
-    r"""|\b[a-z][a-z0-9+.-]*://[^\s/:@"']+:|\b(?:Bearer|Basic)\x20+)(?P<value>[^\s"'<>,;|@]{6,})""",
+    rf"""(?:password|passwd|secret|token|api[_-]?key|{_START}(?:pwd|pass|passphrase|passcode|credentials?|auth|private[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|auth[_-]?key|db[_-]?pass|login))"""
+    r"""["']?\x20*[:=]\x20*(?:"(?P<double>(?:\\\S|[^\s"\\]){6,})|'(?P<single>(?:\\\S|[^\s'\\]){6,})|(?P<bare>[^\s"'<>,;|]{6,}))"""
+    r"""|\b[a-z][a-z0-9+.-]*://[^\s/:@"']*:(?!\d{1,5}[/?\#])(?P<url>(?:[^\s"'<>@]|@(?=[^\s"'<>@/,;]*@)){6,})(?=@)"""
+    r"""|\b(?:Bearer|Basic)\x20+(?P<scheme>[^\s"'<>,;|@]{6,})""",
     re.I | re.A,
 )
 #: For Arrow: texts that may hold anything of the above.
@@ -129,11 +134,15 @@ def spans_of(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, in
     out = []
     for kind, pattern, group, least in BASE:
         out += [(kind, m.start(), m.end(), m.start(group)) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    taken = sorted((a, b) for _, a, b, _ in out)
-    for m in CONTEXT.finditer(text):
-        a, b = m.span("value")
-        if not any(x < b and a < y for x, y in taken) and cheapest(m["value"])[0] >= threshold:
-            out.append(("guess", m.start(), b, a))
+    base, at = [(a, b) for _, a, b, _ in out], 0
+    while m := CONTEXT.search(text, at):
+        a, at = m.span(m.lastgroup)
+        if any(x <= a and at <= y for x, y in base):
+            at = a  # a value that isn't reported here may hold a name with a value of its own
+        elif cheapest(text[a:at])[0] >= threshold:
+            out.append(("guess", m.start(), at, a))
+        else:
+            at = a
     out.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return [(kind, a, b, v, cheapest(text[v:b])[0]) for kind, a, b, v in out]
 
@@ -178,7 +187,7 @@ def digested(spans: DataFrame) -> DataFrame:
 
 def masked(text: str, mask: str, threshold: float) -> str:
     out, at = [], 0
-    for _, _, end, value, _ in spans_of(text, threshold):
+    for _, _, end, value, _ in sorted(spans_of(text, threshold), key=lambda x: x[3]):
         if value >= at:
             out += [text[at:value], mask]
         at = max(at, end)

@@ -226,6 +226,19 @@ def test_secrets(spark):
     assert out[3] == "é token = [SECRET]" and out[10] is None and out[7] == "pwd = password123" and "T7h" not in out[8]
 
 
+def test_secrets_in_every_context():
+    whole = {
+        'password = "x!9$Kq&zT7#pL2"': "x!9$Kq&zT7#pL2", "token: x!9$Kq": "x!9$Kq", "DB_PWD=vR7#kq2Lx9": "vR7#kq2Lx9", "user_pass: vR7#kq2Lx9": "vR7#kq2Lx9", "DJANGO_SECRET_KEY=vR7#kq2Lx9": "vR7#kq2Lx9",
+        "aws_secret_access_key = wJalrXUtnFEMI/K7": "wJalrXUtnFEMI/K7", "secretAccessKey: 'wJal,XUtn;FEMI'": "wJal,XUtn;FEMI", "x-api-key: vR7#kq2Lx9": "vR7#kq2Lx9", "password = Xk29Lm4q$Tz8!vR": "Xk29Lm4q$Tz8!vR",
+        "password: secret: vR7#kq2Lx9": "vR7#kq2Lx9", "db://u:vR7#k@q2Lx9@host/x": "vR7#k@q2Lx9", "redis://:vR7#kq2Lx9@host": "vR7#kq2Lx9", 'pwd="vR7\\"#kq2Lx9"': 'vR7\\"#kq2Lx9',
+    }
+    for t, value in whole.items():
+        assert secrets.masked(t, "[SECRET]", secrets.THRESHOLD) == t.replace(value, "[SECRET]"), t
+    for t in ("compass: vR7#kq2Lx9", "http://host:vR7#kq2Lx9 x", "http://host:8080/path@x", "token: string", 'password: "hunter2"'):
+        assert secrets.spans_of(t) == [], t
+    assert [s[:3] for s in secrets.spans_of("password = Xk29Lm4q$Tz8!vR")] == [("assign", 0, 19), ("guess", 0, 26)]
+
+
 def test_guess_cost():
     cost = lambda v: secrets.cheapest(v)[0]
     assert cost("password") < 1 and cost("P@ssw0rd") < 3 and cost("qwertyuiop") < 3 and cost("19991231") < 5 and cost("abababababab") < 5

@@ -47,7 +47,7 @@ def bucketed_range_join(spark, sf_dir):
 @query(f"""WITH {SITES}, {FEW_SITES}, d AS (SELECT a.id, b.id AS b_id, {distance_sql("a", "b")} AS d FROM sites a, few b)
     SELECT id, b_id, round(d, 3) AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 6), b_id) AS n FROM d) WHERE n = 1""")
 def nearest_site(spark, sf_dir):
-    out = nearby.nearest_small(inputs.sites(spark, sf_dir).select("id", "lat", "lon"), inputs.few_sites(spark, sf_dir).select("id", "lat", "lon"))
+    out = nearby.nearest_any(inputs.sites(spark, sf_dir).select("id", "lat", "lon"), inputs.few_sites(spark, sf_dir).select("id", "lat", "lon"))
     return out.select("id", "b_id", F.round("distance_m", 3).alias("distance_m"))
 
 

@@ -151,6 +151,26 @@ def test_pairs_within_match_all_pairs(spark):
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and d(a, b) <= 1500}
 
 
+def test_nearest_of_many_wherever_they_are(spark):
+    import random
+
+    rng = random.Random(7)
+    kind = "id long, lat double, lon double"
+    rows = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)] + [(60, 89.9, 10.0), (61, 0.0, 179.99), (62, 35.0, 139.0), (63, 35.0, 139.0), (64, None, 1.0)]
+    many = [(i, 35 + rng.random(), 139 + rng.random()) for i in range(11_000)] + [(20_000 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)] + [(30_000, 89.9, -170.0), (30_001, 0.0, -179.99), (30_002, 35.0, 139.0), (30_003, 35.0, 139.0)]
+
+    def d(a, b):
+        x = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return round(2 * 6371000.0 * math.asin(math.sqrt(min(x, 1.0))), 6), b[0]
+
+    for reference in (many, many[:2], many[-1:]):
+        got = {r.id: (r.b_id, r.distance_m) for r in nearby.nearest_any(spark.createDataFrame(rows, kind), spark.createDataFrame(reference, kind)).collect()}
+        want = {a[0]: min(d(a, b) for b in reference) for a in rows[:-1]}
+        assert got.pop(64) == (None, None) and {i: b for i, (b, _) in got.items()} == {i: b for i, (_, b) in want.items()}
+        assert all(abs(got[i][1] - m) < 1e-3 for i, (m, _) in want.items())
+    assert {(r.b_id, r.distance_m) for r in nearby.nearest_any(spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)).collect()} == {(None, None)}
+
+
 def test_boxes(spark):
     p = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0)], "id long, lat double, lon double")
     b = spark.createDataFrame([("x", 0.0, 1.0, 0.0, 1.0), ("y", 1.0, 2.0, 1.0, 2.0)], "area string, lat_min double, lat_max double, lon_min double, lon_max double")

@@ -46,6 +46,8 @@ OUTER_NAMES = frozenset(["header"])
 
 #: Lengths in characters; shares of words and of characters.
 SHORT, LONG, FEW_STOPS, MANY_STOPS, MANY_LINKS = 70, 200, 0.10, 0.20, 0.33
+#: An element that holds more of the page's text than this is no boilerplate for its name: for a part of it, and for a whole one.
+MOST, MOST_BY_NAME = 0.5, 0.9
 STOPS = frozenset(STOP_WORDS)
 TEXT, BOILERPLATE, OPEN = 1, -1, 0
 
@@ -58,39 +60,55 @@ class Block:
         self.label, self.near = OPEN, False
 
 
-def standing(tag: str, attributes: str, inside: tuple[int, int]) -> int:
-    """0: may hold text, 1: boilerplate by a name, 2: boilerplate for good. ``inside``: (standing, section) around it."""
+def standing(tag: str, attributes: str, inside: tuple[int, int]) -> tuple[int, float]:
+    """0: may hold text, 1: boilerplate by a name, 2: boilerplate for good by a name, 3: for good by its kind; and, where names decide,
+    the share of the page's text beyond which they don't count. ``inside``: (standing, section) around it."""
     above, section = inside
     names: set[str] = set()
+    whole: set[str] = set()
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
-            names.update(x.lower() for x in NAME.findall(m[2] or m[3] or m[4] or ""))
+            value = m[2] or m[3] or m[4] or ""
+            names.update(x.lower() for x in NAME.findall(value))
+            whole.update(value.lower().split())
         if HIDDEN.search(attributes):
-            return 2
-    if above == 2 or tag in HARD or names & HARD_NAMES or (tag == "header" and not section):
-        return 2
+            return 3, 0.0
+    if above == 3 or tag in HARD or (tag == "header" and not section):
+        return 3, 0.0
+    if tag in ("article", "main"):  # part of a name says nothing of them
+        return (2, MOST_BY_NAME) if whole & HARD_NAMES else (2 if above == 2 else 0, 0.0)
+    if names & HARD_NAMES:
+        return 2, MOST_BY_NAME if whole & HARD_NAMES else MOST
     if names & SOFT_NAMES or (names & OUTER_NAMES and not section):
-        return 1
-    return 0 if tag in ("article", "main") else above
+        return max(above, 1), MOST
+    return above, 0.0
 
 
-def blocks_of(page: str) -> list[Block]:
+def blocks_of(page: str, spared: frozenset[int] | None = None) -> list[Block]:
+    """The blocks of a page. ``spared``: places of elements whose names don't count; unless given, those that hold most of the text."""
     out: list[Block] = []
+    named: list[tuple[int, float, int]] = []  # place, share, text within
+    read = 0  # text but links, without what is boilerplate for good by its kind
     parts: list[str] = []
     links, anchors, heading = 0, 0, False
-    stack: list[tuple[str, int, int]] = []  # element, standing, section (0: none)
+    stack: list[tuple[str, int, int, tuple[int, float, int] | None]] = []  # element, standing, section (0: none), place, share and text read before
     sections, at, end = 0, 0, len(page)
 
     def close() -> None:
-        nonlocal links
+        nonlocal links, read
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, state, section = stack[-1] if stack else ("", 0, 0)
+                _, state, section, _ = stack[-1] if stack else ("", 0, 0, None)
                 out.append(Block(text, links, state > 0, section, heading))
+                read += max(len(text) - links, 0) * (state < 3)
             parts.clear()
         links = 0
 
+    def leave(i: int) -> None:
+        named.extend((x[0], x[1], read - x[2]) for *_, x in stack[i:] if x)
+        del stack[i:]
+
     while at < end:
         m = TOKEN.search(page, at)
         stop = m.start() if m else end
@@ -122,28 +140,33 @@ def blocks_of(page: str) -> list[Block]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         close()
-                        del stack[i:]
+                        leave(i)
                         break
             elif not m[3].endswith("/"):
-                _, state, section = stack[-1] if stack else ("", 0, 0)
-                now = standing(tag, m[3], (state, section))
-                if now != state:
+                _, state, section, _ = stack[-1] if stack else ("", 0, 0, None)
+                now, share = standing(tag, m[3], (state, section))
+                if spared and m.start() in spared:
+                    now = 0 if tag in ("article", "main") and state < 2 else state
+                if now != state or share:
                     close()
                 if tag in ("article", "main") and not now and not section:
                     sections += 1
                     section = sections
                 if tag == "body":  # a head that wasn't closed ends here
-                    stack.clear()
-                    now = 0
-                stack.append((tag, now, section))
+                    leave(0)
+                    now, share = 0, 0.0
+                stack.append((tag, now, section, (m.start(), share, read) if share else None))
     close()
+    leave(0)
+    if spared is None and (most := frozenset(place for place, share, n in named if n > share * read)):
+        return blocks_of(page, most)
     return out
 
 
 def decide(b: Block) -> None:
     """The first pass, for one block."""
     n = len(b.text)
-    if b.outside or b.links > MANY_LINKS * n or (not b.section and "\xa9" in b.text):
+    if b.outside or b.links > MANY_LINKS * n or (not b.section and n < SHORT and "\xa9" in b.text):
         b.label = BOILERPLATE
     elif n >= SHORT:
         words = WORD.findall(b.text.lower())
@@ -151,12 +174,20 @@ def decide(b: Block) -> None:
         b.near = stops >= FEW_STOPS
         if stops >= MANY_STOPS and n >= LONG:
             b.label = TEXT
-        elif not b.near and not b.section:
+        elif not b.near and not b.section and b.links:
             b.label = BOILERPLATE
 
 
 def inherit(blocks: list[Block]) -> None:
-    """The second pass. What is boilerplate by its place tells nothing of its neighbours."""
+    """The second pass. What is boilerplate by its place tells nothing of its neighbours.
+
+    Where nothing tells that the text lies elsewhere, long blocks without links are text, whatever their words.
+    """
+    in_sections = sum(len(b.text) for b in blocks if b.section and b.label != BOILERPLATE)
+    any_text = any(b.label == TEXT and not b.section for b in blocks) or in_sections > sum(len(b.text) for b in blocks if not b.section and b.label != BOILERPLATE)
+    for b in blocks:
+        if not any_text and not b.label and not b.section and not b.links and len(b.text) >= SHORT:
+            b.label = TEXT
     sure = [OPEN if b.outside else b.label for b in blocks]
     before: list[tuple[int, int]] = []
     last: dict[int, tuple[int, int]] = {}
@@ -170,7 +201,7 @@ def inherit(blocks: list[Block]) -> None:
         after[i] = last.get(blocks[i].section, (OPEN, -1))
         if sure[i]:
             last[blocks[i].section] = (sure[i], i)
-    any_text = any(b.label == TEXT or (b.section and not b.outside) for b in blocks)
+    any_text = any_text or any(b.label == TEXT for b in blocks)
     for i, b in enumerate(blocks):
         if b.label:
             continue
@@ -190,13 +221,15 @@ def inherit(blocks: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     """The main text of one page, blocks joined by two line feeds; empty for null, empty and textless pages.
 
-    A page that marks an article (or a main part) has its text there; other pages have it wherever the rules find it.
+    A page that marks an article (or a main part) with the larger share of its text has it there; other pages have it wherever
+    the rules find it.
     """
     blocks = blocks_of(page or "")
     for b in blocks:
         decide(b)
     inherit(blocks)
-    marked = any(b.section and not b.outside for b in blocks)
+    size = lambda marked: sum(len(b.text) for b in blocks if b.label == TEXT and bool(b.section) == marked)
+    marked = size(True) > size(False)
     return "\n\n".join(b.text for b in blocks if b.label == TEXT and (b.section or not marked))
 
 

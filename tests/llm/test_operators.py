@@ -394,6 +394,22 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <article><h1>The  title &amp; more</h1><p><b>The first of the paragraphs<br>goes on in two lines.<br><p>A&nbsp;second <i>one</i>.</p><div class="comments"><p>I like the thing that you say in the text of it.</p></div></article><footer>&copy; all</footer></body></html>"""
 
 
+def test_html_without_sections():
+    prose = "It was the day on which we went to the sea, and that was all that she had to say of it to us. " * 4
+    code = "def f(x): return g(x) + h(x) * 17; assert f(3) == 42; print(f(5), f(7), sep=', ')"
+    finnish = "Talvella yö oli pitkä ja kylmä, mutta tähdet näkyivät kirkkaina järven yllä koko matkan ajan."
+    menu = '<ul><li><a href="/">Etusivu ja uutiset</a></li><li><a href="/x">Yhteystiedot</a></li></ul>'
+    text = lambda *parts: "\n\n".join(" ".join(x.split()) for x in parts)
+    assert html_text.main_text(f"<p>{prose}</p><pre>{code}</pre><p>{prose}</p>") == text(prose, code, prose)
+    assert html_text.main_text(f"{menu}<h1>Talvi</h1><p>{finnish}</p><p>Loppu.</p><p>{finnish}</p>").endswith(text(finnish, "Loppu.", finnish))
+    assert html_text.main_text(f"<p>{prose} \xa9</p><p>\xa9 all of us</p>") == text(prose + " \xa9")
+    assert prose.strip() in html_text.main_text(f"<div><p>{prose}</p><p>{prose}</p></div><article><p>A teaser for the next.</p></article>")
+    for wrapper in ('div class="page-with-sidebar"', 'div id="cookie-enabled"', 'main class="no-sidebar"', 'article class="post comments-open"'):
+        page = f"<{wrapper}><p>{prose}</p><div class='widget'><p>More of the same for you.</p></div></{wrapper.split()[0]}>"
+        assert html_text.main_text(page) == text(prose), wrapper
+    assert html_text.main_text(f"<article><p>{prose}</p></article><div class='comments'><p>{prose}</p><p>{prose}</p></div>") == text(prose)
+
+
 def test_html(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", "<p>broken &am"), (4, "x", "<article><p>cut off <a hre"), (5, "y", "<p>" + "the word and that " * 5000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))

@@ -47,6 +47,19 @@ def running(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
     return base.withColumn("__o", own).join(ranges.select("__p", "__b"), "__p").withColumn(out, F.col("__o") + F.col("__b")).drop("__p", "__o", "__b")
 
 
+def lagged(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``df`` with the ``value`` of the row before it in the order of all rows, null for the first; for distinct values of ``order``.
+
+    Rows are dealt by ranges of the order; the first row of each range gets the last value of the range with rows before it, of
+    which there are as many as partitions. No task sees more than its range.
+    """
+    base = settle(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
+    kept = F.struct(F.col(value).alias("v"))  # tells a null value from no row
+    ranges = base.groupBy("__p").agg(F.max_by(kept, order).alias("__l")).withColumn("__b", F.lag("__l").over(Window.orderBy("__p")))
+    own = F.lag(kept).over(Window.partitionBy("__p").orderBy(order))
+    return base.withColumn("__o", own).join(ranges.select("__p", "__b"), "__p").withColumn(out, F.coalesce("__o", "__b")["v"]).drop("__p", "__o", "__b")
+
+
 def average_rank_pct(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average-tie rank over n - 1, in percent; a single row has 0, a null value null."""
     ties = running(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, "__n", "__before")

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightloom.functions.geo import apparent_angle, direct
-from nightloom.operators.runs import first_by
 
 
 def ray_points(sites: DataFrame, reach: int = 50_000, step: int = 100, azimuths: int = 360) -> DataFrame:
-    """A point every ``step`` metres of each azimuth's ray: site columns, az, d, lat2, lon2. All rows are made where the site
+    """A point every ``step`` metres of each azimuth's ray: site columns, az, d, lat2, lon2. All rows are made where the ray
     is, and nothing of them is kept: what follows is a join with the elevation table and an aggregation."""
-    rays = sites.withColumn("az", F.explode(F.sequence(F.lit(0), F.lit(azimuths - 1)))).withColumn("d", F.explode(F.sequence(F.lit(step), F.lit(reach), F.lit(step))))
+    parts = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rays = sites.withColumn("az", F.explode(F.sequence(F.lit(0), F.lit(azimuths - 1)))).repartition(parts)  # a small table may be one partition
+    rays = rays.withColumn("d", F.explode(F.sequence(F.lit(step), F.lit(reach), F.lit(step))))
     end = direct(F.col("lat"), F.col("lon"), F.col("az").cast("double") * (360.0 / azimuths), F.col("d").cast("double"))
     return rays.withColumn("end", end).withColumn("lat2", F.col("end.lat")).withColumn("lon2", F.col("end.lon")).drop("end")
 
@@ -20,7 +21,8 @@ def ray_points(sites: DataFrame, reach: int = 50_000, step: int = 100, azimuths:
 def horizon(points: DataFrame, keys: list[str], elevation: str, own: str) -> DataFrame:
     """Of each azimuth the greatest angle and its distance, the nearest on ties; -90 and null where no elevation is known."""
     angle = F.coalesce(apparent_angle(F.col(elevation) - F.col(own), F.col("d").cast("double")), F.lit(-90.0))
-    best = first_by(points.withColumn("angle", angle), [*keys, "az"], F.desc("angle"), F.asc("d"))
+    best = points.groupBy(*keys, "az").agg(F.max(F.struct(angle.alias("angle"), (-F.col("d")).alias("near"))).alias("x"))  # points are reduced where they are made
+    best = best.select(*keys, "az", "x.angle", (-F.col("x.near")).alias("d"))
     return best.select(*keys, "az", "angle", F.when(F.col("angle") > -90, F.col("d")).alias("distance"))
 
 

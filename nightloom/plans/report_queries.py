@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nightloom.functions import clock, geo, sky
@@ -149,6 +148,5 @@ def sun_events(spark, sf_dir):
 
 @query(f"""WITH {SITES}, w AS (SELECT id, lag(alr) OVER (ORDER BY id) AS before, alr FROM sites WHERE id < 200) SELECT id, CASE WHEN before IS NULL THEN 'first' WHEN alr > before THEN 'up' ELSE 'down' END AS step FROM w""")
 def step_direction(spark, sf_dir):
-    w = Window.orderBy("id")
-    s = inputs.sites(spark, sf_dir).filter("id < 200").withColumn("before", F.lag("alr").over(w))
+    s = rank.lagged(inputs.sites(spark, sf_dir).filter("id < 200"), "id", "alr", "before")
     return s.select("id", F.when(F.col("before").isNull(), "first").when(F.col("alr") > F.col("before"), "up").otherwise("down").alias("step"))

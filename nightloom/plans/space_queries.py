@@ -406,8 +406,8 @@ def vincenty_points(spark, sf_dir):
 
 @query()
 def horizon_profile(spark, sf_dir):
-    """Horizons of a few sites from rays over an elevation table: points, tile lookup, greatest angle of each azimuth."""
-    s = inputs.few_sites(spark, sf_dir).filter("id < 3").withColumn("own", F.lit(300.0))
-    points = terrain.ray_points(s, reach=3000, step=100, azimuths=36)
+    """Horizons of all sites from rays over an elevation table: points, tile lookup, greatest angle of each azimuth."""
+    s = inputs.few_sites(spark, sf_dir).withColumn("own", F.lit(300.0))
+    points = terrain.ray_points(s)
     e = ((F.floor(F.col("lat2") * 2000) * 31 + F.floor(F.col("lon2") * 2000) * 17) % 900).cast("double")
     return terrain.horizon(points.withColumn("elev", e), ["id"], "elev", "own").select("id", "az", F.round("angle", 6).alias("angle"), "distance")

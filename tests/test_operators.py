@@ -211,6 +211,26 @@ def test_ranks(spark):
     assert rank.threshold_for(df, "v", 2).first().threshold == 1.5
 
 
+def test_lag_over_ranges(spark):
+    values = {i * 7 % 1000: None if i % 13 == 0 else i for i in range(1000)}
+    df = spark.createDataFrame(list(values.items()), "id long, v long").repartition(6)
+    got = {r.id: r.before for r in rank.lagged(df, "id", "v", "before").collect()}
+    assert got == {i: values.get(i - 1) for i in values}
+    assert rank.lagged(df.filter("false"), "id", "v", "before").collect() == []
+
+
+def test_horizon_profiles_are_whole(spark):
+    from nightloom.plans import space_queries
+
+    rows = space_queries.horizon_profile(spark, "/root/testdata/sf0.001").collect()
+    suppliers = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    assert len(rows) == suppliers * 360 == len({(r.id, r.az) for r in rows})
+    site = spark.createDataFrame([(1, 35.0, 138.0)], "id long, lat double, lon double")
+    assert terrain.ray_points(site).agg(F.count(F.lit(1)), F.max("d"), F.max("az")).first()[:] == (360 * 500, 50_000, 359)
+    one = terrain.horizon(spark.createDataFrame([(1, 0, 200, 20.0), (1, 0, 100, 10.0), (1, 0, 100, None), (1, 1, 100, None)], "id long, az int, d int, e double").withColumn("own", F.lit(0.0)), ["id"], "e", "own")
+    assert sorted((r.az, r.distance) for r in one.collect()) == [(0, 100), (1, None)]
+
+
 def test_status(spark):
     df = spark.createDataFrame([("a", i == 0, False) for i in range(5)] + [("b", i == 0, False) for i in range(6)] + [("c", False, True)] + [("d", False, False)], "k string, f boolean, l boolean")
     assert {r.k: r.status for r in audit.summary(df, ["k"], F.col("f"), F.col("l")).collect()} == {"a": "abort", "b": "partial", "c": "abort", "d": "ok"}

@@ -114,7 +114,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
     records = light.join(first, "sha1").withColumn("record_type", kind)
     count = F.greatest(F.ceil(F.octet_length("body") / chunk), F.lit(1)).cast("int")
     cut = rows.select("key", "sha1", "body", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_no")).select("key", "sha1", "chunk_no", F.substring("body", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("chunk"))
-    table = cut.join(records, ["key", "sha1"]).filter((F.col("record_type") == "response") | (F.col("chunk_no") == 0))
+    # The writer needs a record's rows together; a join's own exchange is given up for a broadcast, or split, this one is not.
+    table = cut.repartition("key", "sha1").join(records, ["key", "sha1"]).filter((F.col("record_type") == "response") | (F.col("chunk_no") == 0))
     table = table.withColumn("chunk", F.when(F.col("record_type") == "response", F.col("chunk")))
     ordered = table.sortWithinPartitions("key", "sha1", "chunk_no").select("key", "sha1", "chunk_no", "chunk", "url", "payload_bytes", "copies", "record_type", "refers_key")
     return settle(ordered.mapInArrow(partial(write_part, folder=folder), "file string, records long"))

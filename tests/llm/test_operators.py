@@ -452,6 +452,21 @@ def test_warc(spark, tmp_path):
     assert {r.page_id: r.record_type for r in kept}[1] == "response"
 
 
+def test_warc_repeated_rows_of_several_partitions(spark, tmp_path):
+    rows = [(1, "a", "x" * 200_000)] * 6 + [(2, "b", "y")] * 3 + [(None, "c", "y")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.repartition(len(rows)).write.parquet(str(tmp_path / "pages"))  # small files: what is joined to the pages is broadcast
+    df = spark.read.parquet(str(tmp_path / "pages"))
+    for most in ("10m", "-1"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            got = warc.read_archives(warc.write_archives(df, str(tmp_path / most)), with_data=False).filter("is_last").collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert sorted((r.page_id or 0, r.copies) for r in got) == [(0, 2), (1, 6), (2, 3)]
+
+
 def test_gapless(spark):
     df = spark.range(1000).select((F.col("id") % 3 * F.when(F.col("id") % 2 == 0, 0).otherwise(1)).alias("k"), "id").repartition(7)
     got = collections.defaultdict(list)

@@ -3,8 +3,8 @@
 Only the histogram of piece lengths reaches the driver: at most ``size`` numbers, whatever the corpus. Over it, the program
 asks for the fewest sequences, each filled by one configuration (a multiset of lengths that fits), so that every length is
 covered. It is solved by multiplicative weights: lengths that lag behind get dearer, and a knapsack dynamic program prices
-the most valuable configuration of the moment. The solution is rounded down to whole numbers of sequences; what is left of
-the histogram is packed best-fit. The plan is a table of runs - the r-th to s-th piece of a length go to these sequences -
+the most valuable configurations of the moment. The solution is rounded to whole numbers of sequences and the program solved
+anew for what is left; the last tenth is packed best-fit. The plan is a table of runs - the r-th to s-th piece of a length go to these sequences -
 that is joined with the pieces, which are numbered within their lengths partition by partition.
 """
 
@@ -25,8 +25,13 @@ from nightloom.llm import segments
 from nightloom.llm.common import settle
 
 SIZE, END = 1024, 2
-#: Configurations that are priced at most, and how near to the bound the program's value must come to stop before.
-ROUNDS, NEAR = 300, 0.002
+#: Shares to which all lengths are covered one after another, how fast a price falls with the share that is covered, the power
+#: of a length that it starts from, and lengths for which configurations are bought at the same prices.
+LEVELS, RATE, STEEP, AT_ONCE = (0.25, 0.5, 0.75, 0.9, 1.0), 3.0, 1.2, 1024
+#: Rounding: least part of the value that is taken from each solution, how full its configurations are, and where it ends.
+SHARE, FULL, LAST = 0.5, 0.995, 0.1
+#: Rows of a plan up to which it is broadcast: about 5 MB.
+BROADCAST = 100_000
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -93,88 +98,114 @@ def best_fit(counts: dict[int, int], size: int) -> Counter:
     return out
 
 
-def priciest(price: np.ndarray, size: int) -> tuple[int, ...]:
-    """The most valuable configuration: an unbounded knapsack by dynamic programming over the capacity."""
-    lengths = np.flatnonzero(price)
-    value, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+def knapsack(price: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every capacity the value of its most valuable configuration, and a length of it (0: the capacity below is as good).
+
+    An unbounded knapsack by dynamic programming; ``price`` holds a price for each length up to ``size``, minus infinity for
+    lengths that can't be had. Of lengths of equal worth the longest is taken, which leaves short ones to fill gaps later.
+    """
+    back, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)  # back[size - c]: value of capacity c
+    own = price[1:]
     for c in range(1, size + 1):
-        fits = lengths[: np.searchsorted(lengths, c, side="right")]
-        value[c] = value[c - 1]
-        if len(fits):
-            v = value[c - fits] + price[fits]
-            j = int(v.argmax())
-            if v[j] > value[c]:
-                value[c], last[c] = v[j], fits[j]
-    out, c = [], size
-    while c > 0:
-        if last[c]:
-            out.append(int(last[c]))
-            c -= int(last[c])
+        worth = back[size - c + 1 :] + own[:c]
+        j = c - 1 - int(worth[::-1].argmax())
+        below = back[size - c + 1]
+        if worth[j] > below:
+            back[size - c], last[c] = worth[j], j + 1
         else:
-            c -= 1
-    return tuple(sorted(out, reverse=True))
+            back[size - c] = below
+    return back[::-1], last
+
+
+def configurations(last: np.ndarray, first: np.ndarray, size: int) -> list[tuple[int, ...]]:
+    """For each length in ``first`` the most valuable configuration that holds it."""
+    with_item = np.maximum.accumulate(np.where(last > 0, np.arange(size + 1), 0))
+    rem, columns = with_item[size - first], [first]
+    while rem.any():
+        columns.append(last[rem])
+        rem = with_item[rem - columns[-1]]
+    rows = -np.sort(-np.stack(columns, 1), 1)
+    return [tuple(r[:n]) for r, n in zip(rows.tolist(), (rows > 0).sum(1).tolist(), strict=True)]
 
 
-def fractional(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
-    """A solution of the configuration program by multiplicative weights, and a lower bound on its value from its prices.
+def fractional(counts: dict[int, int], size: int, levels: tuple[float, ...] = LEVELS) -> tuple[dict[tuple[int, ...], float], float]:
+    """A feasible solution of the configuration program by multiplicative weights, and a lower bound from its prices.
 
-    Every round buys as much of the priciest configuration as meets one of its lengths' remaining need in full or, early on,
-    a tenth of it, and lowers the prices of what it covers. Any prices, scaled so that no configuration is worth more
-    than 1, bound the value from below.
+    A length's price falls exponentially with the share of its pieces that is covered, so what lags behind gets dearer. For
+    one level after the other, nearly every length is brought to that share: a knapsack prices the lengths of the moment,
+    and for those that lag most, longest first, the most valuable configuration that holds them is bought, as much of it as
+    takes none of its lengths beyond the next level. The last level is 1, so every length is covered exactly, and the
+    solution's value is never below the bound. Any prices, scaled so that no configuration is worth more than 1, bound it.
     """
-    need = np.zeros(size + 1)
-    need[list(counts)] = list(counts.values())
-    lengths = np.flatnonzero(need)
-    covered, weight = np.zeros(size + 1), np.zeros(size + 1)
-    weight[lengths] = lengths / size
-    bought: dict[tuple[int, ...], float] = defaultdict(float)
-    bound = float((need * np.arange(size + 1)).sum() / size)
-    for k in range(rounds):
-        config = priciest(weight, size)
-        have = Counter(config)
-        worth = sum(weight[x] * n for x, n in have.items())
-        bound = max(bound, float((weight * need).sum() / worth))
-        share = max(0.02, 0.1 * (1 - k / rounds))
-        amount = min(max(share * need[x], 1.0) / n for x, n in have.items())
-        bought[config] += amount
-        for x, n in have.items():
-            covered[x] += amount * n
-            weight[x] *= np.exp(-0.5 * amount * n / need[x])
-        done = covered[lengths] / need[lengths]
-        if done.min() >= 1 and sum(bought.values()) / done.min() <= bound * (1 + NEAR):
-            break
-    done = float((covered[lengths] / need[lengths]).min()) if len(lengths) else 1.0
-    if done > 0:
-        return {c: x / done for c, x in bought.items()}, bound
+    lengths = np.array(sorted(counts), np.int64)
+    need = np.array([counts[x] for x in lengths.tolist()], float)
+    at = {x: i for i, x in enumerate(lengths.tolist())}
+    start, covered, bought = (lengths / size) ** STEEP, np.zeros(len(lengths)), defaultdict(float)
+    bound = float((need * lengths).sum() / size)
+    for level, cap in zip(levels, (*levels[1:], levels[-1]), strict=True):
+        room = np.maximum(cap - covered, 0) * need
+        first = True
+        while (late := np.flatnonzero(room > (cap - level + 1e-6) * need)).size > (0 if cap == level else len(lengths) // 20):
+            covered = cap - room / need
+            weight = start * np.exp(-RATE * (covered - covered.min()))
+            price = np.full(size + 1, -np.inf)
+            price[lengths[room > 0]] = weight[room > 0]
+            value, last = knapsack(price, size)
+            if first and (room > 0).all():
+                bound = max(bound, float((weight * need).sum() / value[size]))
+            first = False
+            late = late[np.lexsort((-lengths[late], covered[late]))][:AT_ONCE]
+            for config in configurations(last, lengths[late], size):
+                have = Counter(config)
+                amount = min(room[at[x]] / k for x, k in have.items())
+                if amount > 0:
+                    bought[config] += amount
+                    for x, k in have.items():
+                        rest = room[at[x]] - amount * k
+                        room[at[x]] = rest if rest > 1e-7 * need[at[x]] else 0.0
+        covered = cap - room / need
     return dict(bought), bound
 
 
-def plan(counts: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> Counter:
-    """Configurations with their whole numbers of sequences, which hold each length exactly as often as it occurs.
+def rounded(counts: dict[int, int], size: int) -> tuple[Counter, dict[int, int]]:
+    """Whole configurations from the program, and what they leave of the histogram.
 
-    Full-length pieces take a sequence each. The fractional solution is scaled to where no length is covered too often on
-    the whole, rounded down, and the rest packed best-fit; of a few such scalings the one with the fewest sequences is taken.
+    The solution's whole parts are taken, and where they come to less than half of its value, single sequences of the full
+    configurations with the fewest pieces, as far as there are pieces for them; then the program is solved for what is left,
+    until that is a tenth of the first solution.
     """
-    counts = {x: n for x, n in counts.items() if n}
-    alone = Counter({(size,): counts[size]}) if size in counts else Counter()
-    counts = {x: n for x, n in counts.items() if x != size}
-    if not counts:
-        return alone
-    solution, _ = fractional(counts, size, rounds)
-    best: Counter | None = None
-    for scale in (1.0, 0.97, 0.9, 0.75, 0.5, 0.25):
-        left, made = dict(counts), Counter()
-        for config, x in sorted(solution.items(), key=lambda c: (-sum(c[0]), -c[1], c[0])):
+    left, made, total = {x: n for x, n in counts.items() if n}, Counter(), None
+    while left:
+        solution, _ = fractional(left, size)
+        value, taken = sum(solution.values()), 0
+        total = total or value
+        if value < LAST * total or value < 2:
+            break
+        whole = {c: int(x + 1e-6) for c, x in solution.items()}
+        for config in sorted((c for c in solution if sum(c) >= FULL * size), key=lambda c: (-whole[c], len(c), -solution[c], c)):
+            if not whole[config] and taken >= SHARE * value:
+                break
             have = Counter(config)
-            n = min(int(x * scale), *(left[y] // k for y, k in have.items()))
-            if n > 0:
+            n = min(max(whole[config], 1), *(left.get(x, 0) // k for x, k in have.items()))
+            if n:
                 made[config] += n
-                for y, k in have.items():
-                    left[y] -= n * k
-        made += best_fit({y: n for y, n in left.items() if n}, size)
-        if best is None or sum(made.values()) < sum(best.values()):
-            best = made
-    return alone + best
+                taken += n
+                for x, k in have.items():
+                    left[x] -= n * k
+        left = {x: n for x, n in left.items() if n}
+        if not taken:
+            break
+    return made, left
+
+
+def plan(counts: dict[int, int], size: int = SIZE) -> Counter:
+    """Configurations with their whole numbers of sequences, which hold each length exactly as often as it occurs.
+
+    Full-length pieces take a sequence each; the other lengths go by ``rounded``, and its rest best-fit.
+    """
+    alone = Counter({(size,): counts[size]}) if counts.get(size) else Counter()
+    made, left = rounded({x: n for x, n in counts.items() if x != size}, size)
+    return alone + made + best_fit(left, size)
 
 
 def runs(configs: Counter) -> list[tuple[int, int, int, int, int, int]]:
@@ -191,7 +222,7 @@ def runs(configs: Counter) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def packed(docs: DataFrame, tokenizer: str, *, size: int = SIZE, end_id: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, rounds: int = ROUNDS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, *, size: int = SIZE, end_id: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids if ``with_ids``.
 
     A document is its text's ids and ``end_id``, so a null or empty text is one id. Documents of more than ``size`` ids are
@@ -207,10 +238,12 @@ def packed(docs: DataFrame, tokenizer: str, *, size: int = SIZE, end_id: int = E
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     kind = "length long, lo long, hi long, sequence long, slots long, at long"
-    planned = docs.sparkSession.createDataFrame([tuple(map(int, x)) for x in runs(plan(histogram, size, rounds))], kind)
+    table = [tuple(map(int, x)) for x in runs(plan(histogram, size))]
+    planned = docs.sparkSession.createDataFrame(table, kind)
     ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # The plan's rows are bounded by the number of configurations times the lengths of one, whatever the corpus.
-    own = ranked.join(F.broadcast(planned), (ranked["length"] == planned["length"]) & (F.col("lo") <= F.col("rank")) & (F.col("rank") < F.col("hi"))).drop(planned["length"])
+    # The plan grows with ``size``, not with the corpus: some 7,000 rows for 1,024. Should it be large, it is shuffled instead.
+    planned = F.broadcast(planned) if len(table) <= BROADCAST else planned
+    own = ranked.join(planned, (ranked["length"] == planned["length"]) & (F.col("lo") <= F.col("rank")) & (F.col("rank") < F.col("hi"))).drop(planned["length"])
     nth = F.col("rank") - F.col("lo")
     sequence = F.col("sequence") + F.floor(nth / F.col("slots")).cast("long")
     offset = F.col("at") + F.pmod(nth, F.col("slots")) * F.col("length")

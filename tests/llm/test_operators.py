@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from nightloom.llm import bpe, common, exact_dedup, html_text, near_dedup, packing, quality, secrets, segments, shards, token_files, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+SF = "/root/testdata/sf0.01"
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 WORDS = "the of and to in is that river stone light morning window garden letter number story city winter market road people water night music paper forest bridge friend summer table voice".split()
@@ -355,20 +357,55 @@ def test_packing(docs, ids):
     assert packing.packed(empty(docs), JSON).collect() == []
 
 
-def test_plans_cover_the_histogram():
-    rng = np.random.default_rng(1)
-    for n in (1, 30, 5000):
-        counts = dict(collections.Counter(np.clip(rng.lognormal(5.5, 1, n).astype(int), 1, 1024).tolist()))
-        configs = packing.plan(counts, rounds=60)
-        held = collections.Counter()
-        for c, k in configs.items():
-            assert sum(c) <= 1024
-            for x in c:
-                held[x] += k
-        assert held == collections.Counter(counts)
-        assert sum(configs.values()) <= sum(packing.best_fit(counts, 1024).values())
-    solution, bound = packing.fractional({700: 10, 300: 10, 24: 10}, 1024)
-    assert sum(solution.values()) <= 1.1 * bound and abs(bound - 10) < 0.1
+def lognormal_lengths(n):
+    return dict(collections.Counter(np.clip(np.random.default_rng(n).lognormal(5.5, 1, n).astype(int), 1, 1024).tolist()))
+
+
+def real_lengths():
+    import pyarrow.parquet as pq
+
+    _, n = segments.library(JSON).batch(pq.read_table(f"{SF}/documents.parquet").column("text").combine_chunks())
+    return dict(collections.Counter((n % 1024 + 1).tolist()))
+
+
+@pytest.mark.parametrize("name", ["1", "30", "60000", "real"])
+def test_plans_cover_the_histogram(name):
+    if name == "real" and not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    counts = real_lengths() if name == "real" else lognormal_lengths(int(name))
+    held, configs = collections.Counter(), packing.plan(counts)
+    for c, k in configs.items():
+        assert sum(c) <= 1024
+        for x in c:
+            held[x] += k
+    assert held == collections.Counter(counts)
+    sequences, least = sum(configs.values()), -(-sum(x * k for x, k in counts.items()) // 1024)
+    assert sequences <= max(1.005 * sum(packing.best_fit(counts, 1024).values()), least + 1)
+    counts.pop(1024, None)
+    solution, bound = packing.fractional(counts, 1024)
+    covered = collections.Counter()
+    for c, x in solution.items():
+        assert sum(c) <= 1024 and x > 0
+        for y in c:
+            covered[y] += x
+    assert all(abs(covered[y] - k) < 1e-6 * k for y, k in counts.items()) and covered.keys() == counts.keys()
+    assert bound - 1e-6 <= sum(solution.values()) <= (1.02 * bound if sum(counts.values()) > 30 else bound + 1)
+    made, left = packing.rounded(counts, 1024)
+    if sum(counts.values()) > 30:
+        assert sum(made.values()) > 0.7 * sequences - counts.get(1024, 0)
+
+
+def test_the_bound_is_of_the_program():
+    """Two lengths of which no two fit together with anything: the prices prove more than the tokens do."""
+    solution, bound = packing.fractional({700: 10, 600: 10}, 1024)
+    assert abs(sum(solution.values()) - 20) < 1e-9 and 12 < bound <= 20 + 1e-9
+    price = np.full(11, -np.inf)
+    price[[2, 3, 7]] = 2.0, 3.5, 7.0
+    value, last = packing.knapsack(price, 10)
+    brute = [max((2.0 * a + 3.5 * b + 7.0 * c for a in range(6) for b in range(4) for c in range(2) if 2 * a + 3 * b + 7 * c <= n), default=0) for n in range(11)]
+    assert np.allclose(value, brute)
+    assert packing.configurations(last, np.array([7, 2]), 10) == [(7, 3), (3, 3, 2, 2)]
+    assert packing.plan({}) == packing.best_fit({}, 1024) == collections.Counter() and packing.plan({1024: 3}) == {(1024,): 3}
 
 
 def test_bpe_round_trip(docs):

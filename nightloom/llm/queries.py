@@ -41,7 +41,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digested(secrets.scanned(documents(spark, sf_dir)))
+    return secrets.digested(secrets.scanned(documents(spark, sf_dir), words=public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

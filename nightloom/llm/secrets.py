@@ -1,18 +1,20 @@
 """Secret scans: fixed patterns, and guess cost by dynamic programming for values in a credential's context.
 
 The cost of a value is the least sum, over all its segmentations, of the logarithms of the guesses that each segment takes: a
-dictionary word by its rank, a date by its distance in days, a repeat by its unit and count, a keyboard walk by its starts and
-length, anything else character by character. Values that stand where a credential stands, and that no cheap segmentation
+dictionary word by its rank, a date by its distance in days, a repeat by the cheapest cost of its unit and its count, a keyboard walk by
+its starts, length and turns, anything else character by character. Values that stand where a credential stands, and that no cheap segmentation
 explains, are reported beside the patterns' matches.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import re
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -51,17 +53,36 @@ COMMON = (
     "january february march april june july august september october november december monday tuesday wednesday thursday friday "
     "saturday sunday the and for you that with this have from not but all can has was one our out day get"
 ).split()
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-LONGEST = max(map(len, COMMON))
+#: Words of at least this many characters are looked up; sub-walks, and units of a repeat, have at most so many characters, and
+#: repeats are told apart by their count up to so many (beyond, only the whole run of copies and these counts are segments).
+LEAST_WORD, MOST_WALK, MOST_UNIT, MOST_COUNT = 3, 32, 64, 16
 #: Rows of the keyboard and the two sequences that count as walks in either direction.
 WALKS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789", "qazwsxedcrfvtgbyhnujmikolp")
 FORWARD = frozenset(a + b for w in WALKS for a, b in zip(w, w[1:], strict=False))
 STEPS = FORWARD | frozenset(p[::-1] for p in FORWARD)
-LEET = str.maketrans("@4301$57", "aaeoisst")
+#: Characters that stand for letters; 1 stands for two of them.
+LEET = (str.maketrans("@43015$7!", "aaeoissti"), str.maketrans("@43015$7!", "aaeolssti"))
 _YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:1[0-2]|0?[1-9])", r"(?:3[01]|[12]\d|0?[1-9])"
-DATE = re.compile(rf"(?:{_YEAR}([-./]?){_MONTH}\1{_DAY}|{_DAY}([-./]?){_MONTH}\2{_YEAR}|{_YEAR})")
-YEAR = re.compile(r"(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,16}?)\1{1,}", re.S)
+#: A year; year, month and day; and day and month in either order before a year or the last two digits of one.
+DATE = re.compile(rf"(?P<year>{_YEAR})(?:(?P<a>[-./_]?){_MONTH}(?P=a){_DAY})?|(?:{_DAY}(?P<b>[-./_]?){_MONTH}|{_MONTH}(?P<c>[-./_]?){_DAY})(?(b)(?P=b)|(?P=c))(?P<last>{_YEAR}|\d\d)", re.A)
+
+
+@lru_cache(4)
+def dictionary(path: str | None) -> tuple[dict[str, int], int]:
+    """Words with their ranks, and the longest one's length: COMMON first, then the whole words of a tokenizer's rank file.
+
+    The file has a token (base64 of its bytes) and its rank in each line, most frequent first; its whole words are the tokens
+    of a space and letters. ``None``: COMMON alone.
+    """
+    words = [w for w in COMMON if len(w) >= LEAST_WORD]
+    if path:
+        with open(path, "rb") as f:
+            tokens = [base64.b64decode(x.split()[0]) for x in f if x.strip()]
+        words += [t[1:].decode().lower() for t in tokens if len(t) > LEAST_WORD and t[:1] == b" " and t[1:].isalpha()]
+    ranks: dict[str, int] = {}
+    for w in words:
+        ranks.setdefault(w, len(ranks) + 1)
+    return ranks, max(map(len, ranks))
 
 
 def character_cost(value: str) -> float:
@@ -70,55 +91,115 @@ def character_cost(value: str) -> float:
     return math.log10(max(kinds + 33 * any(not (c.isascii() and c.isalnum()) for c in value), 10))
 
 
-def segments_of(value: str) -> Iterator[tuple[int, int, str, float]]:
-    """(start, end, kind, log10 of guesses) of the words, dates, repeats and keyboard walks in a value."""
+def word_cost(word: str, rank: int, extra: float) -> float:
+    case = 0.0 if word == word.lower() else math.log10(2) if word in (word.capitalize(), word.upper()) else 0.3 * len(word)
+    return math.log10(rank + 1) + case + extra
+
+
+def date_cost(date: str) -> float | None:
+    """log10 of the guesses of a date in any of its forms; None for what is none."""
+    m = DATE.fullmatch(date)
+    if not m:
+        return None
+    year = int(m["year"] or m["last"])
+    if year < 100:
+        year += 1900 if year >= 50 else 2000
+    return math.log10(max(20, abs(year - 2020)) * (1 if len(date) == 4 and m["year"] else 365)) + 0.6 * (not date.isdigit())
+
+
+def walk_cost(length: int, turns: int) -> float:
+    return math.log10(26 * length) + turns * math.log10(3)
+
+
+def repeat_cost(unit: float, count: int) -> float:
+    return unit + math.log10(count)
+
+
+def lowered(value: str) -> str:
     low = value.lower()
-    for text, extra in ((low, 0.0), (low.translate(LEET), math.log10(2))):
-        for i in range(len(text)):
-            for j in range(i + 3, min(i + LONGEST, len(text)) + 1):
-                if text[i:j] in RANK:
-                    word = value[i:j]
-                    case = 0.0 if word == word.lower() else math.log10(2) if word in (word.capitalize(), word.upper()) else 0.3 * (j - i)
-                    yield i, j, "word", math.log10(RANK[text[i:j]] + 1) + case + extra
-        if text == low.translate(LEET):
-            break
-    for i in range(len(value)):
-        if m := DATE.match(value, i):
-            years = max(20, abs(int(YEAR.search(m[0])[0]) - 2020))
-            yield i, m.end(), "date", math.log10(years * (1 if len(m[0]) == 4 else 365)) + 0.6 * (not m[0].isdigit())
-    for m in REPEAT.finditer(value):
-        unit = m[1]
-        whole = RANK.get(unit.lower())
-        yield m.start(), m.end(), "repeat", (math.log10(whole + 1) if whole else len(unit) * character_cost(unit)) + math.log10(len(m[0]) // len(unit))
-    i = 0
-    while i < len(low) - 1:
-        j = i + 1
-        turns, before = 0, None
-        while j < len(low) and low[j - 1 : j + 1] in STEPS:
-            way = low[j - 1 : j + 1] in FORWARD
-            turns += before is not None and way != before
-            before = way
-            j += 1
-        if j - i >= 3:
-            yield i, j, "walk", math.log10(26 * (j - i)) + turns * math.log10(3)
-        i = max(j - 1, i + 1)
-
-
-def cheapest(value: str) -> tuple[float, list[tuple[int, int, str]]]:
-    """log10 of the guesses of the cheapest segmentation, and its segments: the shortest path through the value's places."""
-    ending: dict[int, list[tuple[int, str, float]]] = {}
-    for i, j, kind, cost in segments_of(value):
-        ending.setdefault(j, []).append((i, kind, cost))
-    each = character_cost(value)
-    best, back = [0.0], [(0, "")]
-    for j in range(1, len(value) + 1):
-        cost, i, kind = best[j - 1] + each, j - 1, "brute"
-        for start, what, c in ending.get(j, ()):
-            if best[start] + c < cost:
-                cost, i, kind = best[start] + c, start, what
-        best.append(cost)
-        back.append((i, kind))
-    out, j = [], len(value)
+    return low if len(low) == len(value) else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)  # some letters become two
+
+
+def words_from(value: str, words: str | None) -> Callable[[int], Iterator[tuple[int, str, float]]]:
+    ranks, longest = dictionary(words)
+    low = lowered(value)
+    forms = [(low, 0.0)] + [(t, math.log10(2)) for t in dict.fromkeys(low.translate(m) for m in LEET) if t != low]
+
+    def found(i: int) -> Iterator[tuple[int, str, float]]:
+        for j in range(i + LEAST_WORD, min(i + longest, len(value)) + 1):
+            for text, extra in forms:
+                part = text[i:j]
+                if part in ranks:
+                    yield j, "word", word_cost(value[i:j], ranks[part], extra)
+                if part[::-1] in ranks:
+                    yield j, "word", word_cost(value[i:j], ranks[part[::-1]], extra + math.log10(2))
+
+    return found
+
+
+def dates_from(value: str, i: int) -> Iterator[tuple[int, str, float]]:
+    if value[i].isdigit():
+        for j in range(i + 4, min(i + 10, len(value)) + 1):
+            if (cost := date_cost(value[i:j])) is not None:
+                yield j, "date", cost
+
+
+def walks_from(low: str, i: int) -> Iterator[tuple[int, str, float]]:
+    """Sub-walks of three and more characters from a place; of longer ones than MOST_WALK, the whole one too."""
+    j, turns, before = i + 1, 0, None
+    while j < len(low) and low[j - 1 : j + 1] in STEPS:
+        way = low[j - 1 : j + 1] in FORWARD
+        turns += before is not None and way != before
+        before, j = way, j + 1
+        if 3 <= j - i <= MOST_WALK:
+            yield j, "walk", walk_cost(j - i, turns)
+        elif j - i > MOST_WALK:
+            if i and low[i - 1 : i + 1] in STEPS:  # within a longer one
+                return
+    if j - i > MOST_WALK:
+        yield j, "walk", walk_cost(j - i, turns)
+
+
+def periods(value: str) -> list[list[tuple[int, int]]]:
+    """For each place the (unit length, copies) that stand there, for units that are no repeats themselves."""
+    n = len(value)
+    data = np.frombuffer(value.encode("utf-32-le"), "<u4")
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for u in range(1, min(MOST_UNIT, n // 2) + 1):
+        differs = np.append(np.flatnonzero(data[u:] != data[: n - u]), n - u)
+        places = np.arange(n - u)
+        run = differs[np.searchsorted(differs, places)] - places  # characters from here on that come again u later
+        for i in places[run >= u].tolist():
+            if not any(u % v == 0 and v * copies >= u for v, copies in out[i]):
+                out[i].append((u, int(run[i]) // u + 1))
+    return out
+
+
+def cheapest(value: str, words: str | None = None) -> tuple[float, list[tuple[int, int, str]]]:
+    """log10 of the guesses of the cheapest segmentation, and its segments: the shortest path through the value's places.
+
+    Segments are the words (also reversed, or with look-alikes for letters), dates, sub-walks and repeats from every place;
+    a unit of a repeat costs what its own cheapest segmentation costs. ``words``: a dictionary's file.
+    """
+    return _cheapest(value, words, character_cost(value))
+
+
+@lru_cache(20_000)
+def _cheapest(value: str, words: str | None, each: float) -> tuple[float, list[tuple[int, int, str]]]:
+    n = len(value)
+    best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    found, low, copies = words_from(value, words), lowered(value), periods(value)
+    for i in range(n):
+        here = best[i]
+        segments = [(i + 1, "brute", each), *found(i), *dates_from(value, i), *walks_from(low, i)]
+        for u, count in copies[i]:
+            unit = _cheapest(value[i : i + u], words, each)[0]
+            segments += [(i + u * k, "repeat", repeat_cost(unit, k)) for k in {*range(2, min(count, MOST_COUNT) + 1), count}]
+        for j, kind, cost in segments:
+            if here + cost < best[j]:
+                best[j], back[j] = here + cost, (i, kind)
+    out: list[tuple[int, int, str]] = []
+    j = n
     while j:
         i, kind = back[j]
         if out and kind == "brute" == out[-1][2] and out[-1][0] == j:
@@ -129,7 +210,7 @@ def cheapest(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[-1], out[::-1]
 
 
-def spans_of(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, int, float]]:
+def spans_of(text: str, threshold: float = THRESHOLD, words: str | None = None) -> list[tuple[str, int, int, int, float]]:
     """(kind, start, end, start of the value, log10 of guesses) by start, then kind; places are code points."""
     out = []
     for kind, pattern, group, least in BASE:
@@ -139,39 +220,40 @@ def spans_of(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, in
         a, at = m.span(m.lastgroup)
         if any(x <= a and at <= y for x, y in base):
             at = a  # a value that isn't reported here may hold a name with a value of its own
-        elif cheapest(text[a:at])[0] >= threshold:
+        elif cheapest(text[a:at], words)[0] >= threshold:
             out.append(("guess", m.start(), at, a))
         else:
             at = a
     out.sort(key=lambda x: (x[1], KINDS.index(x[0])))
-    return [(kind, a, b, v, cheapest(text[v:b])[0]) for kind, a, b, v in out]
+    return [(kind, a, b, v, cheapest(text[v:b], words)[0]) for kind, a, b, v in out]
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,value:int,guesses:double>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int32()), ("guesses", pa.float64())]))
 
 
-def found(texts: pa.Array, threshold: float) -> pa.Array:
+def found(texts: pa.Array, threshold: float, words: str | None) -> pa.Array:
     texts = pc.fill_null(texts, "")
     may = pc.match_substring_regex(texts, MAY).to_pylist()
     names = ("kind", "start", "end", "value", "guesses")
-    return pa.array([[dict(zip(names, s, strict=True)) for s in spans_of(texts[i].as_py(), threshold)] if m else [] for i, m in enumerate(may)], _ARROW)
+    return pa.array([[dict(zip(names, s, strict=True)) for s in spans_of(texts[i].as_py(), threshold, words)] if m else [] for i, m in enumerate(may)], _ARROW)
 
 
-def scan_batches(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def scan_batches(batches: Iterator[pa.RecordBatch], threshold: float, words: str | None) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "__text"):
         keep = [n for n in batch.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), found(batch.column("__text"), threshold)], names=[*keep, "spans"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), found(batch.column("__text"), threshold, words)], names=[*keep, "spans"])
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, words: str | None = None) -> DataFrame:
     """doc_id and spans of every row's whole text, as array of (kind, start, end, value, guesses).
 
-    ``value``: where the credential itself starts within the span; ``guesses``: log10 of its guess cost. Null and empty
+    ``value``: where the credential itself starts within the span; ``guesses``: log10 of its guess cost; ``words``: a rank file
+    for the dictionary, at the same place on every executor. Null and empty
     texts have no spans; rows that repeat are scanned each; other columns are ignored; no rows, no result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(partial(scan_batches, threshold=threshold), f"doc_id long, spans {SPANS}")
+    return rows.mapInArrow(partial(scan_batches, threshold=threshold, words=words), f"doc_id long, spans {SPANS}")
 
 
 def listed(spans: Column) -> Column:
@@ -185,28 +267,28 @@ def digested(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base), F.sha2(listed(of(*base)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def masked(text: str, mask: str, threshold: float) -> str:
+def masked(text: str, mask: str, threshold: float, words: str | None = None) -> str:
     out, at = [], 0
-    for _, _, end, value, _ in sorted(spans_of(text, threshold), key=lambda x: x[3]):
+    for _, _, end, value, _ in sorted(spans_of(text, threshold, words), key=lambda x: x[3]):
         if value >= at:
             out += [text[at:value], mask]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
 
-def mask_batches(batches: Iterator[pa.RecordBatch], text_col: str, mask: str, threshold: float) -> Iterator[pa.RecordBatch]:
+def mask_batches(batches: Iterator[pa.RecordBatch], text_col: str, mask: str, threshold: float, words: str | None) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, text_col):
         i = batch.schema.get_field_index(text_col)
         texts = batch.column(i)
         may = pc.match_substring_regex(pc.fill_null(texts, ""), MAY)
         if pc.any(may).as_py():
-            new = pa.array([masked(t.as_py(), mask, threshold) if m else t.as_py() for t, m in zip(texts, may.to_pylist(), strict=True)], texts.type)
+            new = pa.array([masked(t.as_py(), mask, threshold, words) if m else t.as_py() for t, m in zip(texts, may.to_pylist(), strict=True)], texts.type)
             batch = batch.set_column(i, batch.schema.field(i), new)
         yield batch
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", *, mask: str = "[SECRET]", threshold: float = THRESHOLD, length_col: str | None = None) -> DataFrame:
+def mask_secrets(docs: DataFrame, text_col: str = "text", *, mask: str = "[SECRET]", threshold: float = THRESHOLD, words: str | None = None, length_col: str | None = None) -> DataFrame:
     """``docs`` with every found value replaced by ``mask``; other columns and rows as they are, null texts stay null.
     ``length_col``: a column that holds the text's length in code points and is set anew."""
-    out = docs.mapInArrow(partial(mask_batches, text_col=text_col, mask=mask, threshold=threshold), docs.schema)
+    out = docs.mapInArrow(partial(mask_batches, text_col=text_col, mask=mask, threshold=threshold, words=words), docs.schema)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out

@@ -23,7 +23,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.mask_secrets(docs, length_col="n_chars")
+    return secrets.mask_secrets(docs, words=public_tokenizers.path("byte_bpe_50k.tiktoken"), length_col="n_chars")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

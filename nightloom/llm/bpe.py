@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from nightloom.llm import segments
 
 NONE = np.int32(2**31 - 1)
-#: Entries of a matrix; rows longer than LONG are worked on one by one.
-ENTRIES, LONG = 1 << 20, 512
+#: Entries of a matrix, or one longer row.
+ENTRIES = 1 << 20
 
 
 class PairTable:
@@ -75,6 +75,10 @@ class Codec:
         pairs = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.table = PairTable(np.array([x[0] for x in pairs], np.int64), np.array([x[1] for x in pairs], np.int32))
         top = max(self.ranks.values()) + 1
+        self.last = np.ones(top, bool)  # no pair with this token has a lower rank than the token itself
+        for p, r in pairs:
+            for part in (p >> 32, p & 0xFFFFFFFF):
+                self.last[part] &= r > part
         words = [b""] * top
         for t, r in self.ranks.items():
             words[r] = t
@@ -84,54 +88,60 @@ class Codec:
         self.texts = [str(i) for i in range(top)]
         self.segments = segments.Segments(self.encode_each)
 
-    def one(self, row: np.ndarray) -> list[int]:
-        """A long row by itself: merges shift only what stands behind."""
-        m, n = row.copy(), len(row)
-        r = self.table(m[:-1], m[1:])
-        while n > 1:
-            i = int(r[: n - 1].argmin())
-            if r[i] == NONE:
-                break
-            m[i] = r[i]
-            m[i + 1 : n - 1] = m[i + 2 : n]
-            r[i + 1 : n - 2] = r[i + 2 : n - 1]
-            n -= 1
-            lo, hi = max(i - 1, 0), min(i + 1, n - 1)
-            r[lo:hi] = self.table(m[lo:hi], m[lo + 1 : hi + 1])
-        return m[:n].tolist()
-
     def rows(self, m: np.ndarray) -> list[list[int]]:
-        """All rows of a padded matrix (padding: -1), each merged to its ids."""
+        """All rows of a padded matrix (padding: -1), each merged to its ids.
+
+        In a round each row merges the leftmost of its pairs of least rank. Where the new token makes no pair of lower rank
+        (``last``), the equal pairs to the right of it, which would be next anyway, are merged in the same round, so a long
+        row takes about as many rounds as it has ranks.
+        """
         out: list[list[int]] = [[]] * len(m)
-        own = np.arange(len(m))
-        size = (m >= 0).sum(1)
+        own, size = np.arange(len(m)), (m >= 0).sum(1)
         r = self.table(m[:, :-1], m[:, 1:])
         while len(m):
-            at = r.argmin(1) if r.shape[1] else np.zeros(len(m), np.int64)
-            value = r[np.arange(len(m)), at] if r.shape[1] else np.full(len(m), NONE)
+            value = r.min(1) if r.shape[1] else np.full(len(m), NONE)
             over = value == NONE
             if over.any():
                 for i, ids, n in zip(own[over].tolist(), m[over].tolist(), size[over].tolist(), strict=True):
                     out[i] = ids[:n]
                 on = ~over
                 width = int(size[on].max()) if on.any() else 0
-                m, r, own, size, at, value = m[on, :width], r[on, : max(width - 1, 0)], own[on], size[on], at[on], value[on]
+                m, r, own, size, value = m[on, :width], r[on, : max(width - 1, 0)], own[on], size[on], value[on]
                 if not len(m):
                     break
-            line, width = np.arange(len(m)), m.shape[1]
-            m[line, at] = value
-            m = np.concatenate([m, np.full((len(m), 1), -1, np.int32)], 1)
-            cols = np.arange(width)
-            m = np.take_along_axis(m, cols + (cols > at[:, None]), 1)
-            r = np.concatenate([r, np.full((len(r), 1), NONE, np.int32)], 1)
-            r = np.take_along_axis(r, cols[:-1] + (cols[:-1] > at[:, None]), 1)
-            size = size - 1
-            after = np.where(at + 1 < width, m[line, np.minimum(at + 1, width - 1)], -1)
-            if r.shape[1]:
-                fits = at < r.shape[1]
-                r[line[fits], at[fits]] = self.table(m[line[fits], at[fits]], after[fits])
-                back = at > 0
-                r[line[back], at[back] - 1] = self.table(m[line[back], at[back] - 1], m[line[back], at[back]])
+            row, at = np.nonzero(r == value[:, None])
+            if len(row) > len(m):
+                before = np.append(False, row[1:] == row[:-1])
+                follows = before & np.append(False, at[1:] == at[:-1] + 1)
+                nth = np.arange(len(at))
+                on = (nth - np.maximum.accumulate(np.where(follows, 0, nth))) % 2 == 0  # of pairs that overlap, every other one
+                on &= self.last[value[row]] | ~before
+                row, at = row[on], at[on]
+            m[row, at] = value[row]
+            if len(at) == len(m) == 1:  # one row closes its gap by moving what stands behind
+                i, n = int(at[0]), int(size[0]) - 1
+                m[0, i + 1 : n], r[0, i + 1 : n - 1] = m[0, i + 2 : n + 1].copy(), r[0, i + 2 : n].copy()
+                m, r, size = m[:, :n], r[:, : n - 1], size - 1
+                near = slice(max(i - 1, 0), min(i + 1, n - 1))
+                r[0, near] = self.table(m[0, near], m[0, near.start + 1 : near.stop + 1])
+                continue
+            keep = m >= 0
+            keep[row, at + 1] = False
+            to = np.cumsum(keep, 1) - 1
+            size = keep.sum(1)
+            width = int(size.max())
+            lines, cols = np.nonzero(keep)
+            places = to[lines, cols]
+            m2, r2 = np.full((len(m), width), -1, np.int32), np.full((len(m), width), NONE, np.int32)
+            m2[lines, places] = m[lines, cols]
+            paired = cols < r.shape[1]
+            r2[lines[paired], places[paired]] = r[lines[paired], cols[paired]]
+            m, r = m2, r2[:, : width - 1]
+            here = to[row, at]
+            for left in (here, here - 1):
+                fits = (left >= 0) & (left < width - 1)
+                line, left = row[fits], left[fits]
+                r[line, left] = self.table(m[line, left], m[line, left + 1])
         return out
 
     def pieces(self, pieces: list[bytes]) -> list[list[int]]:
@@ -142,10 +152,6 @@ class Codec:
         width = np.where(sizes <= 16, sizes, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         for w in np.unique(width):
             bucket = [todo[j] for j in np.flatnonzero(width == w)]
-            if w > LONG:
-                for i in bucket:
-                    out[i] = self.one(self.bytes[np.frombuffer(pieces[i], np.uint8)])
-                continue
             for lo in range(0, len(bucket), max(1, ENTRIES // int(w))):
                 some = bucket[lo : lo + max(1, ENTRIES // int(w))]
                 raw = np.frombuffer(b"".join(pieces[i].ljust(int(w), b"\0") for i in some), np.uint8).reshape(len(some), int(w))

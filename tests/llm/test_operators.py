@@ -476,7 +476,7 @@ def test_bpe_round_trip(docs):
     assert collections.Counter((r.doc_id, bytes(r.bytes)) for r in back) == collections.Counter((d, (t or "").encode()) for d, t in TEXTS)
     assert bpe.encode(empty(docs), RANKS, public_tokenizers.PATTERN).collect() == []
     c, rng = bpe.codec(RANKS, public_tokenizers.PATTERN), random.Random(3)
-    odd = ["".join(rng.choice(" \n\ta1b'sé!,日😀\r") for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["ab" * 2000, "<|endoftext|>"]
+    odd = ["".join(rng.choice(" \n\ta1b'sé!,日😀\r") for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["ab" * 2000, "<|endoftext|>", "a" * 3001, "".join(rng.choice("abcde") for _ in range(4000))]
     flat, n = c.encode(pa.array(odd))
     assert [x.tolist() for x in bpe.parts(flat, n)] == [e.encode_ordinary(x) for x in odd]
     flat, n = segments.library(JSON).batch(pa.array(odd))

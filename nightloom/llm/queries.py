@@ -27,8 +27,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.read_archives(warc.write_archives(pages(spark, sf_dir)), with_data=False).filter("is_last")
-    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return each.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

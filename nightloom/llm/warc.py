@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightloom.llm.common import settle, shared_dir
+from nightloom.llm.common import HOT, joined, settle, shared_dir
 from nightloom.llm.token_files import opened
 
 CHUNK = 64 << 10
@@ -36,18 +36,18 @@ def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record_id(key: int, sha1: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}:{sha1}')}>"
+def record_id(key: int, sha1: str, url: str | None, copy: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}:{sha1}:{copy}:{url}')}>"
 
 
 def head(r: dict) -> bytes:
     """The header of one record; ids of pages are extension fields, so that a reader gets them back."""
     response = r["record_type"] == "response"
     fields = [
-        ("WARC-Type", r["record_type"]), ("WARC-Record-ID", record_id(r["key"], r["sha1"])), ("WARC-Date", DATE),
+        ("WARC-Type", r["record_type"]), ("WARC-Record-ID", record_id(r["key"], r["sha1"], r["url"], r["copy"])), ("WARC-Date", DATE),
         *([("WARC-Target-URI", "".join(c for c in r["url"] if c >= " "))] if r["url"] else []), ("WARC-Payload-Digest", f"sha1:{base32(r['sha1'])}"),
-        *([] if response else [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(r["refers_key"], r["sha1"])), ("X-Refers-To-Page", r["refers_key"])]),
-        *([] if r["key"] == NO_ID else [("X-Page", r["key"])]), ("X-Payload-Length", r["payload_bytes"]), ("X-Copies", r["copies"]),
+        *([] if response else [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(r["refers_key"], r["sha1"], r["refers_url"], 0)), ("X-Refers-To-Page", r["refers_key"])]),
+        *([] if r["key"] == NO_ID else [("X-Page", r["key"])]), ("X-Payload-Length", r["payload_bytes"]),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(HTTP) + r["payload_bytes"] * response),
     ]
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n" + HTTP
@@ -60,9 +60,10 @@ class Writer:
         self.stream, self.zip, self.row, self.records = stream, None, None, 0
 
     def put(self, r: dict) -> None:
-        if self.row is None or (r["key"], r["sha1"]) != (self.row["key"], self.row["sha1"]):
+        name = (r["key"], r["sha1"], r["url"], r["copy"])
+        if self.row is None or name != self.name:
             self.end()
-            self.zip, self.row, self.sha, self.next = zlib.compressobj(1, zlib.DEFLATED, 31), r, hashlib.sha1(), 0
+            self.zip, self.row, self.name, self.sha, self.next = zlib.compressobj(1, zlib.DEFLATED, 31), r, name, hashlib.sha1(), 0
             self.stream.write(self.zip.compress(head(r)))
         if r["chunk_no"] != self.next:  # a repeated row's chunk
             return
@@ -99,26 +100,48 @@ def write_part(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Re
 def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Write a record for each page and return the files' table: file, records.
 
-    The payload is the body in UTF-8; null is empty. Of pages with equal payloads of at least ``least`` bytes, the one with
-    the largest id is a response, the others are revisits of it; smaller payloads are all responses. Rows that repeat an id
-    and its payload are one record, which notes their number, with the smallest of their urls; a null id counts as smallest.
-    Other columns are ignored; no rows: no files. Files of failed tasks stay behind, unlisted.
+    Every row of ``pages`` is a record with its own url. The payload is the body in UTF-8; null is empty. Of records with equal
+    payloads of at least ``least`` bytes, one with the largest id is a response (of several such the one with the smallest
+    url), the others are revisits of it; smaller payloads are all responses. Rows that repeat an id, a url and a payload are
+    told apart by a number; a null id counts as smallest. Other columns are ignored; no rows: no files. Files of failed tasks
+    stay behind, unlisted.
     """
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(url_col).alias("url"), body.alias("body"))
     rows = rows.withColumn("sha1", F.sha1("body"))
-    light = settle(rows.groupBy("key", "sha1", F.octet_length("body").cast("long").alias("payload_bytes")).agg(F.min("url").alias("url"), F.count(F.lit(1)).alias("copies")))
-    first = light.groupBy("sha1").agg(F.max("key").alias("refers_key"))
-    kind = F.when((F.col("payload_bytes") >= least) & (F.col("key") != F.col("refers_key")), "revisit").otherwise("response")
-    records = light.join(first, "sha1").withColumn("record_type", kind)
-    count = F.greatest(F.ceil(F.octet_length("body") / chunk), F.lit(1)).cast("int")
-    cut = rows.select("key", "sha1", "body", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_no")).select("key", "sha1", "chunk_no", F.substring("body", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("chunk"))
+    large = rows.filter(F.octet_length("body") >= least)
+    light = settle(large.groupBy("key", "sha1", "url", F.octet_length("body").cast("long").alias("payload_bytes")).agg(F.count(F.lit(1)).alias("copies")))
+    # ~key is smallest where the key is largest; a null url is smaller than any
+    first = light.groupBy("sha1").agg(F.min(F.struct(F.bitwise_not("key").alias("not_key"), "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = settle(first.select("sha1", F.bitwise_not("first.not_key").alias("refers_key"), F.col("first.url").alias("refers_url"), "n"))
+    each = joined(light, first, ["sha1"], "n", light.count()).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    chosen = (F.col("key") == F.col("refers_key")) & F.col("url").eqNullSafe(F.col("refers_url")) & (F.col("copy") == 0)
+    records = each.withColumn("record_type", F.when(chosen, "response").otherwise("revisit"))
+    names = ["key", "sha1", "url", "copy", "chunk_no", "chunk", "payload_bytes", "record_type", "refers_key", "refers_url"]
+
+    def cut(df: DataFrame) -> DataFrame:
+        count = F.greatest(F.ceil(F.octet_length("body") / chunk), F.lit(1)).cast("int")
+        each = df.withColumn("payload_bytes", F.octet_length("body").cast("long")).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), count - 1)))
+        return each.withColumn("chunk", F.substring("body", F.col("chunk_no") * chunk + 1, F.lit(chunk))).drop("body")
+
+    # Only responses need their bytes. A row that repeats very often sends its chunks once from each task.
+    chunks, own = cut(large), ["key", "sha1", "url", "chunk_no"]
+    often = light.filter(F.col("copies") * HOT > light.agg(F.sum("copies")).first()[0]).select(F.col("key").alias("k"), F.col("sha1").alias("s"), F.col("url").alias("u")) if not light.isEmpty() else light
+    if not often.isEmpty():
+        same = (F.col("key") == F.col("k")) & (F.col("sha1") == F.col("s")) & F.col("url").eqNullSafe(F.col("u"))
+        once = chunks.join(F.broadcast(often), same, "left_semi").groupBy(*own, "payload_bytes").agg(F.any_value("chunk").alias("chunk"))
+        chunks = chunks.join(F.broadcast(often), same, "left_anti").unionByName(once)
     # The writer needs a record's rows together; a join's own exchange is given up for a broadcast, or split, this one is not.
-    table = cut.repartition("key", "sha1").join(records, ["key", "sha1"]).filter((F.col("record_type") == "response") | (F.col("chunk_no") == 0))
-    table = table.withColumn("chunk", F.when(F.col("record_type") == "response", F.col("chunk")))
-    ordered = table.sortWithinPartitions("key", "sha1", "chunk_no").select("key", "sha1", "chunk_no", "chunk", "url", "payload_bytes", "copies", "record_type", "refers_key")
-    return settle(ordered.mapInArrow(partial(write_part, folder=folder), "file string, records long"))
+    one = records.filter("record_type = 'response'").select(F.col("key").alias("k"), F.col("sha1").alias("s"), F.col("url").alias("u"), "copy", "record_type", "refers_key", "refers_url")
+    same = (F.col("key") == F.col("k")) & (F.col("sha1") == F.col("s")) & F.col("url").eqNullSafe(F.col("u"))
+    full = chunks.repartition("key", "sha1", "url").join(one, same).select(*names).sortWithinPartitions("key", "sha1", "url", "chunk_no")
+    bare = records.filter("record_type = 'revisit'").withColumns({"chunk_no": F.lit(0), "chunk": F.lit(None).cast("binary")}).select(*names).repartition("key", "sha1", "url", "copy")
+    table = full.unionByName(bare)
+    if least > 0:  # small payloads are responses as they stand
+        small = cut(rows.filter(F.octet_length("body") < least).withColumn("copy", F.monotonically_increasing_id()))
+        table = table.unionByName(small.withColumns({"record_type": F.lit("response"), "refers_key": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string")}).select(*names))
+    return settle(table.mapInArrow(partial(write_part, folder=folder), "file string, records long"))
 
 
 class Source:
@@ -179,7 +202,7 @@ def records_of(stream, chunk: int) -> Iterator[tuple]:
         left -= 2
         page, refers = f.get("x-page"), f.get("x-refers-to-page")
         kind, digest = f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:")
-        base = (page and int(page), f.get("warc-target-uri"), kind, refers and (None if int(refers) == NO_ID else int(refers)), int(f.get("x-copies", 1)))
+        base = (page and int(page), f.get("warc-target-uri"), kind, refers and (None if int(refers) == NO_ID else int(refers)))
         if kind == "revisit":
             source.take(left)
             yield (*base, 0, True, None, int(f["x-payload-length"]), digest)
@@ -199,8 +222,8 @@ def records_of(stream, chunk: int) -> Iterator[tuple]:
         source.take(4)
 
 
-_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.string()]
-_NAMES = ["page_id", "url", "record_type", "refers_to", "copies", "chunk_no", "is_last", "chunk", "payload_bytes", "payload_digest"]
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.string()]
+_NAMES = ["page_id", "url", "record_type", "refers_to", "chunk_no", "is_last", "chunk", "payload_bytes", "payload_digest"]
 
 
 def read_part(batches: Iterator[pa.RecordBatch], chunk: int, with_data: bool) -> Iterator[pa.RecordBatch]:
@@ -210,8 +233,8 @@ def read_part(batches: Iterator[pa.RecordBatch], chunk: int, with_data: bool) ->
             rows: list[tuple] = []
             with fs.open_input_stream(path, compression=None) as stream:
                 for r in records_of(stream, chunk):
-                    if with_data or r[6]:
-                        rows.append(r if with_data else (*r[:7], None, *r[8:]))
+                    if with_data or r[5]:
+                        rows.append(r if with_data else (*r[:6], None, *r[7:]))
                     if len(rows) >= AT_ONCE:
                         yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
                         rows = []
@@ -220,10 +243,10 @@ def read_part(batches: Iterator[pa.RecordBatch], chunk: int, with_data: bool) ->
 
 
 def read_archives(files: DataFrame, *, chunk: int = CHUNK, with_data: bool = True) -> DataFrame:
-    """Chunk rows of all records: page_id, url, record_type, refers_to, copies, chunk_no, is_last, chunk, and payload_bytes and
+    """Chunk rows of all records: page_id, url, record_type, refers_to, chunk_no, is_last, chunk, and payload_bytes and
     payload_digest (base32 SHA-1) so far, which on the last row are the whole payload's. A revisit is one row, without bytes,
     with its payload's figures. ``with_data`` False: last rows only, without their bytes. A payload that doesn't have its
     record's digest is an error."""
     n = max(1, files.count())
-    kinds = "page_id long, url string, record_type string, refers_to long, copies int, chunk_no int, is_last boolean, chunk binary, payload_bytes long, payload_digest string"
+    kinds = "page_id long, url string, record_type string, refers_to long, chunk_no int, is_last boolean, chunk binary, payload_bytes long, payload_digest string"
     return files.select("file").repartition(n, "file").mapInArrow(partial(read_part, chunk=chunk, with_data=with_data), kinds)

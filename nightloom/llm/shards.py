@@ -1,62 +1,73 @@
 """Sharding by longest-processing-time scheduling: groups that stay together go, largest first, to the least-loaded shard.
 
-The heap runs on the driver over size classes, not over groups: a class holds the groups whose sizes agree in their first
-twelve binary digits, so there are at most some 110,000 classes whatever the corpus, and a class' groups differ by less than
-one in 2048. Groups of a class go to shards through the heap one by one while they are few; of many, each shard first gets
-what brings all to one level and the heap deals out the rest. The plan's runs (class, ranks, shard) are joined with the
-groups, which are numbered within their class partition by partition.
+The heap runs on the driver over the distinct sizes of groups, with their counts, not over groups. However large a corpus is,
+sizes that differ sum up to at most its bytes, so there are at most sqrt(2 * bytes) of them: 14 million for 100 TB, about a
+thousandth of that where sizes crowd together, as texts' do. Groups of one size are dealt at once, with the result that the
+heap would give one by one. The plan's runs (size, ranks, shard), at most as many as groups and as shards times sizes, are
+joined with the groups, which are numbered within their size partition by partition.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightloom.llm.common import gapless, settle, text_of
+from nightloom.llm.common import gapless, joined, settle, text_of
 
 SHARDS, OVERHEAD = 40, 16
-DIGITS = 12
 
 
-def size_class(size: Column) -> Column:
-    """Sizes up to 4095 are their own class; larger ones go by their first 12 binary digits. Classes ascend with sizes."""
-    shift = F.greatest(F.length(F.bin(size)) - DIGITS, F.lit(0))
-    return (shift.cast("long") * (1 << DIGITS) + F.floor(size / F.pow(F.lit(2.0), shift)).cast("long")).cast("long")
+def dealt(loads: list[tuple[int, int]], size: int, count: int) -> dict[int, int]:
+    """Groups that each shard gets of ``count`` groups of one size; ``loads``, a heap of (load, shard), is brought up to date.
+
+    A group goes to the least-loaded shard, of several to the one with the least number. Each shard takes a group whenever its
+    load is the least, that is at load, load + size, load + 2 * size and so on; so all that come before the level which
+    ``count`` groups can reach are taken at once, and the heap deals out the rest.
+    """
+    given: dict[int, int] = {}
+    if count > len(loads):
+        lowest = min(loads)[0]
+        lo, hi = lowest, lowest + size * count  # the highest level that no more than ``count`` groups lie below
+        while lo < hi:
+            level = (lo + hi + 1) // 2
+            if sum(max(0, -((load - level) // size)) for load, _ in loads) <= count:
+                lo = level
+            else:
+                hi = level - 1
+        given = {shard: n for load, shard in loads if (n := max(0, -((load - lo) // size)))}
+        loads[:] = [(load + size * given.get(shard, 0), shard) for load, shard in loads]
+        heapq.heapify(loads)
+        count -= sum(given.values())
+    for _ in range(count):
+        load, shard = loads[0]
+        heapq.heapreplace(loads, (load + size, shard))
+        given[shard] = given.get(shard, 0) + 1
+    return given
 
 
-def schedule(classes: list[tuple[int, int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """(class, from rank, to rank, shard) for (class, groups, their sizes' sum), largest class first."""
-    loads = [(0.0, s) for s in range(shards)]
-    out = []
-    for name, count, total in sorted(classes, reverse=True):
-        mean, rank = total / count, 0
-        if count > 4 * shards:
-            ordered = sorted(loads)
-            level, taken = ordered[0][0], 0.0
-            for k in range(1, shards + 1):  # the level that the k least-loaded shards reach together
-                level = (sum(x for x, _ in ordered[:k]) + count * mean) / k
-                if k == shards or level <= ordered[k][0]:
-                    break
-            for i, (load, shard) in enumerate(loads):
-                n = min(max(0, int((level - load) / mean)), count - rank)
-                if n:
-                    out.append((name, rank, rank + n, shard))
-                    loads[i], rank = (load + n * mean, shard), rank + n
-            heapq.heapify(loads)
-        while rank < count:
-            load, shard = loads[0]
-            heapq.heapreplace(loads, (load + mean, shard))
-            out.append((name, rank, rank + 1, shard))
-            rank += 1
-    return out
+def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
+    """(size, lo, hi, shard): where the groups numbered lo to hi of each size go. Equal sizes are dealt in order of shards."""
+    loads = [(0, s) for s in range(shards)]
+    rows: list[tuple[int, int, int, int]] = []
+    order = np.argsort(-sizes)
+    for size, count in zip(sizes[order].tolist(), counts[order].tolist(), strict=True):
+        lo = 0
+        for shard, n in sorted(dealt(loads, size, count).items()):
+            rows.append((size, lo, lo + n, shard))
+            lo += n
+    columns = np.array(rows, np.int64).reshape(-1, 4).T
+    return pa.table({"total": columns[0], "lo": columns[1], "hi": columns[2], "shard": columns[3].astype(np.int32)})
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is ``bytes``: shards' sizes are near equal, unless a group alone is larger than an even share. A row's size is
+    The law is ``bytes``: shards' sizes are near equal, unless a group alone is larger than an even share; the largest exceeds
+    the least by no more than a group. A row's size is
     its text's UTF-8 bytes and ``overhead``; rows of equal texts are a group and share a shard (null counts as empty).
     Slots number a shard's rows from 0 without gaps. Repeated rows and null ids are rows like others; only the id and text
     columns are read. No rows: no rows.
@@ -64,11 +75,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", te
     t = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(t) + overhead).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.unhex(F.sha2(t, 256)).alias("same"))
     rows = settle(rows)
-    groups = rows.groupBy("same").agg(F.sum("size").alias("total")).withColumn("class", size_class(F.col("total")))
-    groups = settle(gapless(groups, ["class"], "nth", ["same"]))
-    classes = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total")).collect()  # a row for each class
-    runs = schedule([(r["class"], r["n"], r["total"]) for r in classes], shards)
-    table = docs.sparkSession.createDataFrame(runs, "class long, lo long, hi long, shard int")
-    dealt = groups.join(table, (groups["class"] == table["class"]) & (F.col("lo") <= F.col("nth")) & (F.col("nth") < F.col("hi"))).select("same", "shard")
-    placed = gapless(rows.join(dealt, "same").drop("same"), ["shard"], "slot", ["doc_id"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    groups = settle(rows.groupBy("same").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")))
+    kinds = groups.groupBy("total").agg(F.count(F.lit(1)).alias("groups")).toPandas()  # see above for their bound
+    table = schedule(kinds["total"].to_numpy(np.int64), kinds["groups"].to_numpy(np.int64), shards)
+    plan = docs.sparkSession.createDataFrame(table).join(docs.sparkSession.createDataFrame(kinds, "total long, groups long"), "total")
+    numbered = settle(gapless(groups, ["total"], "nth", ["same"]))
+    placed = joined(numbered, plan, ["total"], "groups", int(kinds["groups"].sum())).filter("lo <= nth and nth < hi").select("same", "shard", "n")
+    placed = joined(rows, settle(placed), ["same"], "n", rows.count()).drop("same")
+    return gapless(placed, ["shard"], "slot", ["doc_id"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Seconds between two requests to the driver to collect its garbage, and when it was last asked.
+PATIENCE = 5.0
+_asked = 0.0
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a new one if all runs on this machine, as in
+    tests; on a cluster that is an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="nightloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -22,14 +31,24 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation
     and what follows sees the same rows, in the same partitions, however often it reads them.
 
-    Shuffle files of what was cut off go when the driver collects its garbage, which may be late, so this asks for it.
+    Shuffle and checkpoint files of what was cut off go when the driver collects its garbage, which may be late, so this asks
+    for it every few seconds.
     """
+    global _asked
     shared_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if time.monotonic() - _asked > PATIENCE:
+        df.sparkSession.sparkContext._jvm.System.gc()
+        _asked = time.monotonic()
     return out
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate files, wherever Spark keeps it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parts_for(rows: int, each: int) -> int:
     """Partitions of a table of small rows: as many as its rows ask for, not as many as the shuffle before it had."""
     return max(8, rows // each)

@@ -133,6 +133,8 @@ def light_weight(km: Column, coefficient: float = 2.3, reference: float = 350.0,
     return F.pow(d, -coefficient * F.pow(d / reference, F.lit(exponent)))
 
 
-def tiles_for(lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> list[str]:
+def tiles_of(south: Column, north: Column, west: Column, east: Column) -> Column:
     """Names of the 10-degree tiles that a box touches, hNNvNN."""
-    return [f"h{h:02d}v{v:02d}" for v in range(int((90 - lat_max) // 10), int((90 - lat_min) // 10) + 1) for h in range(int((lon_min + 180) // 10), int((lon_max + 180) // 10) + 1)]
+    at = lambda a, b: F.sequence(F.floor(a / 10).cast("int"), F.floor(b / 10).cast("int"))
+    rows = F.transform(at(90 - north, 90 - south), lambda v: F.transform(at(west + 180, east + 180), lambda h: F.format_string("h%02dv%02d", h, v)))
+    return F.flatten(rows)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from nightloom.plans import check_queries, funnel, report_queries, space_queries, text_queries, time_queries
+from nightloom.plans import check_queries, funnel, report_queries, space_queries, text_queries, time_queries, upkeep_queries
 from nightloom.streaming import windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (time_queries, space_queries, report_queries, text_queries, check_queries, funnel, windows):
+for part in (time_queries, space_queries, report_queries, text_queries, check_queries, upkeep_queries, funnel, windows):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.SQL
 

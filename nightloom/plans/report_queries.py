@@ -130,9 +130,9 @@ def monthly_transit(spark, sf_dir):
 @query()
 def moon_rows(spark, sf_dir):
     """Age, phase and lit share of the moon for each night: low-precision series, no SQL."""
-    n = inputs.site_nights(spark, sf_dir).filter("site = 0")
+    n = inputs.site_nights(spark, sf_dir)
     d = sky.days(F.col("lo"))
-    return n.select(F.col("night").cast("string"), F.round(sky.moon_age(d), 3).alias("age"), F.round(sky.phase_angle(d), 3).alias("phase"), F.round(sky.illuminated(d), 4).alias("illuminated"))
+    return n.select("site", F.col("night").cast("string"), F.round(sky.moon_age(d), 3).alias("age"), F.round(sky.phase_angle(d), 3).alias("phase"), F.round(sky.illuminated(d), 4).alias("illuminated"))
 
 
 @query()
@@ -146,7 +146,7 @@ def sun_events(spark, sf_dir):
     return runs.sign_changes(rows, ["site", "night", "what"], "t", "v").select("site", F.col("night").cast("string"), "what", "kind", text_time("at"))
 
 
-@query(f"""WITH {SITES}, w AS (SELECT id, lag(alr) OVER (ORDER BY id) AS before, alr FROM sites WHERE id < 200) SELECT id, CASE WHEN before IS NULL THEN 'first' WHEN alr > before THEN 'up' ELSE 'down' END AS step FROM w""")
+@query(f"""WITH {SITES}, w AS (SELECT id, lag(alr) OVER (ORDER BY id) AS before, alr FROM sites) SELECT id, CASE WHEN before IS NULL THEN 'first' WHEN alr > before THEN 'up' ELSE 'down' END AS step FROM w""")
 def step_direction(spark, sf_dir):
-    s = rank.lagged(inputs.sites(spark, sf_dir).filter("id < 200"), "id", "alr", "before")
+    s = rank.lagged(inputs.sites(spark, sf_dir), "id", "alr", "before")
     return s.select("id", F.when(F.col("before").isNull(), "first").when(F.col("alr") > F.col("before"), "up").otherwise("down").alias("step"))

@@ -236,10 +236,10 @@ def horizon_lookup(spark, sf_dir):
     return s.join(profile, "site").select("id", geo.horizon_at(F.col("profile"), F.col("azimuth")).alias("horizon"))
 
 
-@query("""WITH r AS (SELECT c_custkey AS id, az, d, CAST((c_custkey * 13 + az * 7 + d) % 900 AS DOUBLE) AS e FROM customer, range(0, 360, 45) a(az), range(100, 2100, 100) b(d) WHERE c_custkey < 200),
+@query("""WITH r AS (SELECT c_custkey AS id, az, d, CAST((c_custkey * 13 + az * 7 + d) % 900 AS DOUBLE) AS e FROM customer, range(0, 360, 45) a(az), range(100, 2100, 100) b(d)),
     g AS (SELECT *, degrees(atan2(e - 300 - 0.87 * d * d / (2 * 6371000.0), d)) AS a FROM r) SELECT id, CAST(az AS INTEGER) AS az, round(a, 6) AS angle, CAST(d AS INTEGER) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id, az ORDER BY a DESC, d) AS n FROM g) WHERE n = 1""")
 def horizon_profile_argmax(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(315), F.lit(45))).alias("az"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(315), F.lit(45))).alias("az"))
     p = c.withColumn("d", F.explode(F.sequence(F.lit(100), F.lit(2000), F.lit(100)))).withColumn("e", ((F.col("id") * 13 + F.col("az") * 7 + F.col("d")) % 900).cast("double")).withColumn("own", F.lit(300.0))
     return terrain.horizon(p, ["id"], "e", "own").select("id", "az", F.round("angle", 6).alias("angle"), "distance")
 
@@ -325,9 +325,9 @@ def stars_lexi_rank(spark, sf_dir):
     return r.filter(F.col("rank") <= F.when(F.col("is_primary"), 20).otherwise(10)).select("id", "is_primary", "rank")
 
 
-@query(f"""WITH {SCORED} SELECT id, light <= 5 AND alt > coalesce(hz, 0) AS passes, light FROM sc WHERE id % 2 = 0""")
+@query(f"""WITH {SCORED} SELECT id, light <= 5 AND alt > coalesce(hz, 0) AS passes, light FROM sc""")
 def direction_filter(spark, sf_dir):
-    return scored(spark, sf_dir).filter("id % 2 = 0").select("id", ((F.col("light") <= 5) & (F.col("alt") > F.coalesce("hz", F.lit(0.0)))).alias("passes"), "light")
+    return scored(spark, sf_dir).select("id", ((F.col("light") <= 5) & (F.col("alt") > F.coalesce("hz", F.lit(0.0)))).alias("passes"), "light")
 
 
 @query("""SELECT c_custkey, round(2.3 * pow(d / 350, 0.28), 6) AS alpha, round(ln(pow(d, -2.3 * pow(d / 350, 0.28))), 6) AS weight FROM (SELECT c_custkey, greatest(c_custkey % 300 * 1.0, 0.4) AS d FROM customer)""")

@@ -129,9 +129,9 @@ def alias_list(spark, sf_dir):
     return one.select(F.explode(claims.aliases(F.col("name"))).alias("alias"))
 
 
-@query("""SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)token') AND doc_id % 2 = 1""")
+@query("""SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)token')""")
 def drop_log_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("doc_id % 2 = 1").filter(~F.col("text").rlike("(?i)token")).select("doc_id")
+    return table(spark, sf_dir, "documents").filter(~F.col("text").rlike("(?i)token")).select("doc_id")
 
 
 @query()
@@ -146,7 +146,7 @@ def spot_json(spark, sf_dir):
     return docs.json_round_trip(spark, sf_dir)
 
 
-@query("""SELECT s AS site, CAST(az AS INTEGER) AS az, round((az * 7 + s * 13) % 200 / 10.0, 3) AS alt FROM (SELECT s_suppkey AS s, unnest(range(360)) AS az FROM supplier WHERE s_suppkey < 5)""")
+@query("""SELECT s AS site, CAST(az AS INTEGER) AS az, round((az * 7 + s * 13) % 200 / 10.0, 3) AS alt FROM (SELECT s_suppkey AS s, unnest(range(360)) AS az FROM supplier)""")
 def horizon_csv(spark, sf_dir):
     """Horizon profiles written as CSV with comment lines, one folder a site, and scanned with their checks."""
     return docs.csv_round_trip(spark, sf_dir)

@@ -101,9 +101,9 @@ def two_source_merge(spark, sf_dir):
     return merged_models(spark, sf_dir).select("site", F.col("night").cast("string"), text_time("hour"), "cloud", "source")
 
 
-@query(f"""WITH {MODELS} SELECT CAST(night AS VARCHAR) AS night, CASE WHEN count(*) FILTER (source = 'MSM') > count(*) / 2 THEN 'MSM' ELSE 'ECMWF' END AS regime FROM mm WHERE site = 0 GROUP BY 1""")
+@query(f"""WITH {MODELS} SELECT CAST(night AS VARCHAR) AS night, CASE WHEN count(*) FILTER (source = 'MSM') > count(*) / 2 THEN 'MSM' ELSE 'ECMWF' END AS regime, site FROM mm GROUP BY site, night""")
 def majority_regime(spark, sf_dir):
-    return series.regime(merged_models(spark, sf_dir).filter("site = 0"), ["night"]).select(F.col("night").cast("string"), "regime")
+    return series.regime(merged_models(spark, sf_dir), ["site", "night"]).select("site", F.col("night").cast("string"), "regime")
 
 
 @query(f"""WITH {MODELS} SELECT site, CAST(night AS VARCHAR) AS night, round(avg(CASE WHEN cloud <= 30 THEN 100.0 WHEN cloud IS NOT NULL THEN 0.0 END), 6) AS clear_pct, round(avg(cloud), 6) AS mean, max(cloud) AS most, min(cloud) AS least

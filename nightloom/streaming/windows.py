@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightloom.operators.graph import shared_dir
+from nightloom.operators.graph import discard, shared_dir
 
 
 def stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -33,29 +33,63 @@ def first_seen(events: DataFrame, keys: list[str], time: str, late: str = "7 day
     return events.withColumn("at", F.col(time).cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def finished(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is, into a table of the shared folder, and read that."""
+def finished(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Run a stream over what there is, into a table of the shared folder, and read that.
+
+    Only what can't change any more is written (append mode): windows that the watermark has passed, which then leave the state.
+    """
     out = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        df.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    else:  # whole results replace one another
-        put = lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/rows")
-        df.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    discard(spark, f"{out}/state")
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
 
+def merged(spark: SparkSession, df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """Run a stream into a table that keeps the latest row of each key, batch by batch, and read that.
+
+    A batch is merged with the version before it into a new one, so a batch that is run again after a failure gives the
+    same; the version before that is deleted.
+    """
+    versions: list[str] = []
+
+    def put(rows: DataFrame, batch: int) -> None:
+        held = [spark.read.parquet(versions[-1])] if versions else []
+        both = rows
+        for h in held:
+            both = both.unionByName(h)
+        body = F.struct(order, *(c for c in df.columns if c not in keys and c != order))
+        latest = both.groupBy(*keys).agg(F.max(body).alias("r")).select(*keys, "r.*").select(*df.columns)
+        path = f"{out}/version-{batch:06d}"
+        latest.write.mode("overwrite").parquet(path)
+        if path not in versions:
+            versions.append(path)
+        if len(versions) > 2:
+            discard(spark, versions.pop(0))
+
+    df.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(versions[-1])
+
+
 def _text(df: DataFrame) -> DataFrame:
     return df.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")).withColumn("end", F.date_format("end", "yyyy-MM-dd HH:mm"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = stream(spark, f"{sf_dir}/events.parquet").filter("event_type = 'purchase'").select((F.col("user_id") % 4).alias("site"), "ts")
-    return _text(finished(spark, sessions(e, ["site"], "ts", "3 hours"), "complete"))
+    """Sessions of each user that are over by the watermark."""
+    e = stream(spark, f"{sf_dir}/events.parquet").select("user_id", "ts")
+    return _text(finished(spark, sessions(e, ["user_id"], "ts", "3 hours")))
 
 
 def stream_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = stream(spark, f"{sf_dir}/events.parquet").select((F.col("user_id") % 4).alias("site"), "ts", F.lit(1.5).alias("cost"))
-    return _text(finished(spark, budgets(e, ["site"], "ts", "cost"), "complete"))
+    """What each user spends in windows that are over by the watermark."""
+    e = stream(spark, f"{sf_dir}/events.parquet").select("user_id", "ts", F.lit(1.5).alias("cost"))
+    return _text(finished(spark, budgets(e, ["user_id"], "ts", "cost")))
+
+
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user, merged batch by batch into a table."""
+    e = stream(spark, f"{sf_dir}/events.parquet", maxFilesPerTrigger="1").select("user_id", "event_id", "ts")
+    return merged(spark, e, ["user_id"], "ts", f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}").select("user_id", "event_id")
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +98,13 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, first_seen(e, ["user_id"], "ts", "60 days").select("user_id"))
 
 
-QUERIES = {"stream_first_seen": stream_first_seen, "stream_sessions": stream_sessions, "stream_budgets": stream_budgets}
+QUERIES = {"stream_first_seen": stream_first_seen, "stream_sessions": stream_sessions, "stream_budgets": stream_budgets, "stream_latest": stream_latest}
 SQL = {
     "stream_first_seen": "SELECT DISTINCT user_id FROM events",
-    "stream_sessions": """WITH e AS (SELECT user_id % 4 AS site, ts FROM events WHERE event_type = 'purchase'), d AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY site ORDER BY ts) + INTERVAL 3 HOUR THEN 1 ELSE 0 END AS new FROM e), g AS (SELECT *, sum(new) OVER (PARTITION BY site ORDER BY ts) AS k FROM d)
-        SELECT site, strftime(min(ts), '%Y-%m-%d %H:%M') AS start, strftime(max(ts) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M') AS "end", count(*) AS n FROM g GROUP BY site, k""",
-    "stream_budgets": """WITH w AS (SELECT user_id % 4 AS site, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events)
-        SELECT site, strftime(s, '%Y-%m-%d %H:%M') AS start, strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS "end", round(CAST(sum(1.5) AS DOUBLE), 6) AS spent FROM w GROUP BY site, s""",
+    "stream_sessions": """WITH d AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3 HOUR THEN 1 ELSE 0 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM d),
+        s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 3 HOUR AS b, count(*) AS n FROM g GROUP BY user_id, k)
+        SELECT user_id, strftime(a, '%Y-%m-%d %H:%M') AS start, strftime(b, '%Y-%m-%d %H:%M') AS "end", n FROM s WHERE b <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""",
+    "stream_budgets": """WITH w AS (SELECT user_id, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events)
+        SELECT user_id, strftime(s, '%Y-%m-%d %H:%M') AS start, strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS "end", round(CAST(sum(1.5) AS DOUBLE), 6) AS spent FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR GROUP BY user_id, s""",
+    "stream_latest": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Seconds between two requests to the driver to collect its garbage, and when it was last asked.
-PATIENCE = 5.0
+PATIENCE = 2.0
 _asked = 0.0
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightloom.operators.graph import settle
+from nightloom.operators.joins import joined
 
 
 def final_score(obstruction: Column, alt: Column, horizon: Column, clear: Column, light: Column) -> Column:
@@ -20,6 +23,17 @@ def ranked(df: DataFrame, groups: list[str], *order: Column, out: str = "rank")
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
 
 
+def numbered(df: DataFrame, groups: list[str], *order: Column, out: str = "rank") -> DataFrame:
+    """``ranked`` for few groups of many rows: rows are dealt by ranges of groups and order, each range numbers its rows, and is
+    shifted by its group's rows in the ranges before it. No task sees more than its range. The order must be total."""
+    base = settle(df.repartitionByRange(*(F.asc(g) for g in groups), *order).withColumn("__p", F.spark_partition_id()))
+    own = [*groups, "__p"]
+    before = Window.partitionBy(*groups).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shift = base.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")).select(*own, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
+    mine = base.withColumn("__o", F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+    return mine.join(shift, own).withColumn(out, (F.col("__o") + F.col("__b")).cast("int")).drop("__p", "__o", "__b")
+
+
 def kept_nights(nights: DataFrame, keep: int = 6) -> DataFrame:
     """Stage 1: reason (null for nights that go on) and rank of nights by their moon-free hours.
 
@@ -62,20 +76,40 @@ def lagged(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
 
 def average_rank_pct(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average-tie rank over n - 1, in percent; a single row has 0, a null value null."""
-    ties = running(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, "__n", "__before")
-    n = ties.agg(F.sum("__n").alias("__all"))
-    pct = F.coalesce(F.try_divide((F.col("__before") + (F.col("__n") - 1) / 2) * 100, F.col("__all") - 1), F.lit(0.0))
-    ranks = ties.crossJoin(F.broadcast(n)).select(value, pct.alias(out))  # one row
-    return df.join(ranks, value, "left")
+    known, none = settle(df.filter(F.col(value).isNotNull())), df.filter(F.col(value).isNull())
+    ties = running(known.groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, "__n", "__before")
+    rows = known.count()
+    pct = F.coalesce(F.try_divide((F.col("__before") + (F.col("__n") - 1) / 2) * 100, F.lit(rows - 1)), F.lit(0.0))
+    found = joined(known, ties.select(value, pct.alias(out), "__n"), [value], "__n", rows)
+    return found.unionByName(none.withColumn(out, F.lit(None).cast("double"))).select(*df.columns, out)
 
 
 def share_at_most(df: DataFrame, reference: DataFrame, value: str, out: str) -> DataFrame:
     """Percentage of the reference's values that are at most a row's: running counts of distinct values, joined by value."""
-    both = df.select(value, F.lit(0).alias("__r")).unionByName(reference.select(value, F.lit(1).alias("__r"))).filter(F.col(value).isNotNull())
-    counts = running(both.groupBy(value).agg(F.sum("__r").alias("__n")), value, "__n", "__before")
+    known, none = settle(df.filter(F.col(value).isNotNull())), df.filter(F.col(value).isNull())
+    both = known.select(value, F.lit(0).alias("__r"), F.lit(1).alias("__o")).unionByName(reference.select(value, F.lit(1).alias("__r"), F.lit(0).alias("__o"))).filter(F.col(value).isNotNull())
+    counts = running(both.groupBy(value).agg(F.sum("__r").alias("__n"), F.sum("__o").alias("__own")), value, "__n", "__before")
     n = counts.agg(F.sum("__n").alias("__all"))
-    share = counts.crossJoin(F.broadcast(n)).select(value, F.try_divide((F.col("__before") + F.col("__n")) * 100.0, F.col("__all")).alias(out))  # one row
-    return df.join(share, value, "left")
+    share = counts.crossJoin(F.broadcast(n)).select(value, "__own", F.try_divide((F.col("__before") + F.col("__n")) * 100.0, F.col("__all")).alias(out))  # one row
+    found = joined(known, share, [value], "__own", known.count())
+    return found.unionByName(none.withColumn(out, F.lit(None).cast("double"))).select(*df.columns, out)
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row with a column for each share: linear between order statistics, nulls left out; null for no values.
+
+    Order statistics come from running counts of distinct values, of which every range has its own task.
+    """
+    counts = settle(running(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, "__n", "__before"))
+    rows = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    at = lambda k: F.max(F.when((F.col("__before") <= k) & (F.col("__before") + F.col("__n") > k), F.col(value)))
+
+    def between(p: float) -> Column:
+        place = p * max(rows - 1, 0)
+        lo = math.floor(place)
+        return at(lo) + (at(min(lo + 1, max(rows - 1, 0))) - at(lo)) * (place - lo)
+
+    return counts.agg(*(between(p).alias(n) for n, p in shares.items()))
 
 
 def threshold_for(df: DataFrame, value: str, n: int) -> DataFrame:

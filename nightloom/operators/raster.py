@@ -56,16 +56,22 @@ def convolved(raster: DataFrame, block: int, radius: int, weight) -> DataFrame:
     import pandas as pd
 
     n = 1 << math.ceil(math.log2(block + 4 * radius + 1))
+    # the kernel is worked out once, here; its transform once in each worker
+    d = np.hypot(*np.meshgrid(np.arange(-radius, radius + 1), np.arange(-radius, radius + 1), indexing="ij"))
+    kernel = np.where(d <= radius, np.vectorize(weight, otypes=[float])(d), 0.0)
+    held: dict[str, np.ndarray] = {}
+
+    def transform() -> np.ndarray:
+        if "kernel" not in held:
+            held["kernel"] = np.fft.rfft2(kernel, (n, n))
+        return held["kernel"]
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         by, bx = key
         grid = np.zeros((n, n))
         y, x = (pdf["iy"] - by * block + radius).to_numpy(), (pdf["ix"] - bx * block + radius).to_numpy()
         grid[y, x] = pdf["value"]
-        d = np.hypot(*np.meshgrid(np.arange(-radius, radius + 1), np.arange(-radius, radius + 1), indexing="ij"))
-        kernel = np.zeros((n, n))
-        kernel[: 2 * radius + 1, : 2 * radius + 1] = np.where(d <= radius, np.vectorize(weight)(d), 0.0)
-        full = np.fft.irfft2(np.fft.rfft2(grid) * np.fft.rfft2(kernel), (n, n))[2 * radius : 2 * radius + block, 2 * radius : 2 * radius + block]
+        full = np.fft.irfft2(np.fft.rfft2(grid) * transform(), (n, n))[2 * radius : 2 * radius + block, 2 * radius : 2 * radius + block]
         own = pdf[pdf["own"]]
         return pd.DataFrame({"iy": own["iy"], "ix": own["ix"], "sum": np.maximum(full[own["iy"] - by * block, own["ix"] - bx * block], 0.0)})
 

@@ -79,3 +79,25 @@ def raster(spark: SparkSession, rows: int = 120, cols: int = 120) -> DataFrame:
 
 
 RASTER = """rs AS (SELECT iy, ix, (ix * 31 + iy * 17) % 1000 / 50.0 AS value FROM (SELECT id // 120 AS iy, id % 120 AS ix FROM range(14400) t(id)) WHERE (iy * 31 + ix * 17) % 97 <> 0)"""
+
+
+def turn_sql(x: str) -> str:
+    return f"(({x}) - 360 * floor(({x}) / 360))"
+
+
+def sky_sql(source: str, t: str, name: str = "sky") -> str:
+    """``name``: ``source`` with d (days), mlon, mlat (moon), slon (sun), phase, in degrees, at its time ``t``."""
+    s = lambda x: f"sin(radians({x}))"
+    lon = f"218.316 + 13.176396 * d + 6.289 * {s('mm')} + 1.274 * {s('2 * dd - mm')} + 0.658 * {s('2 * dd')} + 0.214 * {s('2 * mm')} - 0.186 * {s('m')} - 0.114 * {s('2 * f')}"
+    lat = f"5.128 * {s('f')} + 0.281 * {s('mm + f')} + 0.278 * {s('mm - f')} + 0.173 * {s('2 * dd - f')}"
+    return f"""{name}_d AS (SELECT *, epoch_us({t}) / 8.64e10 - 10957.5 AS d FROM {source}), {name}_a AS (SELECT *, 357.529 + 0.98560028 * d AS m, 134.963 + 13.064993 * d AS mm, 297.850 + 12.190749 * d AS dd, 93.272 + 13.229350 * d AS f FROM {name}_d),
+    {name}_l AS (SELECT *, {turn_sql(lon)} AS mlon, {lat} AS mlat, {turn_sql(f"280.459 + 0.98564736 * d + 1.915 * {s('m')} + 0.020 * {s('2 * m')}")} AS slon FROM {name}_a),
+    {name} AS (SELECT * EXCLUDE (m, mm, dd, f), 180 - degrees(acos(least(1.0, greatest(-1.0, cos(radians(mlon - slon)) * cos(radians(mlat)))))) AS phase FROM {name}_l)"""
+
+
+def altitude_sql(lon: str, lat: str, place_lat: str, place_lon: str) -> str:
+    """Altitude in degrees, at ``d``, of ecliptic coordinates seen from a place."""
+    e = "radians(23.4393)"
+    ra = f"degrees(atan2(sin(radians({lon})) * cos({e}) - tan(radians({lat})) * sin({e}), cos(radians({lon}))))"
+    dec = f"asin(sin(radians({lat})) * cos({e}) + cos(radians({lat})) * sin({e}) * sin(radians({lon})))"
+    return f"degrees(asin(sin(radians({place_lat})) * sin({dec}) + cos(radians({place_lat})) * cos({dec}) * cos(radians({turn_sql(f'280.46061837 + 360.98564736629 * d + {place_lon} - {ra}')}))))"

@@ -127,15 +127,18 @@ def monthly_transit(spark, sf_dir):
     return m.select("month", F.round(sky.transit_wait(d, F.lit(138.0), F.lit(266.4)), 4).alias("wait"))
 
 
-@query()
+@query(f"""WITH {inputs.SITE_NIGHTS}, {inputs.sky_sql("sn", "lo")} SELECT site, CAST(night AS VARCHAR) AS night, round({inputs.turn_sql("mlon - slon")} / 360 * 29.530589, 3) AS age, round(phase, 3) AS phase, round((1 + cos(radians(phase))) / 2, 4) AS illuminated FROM sky""")
 def moon_rows(spark, sf_dir):
-    """Age, phase and lit share of the moon for each night: low-precision series, no SQL."""
+    """Age, phase and lit share of the moon for each site and night: a low-precision series."""
     n = inputs.site_nights(spark, sf_dir)
     d = sky.days(F.col("lo"))
     return n.select("site", F.col("night").cast("string"), F.round(sky.moon_age(d), 3).alias("age"), F.round(sky.phase_angle(d), 3).alias("phase"), F.round(sky.illuminated(d), 4).alias("illuminated"))
 
 
-@query()
+@query(f"""WITH {inputs.SITE_NIGHTS}, ts AS (SELECT site, night, unnest(generate_series(lo - INTERVAL 12 HOUR, hi, INTERVAL 1 MINUTE)) AS t FROM sn), {inputs.sky_sql("ts", "t")}, al AS (SELECT site, night, t, {inputs.altitude_sql("slon", "0.0", "(35.0 + site / 10.0)", "0.0")} AS alt FROM sky),
+    v AS (SELECT site, night, t, 'sun' AS what, alt + 0.8333 AS v FROM al UNION ALL SELECT site, night, t, 'dark', alt + 18.0 FROM al), b AS (SELECT *, lag(v) OVER (PARTITION BY site, night, what ORDER BY t) AS before FROM v),
+    k AS (SELECT *, CASE WHEN before <= 0 AND v > 0 THEN 'rise' WHEN before > 0 AND v <= 0 THEN 'set' END AS kind FROM b)
+    SELECT site, CAST(night AS VARCHAR) AS night, what, kind, strftime(min(t), '%Y-%m-%d %H:%M') AS at FROM k WHERE kind IS NOT NULL GROUP BY ALL""")
 def sun_events(spark, sf_dir):
     """Sunset and sunrise, and the ends of twilight, of each night and site: minute samples, sign changes."""
     n = inputs.site_nights(spark, sf_dir).withColumn("t", F.explode(F.sequence(F.col("lo") - F.expr("interval 12 hours"), F.col("hi"), F.expr("interval 1 minute"))))

@@ -298,7 +298,8 @@ def spearman(spark, sf_dir):
 
 @query(f"""WITH {SITES} SELECT round(quantile_cont(alr, 0.05), 6) AS p5, round(quantile_cont(alr, 0.5), 6) AS p50, round(quantile_cont(alr, 0.95), 6) AS p95 FROM sites""")
 def light_quantiles(spark, sf_dir):
-    return inputs.sites(spark, sf_dir).agg(*(F.round(F.percentile("alr", p), 6).alias(n) for n, p in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))))
+    out = rank.quantiles(inputs.sites(spark, sf_dir).select(F.col("alr").cast("double").alias("alr")), "alr", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
 SCORED = f"""{SITES}, sc AS (SELECT *, CAST(id * 7 % 101 AS DOUBLE) AS obs, id * 3 % 16 / 2.0 AS clear, CAST(id * 5 % 90 AS DOUBLE) AS alt, CASE WHEN id % 4 > 0 THEN id * 9 % 200 / 10.0 END AS hz, alr * 5 / 10.66 AS light, id * 13 % 20 / 2.0 AS free FROM sites)"""
@@ -316,12 +317,13 @@ def scored(spark, sf_dir):
 def final_score_rank(spark, sf_dir):
     c = F.col
     s = scored(spark, sf_dir).select("id", "is_primary", F.round(rank.final_score(c("obs"), c("alt"), c("hz"), c("clear"), c("light")), 6).alias("final"), F.round(rank.outlook_score(c("alt"), c("hz"), c("free"), c("light")), 6).alias("outlook"))
-    return rank.ranked(s, ["is_primary"], F.desc("final"), F.asc("id"))
+    return rank.numbered(s, ["is_primary"], F.desc("final"), F.asc("id"))
 
 
 @query(f"""WITH {SCORED}, r AS (SELECT id, origin_no < 4 AS is_primary, CAST(row_number() OVER (PARTITION BY origin_no < 4 ORDER BY clear DESC, obs, alr, free DESC, id) AS INTEGER) AS rank FROM sc) SELECT * FROM r WHERE rank <= CASE WHEN is_primary THEN 20 ELSE 10 END""")
 def stars_lexi_rank(spark, sf_dir):
     r = rank.ranked(scored(spark, sf_dir), ["is_primary"], F.desc("clear"), F.asc("obs"), F.asc("alr"), F.desc("free"), F.asc("id"))
+    r = r.filter("rank <= 20")  # a constant: each task keeps its first rows and no others are moved
     return r.filter(F.col("rank") <= F.when(F.col("is_primary"), 20).otherwise(10)).select("id", "is_primary", "rank")
 
 
@@ -371,7 +373,13 @@ def moon_brightness_combine(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k, F.round(sky.with_moonlight(20.0 + k % 20 / 10.0, moon), 6).alias("mag"))
 
 
-@query()
+FREE = f"""{inputs.SITE_NIGHTS}, ts AS (SELECT site, night, unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS t FROM sn), {inputs.sky_sql("ts", "t")},
+    al AS (SELECT site, night, t, {inputs.altitude_sql("mlon", "mlat", "(35.0 + site / 10.0)", "138.0")} <= 0 OR phase >= 150 AS free FROM sky)"""
+
+
+@query(f"""WITH {FREE}, n AS (SELECT *, lead(t) OVER (PARTITION BY site, night ORDER BY t) AS after, row_number() OVER (PARTITION BY site, night ORDER BY t) AS k, count(*) FILTER (NOT free) OVER (PARTITION BY site, night ORDER BY t) AS run FROM al),
+    r AS (SELECT site, night, run, min(t) AS a, max(coalesce(after, t)) AS b FROM n WHERE free GROUP BY 1, 2, 3), z AS (SELECT *, row_number() OVER (PARTITION BY site, night ORDER BY b - a DESC, a) AS k FROM r)
+    SELECT site, CAST(night AS VARCHAR) AS night, strftime(a, '%Y-%m-%d %H:%M') AS start, strftime(b, '%Y-%m-%d %H:%M') AS "end", epoch(b - a) / 3600.0 AS hours FROM z WHERE k = 1""")
 def moon_negligible_windows(spark, sf_dir):
     """The longest window of each night and site in which the moon is down or new, sampled every 15 minutes."""
     from nightloom.operators import runs
@@ -384,7 +392,11 @@ def moon_negligible_windows(spark, sf_dir):
     return runs.longest_sampled(rows, ["site", "night"], "t", F.col("free")).select("site", F.col("night").cast("string"), inputs.text_time("start"), inputs.text_time("end"), "hours")
 
 
-@query()
+@query(f"""WITH {inputs.SITE_NIGHTS}, ts AS (SELECT site, night, unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS t FROM sn), g AS (SELECT asin(cos(p) * cos(x)) AS dec, 192.85948 + degrees(atan2(sin(x), -sin(p) * cos(x))) AS ra FROM (SELECT radians(27.12825) AS p, radians(122.93192) AS x)),
+    al AS (SELECT site, night, t, round(degrees(asin(sin(radians(20.0 + site)) * sin(dec) + cos(radians(20.0 + site)) * cos(dec) * cos(radians(280.46061837 + 360.98564736629 * (epoch_us(t) / 8.64e10 - 10957.5) + 138.0 - ra)))), 4) AS alt FROM ts, g),
+    n AS (SELECT *, lead(t) OVER w AS after, count(*) FILTER (NOT alt > 0) OVER w AS run, min(t) OVER (PARTITION BY site, night) AS t0, max(t) OVER (PARTITION BY site, night) AS t1 FROM al WINDOW w AS (PARTITION BY site, night ORDER BY t)),
+    r AS (SELECT site, night, run, min(t) AS a, max(t) AS z, max(coalesce(after, t)) AS b, max(alt) AS peak, arg_min(t, (-alt, t)) AS top, min(t0) AS t0, max(t1) AS t1 FROM n WHERE alt > 0 GROUP BY 1, 2, 3)
+    SELECT site, CAST(night AS VARCHAR) AS night, strftime(a, '%Y-%m-%d %H:%M') AS start, strftime(b, '%Y-%m-%d %H:%M') AS "end", strftime(top, '%Y-%m-%d %H:%M') AS peak_time, peak, a > t0 AS rises, z < t1 AS sets FROM r""")
 def target_windows(spark, sf_dir):
     """The galactic centre above 15 degrees for each site and night, with its highest sample."""
     from nightloom.operators import runs

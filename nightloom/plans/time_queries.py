@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nightloom.functions import clock
 from nightloom.operators import audit, cloud, rank, runs, series
-from nightloom.plans.inputs import N_SITES, SITE_NIGHTS, hourly, hourly_sql, site_nights, table, text_time
+from nightloom.plans.inputs import SITE_NIGHTS, hourly, hourly_sql, site_nights, table, text_time
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -72,12 +72,12 @@ def peak_in_runs(spark, sf_dir):
     return r.select("site", F.col("night").cast("string"), text_time("start"), text_time("end"), text_time("peak_time"), "peak", "rises", "sets")
 
 
-@query(f"""WITH e AS (SELECT user_id % {N_SITES} AS site, ts FROM events WHERE event_type = 'error'),
+@query(f"""WITH e AS (SELECT user_id AS site, ts FROM events WHERE event_type = 'error'),
     d AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY site ORDER BY ts) + INTERVAL 3 HOUR THEN 1 ELSE 0 END AS new FROM e),
     g AS (SELECT *, sum(new) OVER (PARTITION BY site ORDER BY ts) AS k FROM d)
     SELECT site, strftime(min(ts), '%Y-%m-%d %H:%M') AS start, strftime(max(ts), '%Y-%m-%d %H:%M') AS last, count(*) AS runs FROM g GROUP BY site, k""")
 def merge_gap_runs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'error'").select((F.col("user_id") % N_SITES).alias("site"), F.col("ts").alias("s"), F.col("ts").alias("l"))
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("user_id").alias("site"), F.col("ts").alias("s"), F.col("ts").alias("l"))
     return runs.merged_runs(e, ["site"], "s", "l", "3 hours").select("site", text_time("start"), text_time("last"), "runs")
 
 

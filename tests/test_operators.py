@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from nightloom.functions import clock, geo, names, sky
@@ -259,3 +260,112 @@ def test_night_table_and_pruning(spark, tmp_path):
     write_nights(df.filter("v = 2").withColumn("v", F.lit(3)), path)
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 3]
     assert [r.v for r in prune(spark, path, "2024-01-22").collect()] == [3]
+
+
+def test_pairs_over_the_date_line(spark):
+    rows = [(1, 10.0, 179.999), (2, 10.0, -179.999), (3, 10.0, 180.02), (4, -59.99, 0.0), (5, -59.99, 359.999)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    assert {(r.id, r.b_id) for r in nearby.pairs_within(df, 1500.0).collect()} == {(1, 2), (4, 5)}
+    assert {(r.id, r.b_id) for r in nearby.pairs_within(df, 9_000_000.0).collect()} == {(i, j) for i in (1, 2, 3, 4, 5) for j in (1, 2, 3, 4, 5) if i < j and (i > 3) == (j > 3)}
+    with pytest.raises(Exception, match="latitudes beyond"):
+        nearby.pairs_within(spark.createDataFrame([(1, 70.0, 0.0), (2, 70.0, 0.0)], "id long, lat double, lon double"), 100.0).collect()
+
+
+def test_order_statistics(spark):
+    import numpy as np
+
+    from nightloom.operators import rank
+
+    rng = np.random.default_rng(4)
+    values = np.round(rng.normal(0, 3, 500)).tolist() + [7.0] * 300
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(9999, None)], "id int, v double").repartition(5)
+    got = rank.quantiles(df, "v", {"a": 0.05, "b": 0.5, "c": 1.0}).first()
+    assert np.allclose([got.a, got.b, got.c], np.quantile(values, [0.05, 0.5, 1.0]))
+    assert rank.quantiles(df.filter("v is null"), "v", {"a": 0.5}).first().a is None
+    pct = {r.id: r.p for r in rank.average_rank_pct(df, "v", "p").collect()}
+    order = sorted(values)
+    want = {v: (order.index(v) + (order.count(v) - 1) / 2) / (len(order) - 1) * 100 for v in set(values)}
+    assert pct.pop(9999) is None and all(abs(pct[i] - want[v]) < 1e-9 for i, v in enumerate(values))
+    share = {r.id: r.p for r in rank.share_at_most(df, df.filter("id % 3 = 0"), "v", "p").collect()}
+    ref = [v for i, v in enumerate(values) if i % 3 == 0]
+    assert all(abs(share[i] - 100 * sum(x <= v for x in ref) / len(ref)) < 1e-9 for i, v in enumerate(values))
+    few = df.filter("v is not null").withColumn("g", F.col("id") % 2 == 0)
+    a = {(r.id, r.rank) for r in rank.numbered(few, ["g"], F.desc("v"), F.asc("id")).collect()}
+    assert a == {(r.id, r.rank) for r in rank.ranked(few, ["g"], F.desc("v"), F.asc("id")).collect()}
+
+
+def test_hot_keys_are_joined_whole(spark):
+    from nightloom.operators.joins import joined
+
+    rows = spark.createDataFrame([("hot" if i < 700 else f"k{i}", i) for i in range(2000)], "k string, i int").repartition(4)
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("least"))
+    got = joined(rows, table, ["k"], "n", 2000).collect()
+    assert len(got) == 2000 and {(r.i, r.least) for r in got} == {(i, 0 if i < 700 else i) for i in range(2000)}
+    assert joined(rows.filter("i < 0"), table.filter("least < 0"), ["k"], "n", 0).collect() == []
+
+
+def test_nearest_name_and_verb(spark):
+    from nightloom.operators import textcheck
+
+    text = "Vega rises at 20:10, the Milky Way centre sets around 3:05; nothing at 04:00. Moon halo near the Moon peaks at 21:00 and 22:00."
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    got = textcheck.timed_claims(df, ["id"], "text", ["Vega", "Moon", "Moon halo", "Milky Way", "Milky Way centre"], ["rises", "sets", "peaks"]).collect()
+    assert sorted((r.clause, r.minute, r.name, r.verb, r.phrase) for r in got) == [
+        (0, 1210, "Vega", "rises", "exact"), (1, 185, "Milky Way centre", "sets", "about"), (2, 240, None, None, "exact"), (3, 1260, "Moon", "peaks", "exact"), (3, 1320, "Moon", "peaks", "exact"),
+    ]
+    events = spark.createDataFrame([("Vega", "rises", 1215), ("Moon", "peaks", 1255)], "name string, verb string, event int")
+    claimed = textcheck.timed_claims(df, ["id"], "text", ["Vega", "Moon", "Moon halo", "Milky Way", "Milky Way centre"], ["rises", "sets", "peaks"])
+    assert sorted((r.name, r.minute) for r in textcheck.without_event(claimed, events, ["id"]).collect()) == [("Milky Way centre", 185), ("Moon", 1320)]
+
+
+def test_spots_are_found_once(spark):
+    from nightloom.sources import catalogues
+
+    s = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id long, name string")
+    ask = lambda *keys: catalogues.spots_for(spark.createDataFrame([(k,) for k in keys], "key string"), s).collect()
+    assert {(r.key, r.id) for r in ask("1", "a", "3")} == {("1", 1), ("a", 1), ("3", 3)}
+    for bad in ("b", "zz"):
+        with pytest.raises(Exception, match="not one site"):
+            ask(bad)
+
+
+def test_nights_are_merged_and_pruned(spark, tmp_path):
+    from nightloom.sources import documents
+
+    path, kind = str(tmp_path / "nights"), "cell long, night date, run string"
+    day = lambda n: __import__("datetime").date(2026, 9, n)
+    documents.merge_nights(spark, spark.createDataFrame([(1, day(1), "old"), (2, day(1), "old"), (1, day(5), "old"), (3, day(5), None)], kind), path, ["cell"], "run")
+    documents.merge_nights(spark, spark.createDataFrame([(2, day(1), "new"), (3, day(1), "new"), (1, day(1), None)], kind), path, ["cell"], "run")
+    read = lambda: sorted((r.cell, r.night.day, r.run) for r in spark.read.parquet(path).collect())
+    assert read() == [(1, 1, "old"), (1, 5, "old"), (2, 1, "new"), (3, 1, "new")]
+    assert documents.prune_nights(spark, path, "2026-09-09") == ["2026-09-01"] and read() == [(1, 5, "old")]
+
+
+def test_late_rows_and_state_that_ends(spark, tmp_path):
+    """A row behind the watermark is dropped; only sessions that the watermark has passed are written."""
+    import datetime
+
+    from nightloom.streaming import windows
+
+    at = lambda minute: datetime.datetime(2026, 9, 1, 12) + datetime.timedelta(minutes=minute)
+    for minutes in [(0, 5), (300,), (302,), (1,), (600,)]:  # the fourth file's row is late by then: rows are held against the watermark of the batch before
+        spark.createDataFrame([(1, at(m)) for m in minutes], "user long, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        __import__("time").sleep(1.1)  # files are taken by age
+    e = windows.stream(spark, str(tmp_path / "in" / "*.parquet"), maxFilesPerTrigger="1")
+    got = windows.finished(spark, windows.sessions(e, ["user"], "ts", "10 minutes", "30 minutes")).collect()
+    assert sorted(((r.start - at(0)).seconds // 60, r.n) for r in got) == [(0, 2), (300, 2)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": lambda self, key, default=None: default})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        graph.shared_dir(Session())

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightloom.operators.graph import settle, shared_dir
+from nightloom.operators.joins import HOT, joined
 
-__all__ = ["SPACE", "WORD", "gapless", "joined", "settle", "shared_dir", "text_of"]
-
-#: A key is hot when it holds more than this part of all rows, so there are fewer than a thousand hot ones, whatever the table.
-HOT = 1000
+__all__ = ["HOT", "SPACE", "WORD", "gapless", "joined", "settle", "shared_dir", "text_of"]
 
 #: White space as the contracts have it: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -22,19 +20,6 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def joined(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """The inner join of ``rows`` and ``table`` on ``keys``, for keys that may be hot; the column ``count`` goes.
-
-    ``count``: how many of the ``total`` rows have the key, in every row of ``table``. A hot key's rows would all meet in one
-    task; they stay where they are instead, and the table's rows of hot keys, of which there are fewer than HOT keys, are
-    broadcast. ``rows`` is read twice, so it should be settled.
-    """
-    hot = F.col(count) * HOT > total
-    few = F.broadcast(table.filter(hot).drop(count))
-    rest = rows.join(F.broadcast(table.filter(hot).select(*keys).distinct()), keys, "left_anti")
-    return rows.join(few, keys).unionByName(rest.join(table.filter(~hot).drop(count), keys))
-
-
 def gapless(df: DataFrame, keys: list[str], out: str, order: list[str]) -> DataFrame:
     """Add ``out``: 0, 1, 2 ... within each key, without gaps, in no promised order across partitions.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nightloom.functions import clock, names
 from nightloom.operators import claims
-from nightloom.plans.inputs import table
+from nightloom.plans.inputs import SITES, table
 from nightloom.sources import documents as docs
 from nightloom.sources import pages
 
@@ -140,7 +140,7 @@ def explore_json(spark, sf_dir):
     return docs.explore_document(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {SITES} SELECT id, name, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, 'curated' AS origin, coalesce(lift, false) AS requires_lift_access FROM sites WHERE id % 9 > 0""")
 def spot_json(spark, sf_dir):
     """Site annotations written as JSON lines with a declared schema, and read back."""
     return docs.json_round_trip(spark, sf_dir)

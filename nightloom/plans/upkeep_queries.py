@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nightloom.functions import clock, geo, sky
-from nightloom.operators import cloud, rank
+from nightloom.operators import cloud, rank, series
 from nightloom.plans import inputs
 from nightloom.plans.inputs import SITES, table
+from nightloom.plans.time_queries import MODELS, merged_models
 from nightloom.sources import catalogues, documents
 
 QUERIES: dict = {}
@@ -247,3 +248,29 @@ def night_cache(spark, sf_dir):
     documents.merge_nights(spark, rows.filter("cell % 3 = 0").withColumn("run", F.when(F.col("run").isNotNull(), "new")), path, ["cell"], "run")
     documents.prune_nights(spark, path, "2026-09-10")
     return spark.read.parquet(path).select("cell", F.col("night").cast("string"), "run")
+
+
+@query("""SELECT event_id, n <= 5 AS retried, CAST(least(n, 5) * 65 AS BIGINT) AS waited FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error')""")
+def retry_budget(spark, sf_dir):
+    """Failures of a run in order: five are retried after a wait of 65 seconds each, later ones are given up."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'").withColumn("day", F.col("ts").cast("date"))
+    n = rank.ranked(e, ["user_id", "day"], F.asc("ts"), F.asc("event_id"), out="n")
+    return n.select("event_id", (F.col("n") <= 5).alias("retried"), (F.least("n", F.lit(5)) * 65).cast("long").alias("waited"))
+
+
+@query("""WITH s AS (SELECT user_id AS cell, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type = 'view' GROUP BY 1) SELECT c_custkey AS cell, value, value IS NULL AS missing FROM customer LEFT JOIN s ON cell = c_custkey""")
+def frozen_cache(spark, sf_dir):
+    """Cells from the newest snapshot of any age, nothing fetched and nothing written; those without one are missing."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'view'")
+    newest = e.groupBy(F.col("user_id").alias("cell")).agg(F.max(F.struct("ts", "event_id", "value"))["value"].alias("value"))
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"))
+    return asked.join(newest, "cell", "left").select("cell", "value", F.col("value").isNull().alias("missing"))
+
+
+@query(f"""WITH {MODELS}, r AS (SELECT site, night, count(*) FILTER (source = 'MSM') > count(*) / 2 AS fine FROM mm GROUP BY site, night), n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY night) - 1 AS i FROM r)
+    SELECT site, min(i) FILTER (NOT fine) AS horizon FROM n GROUP BY site""")
+def regime_horizon(spark, sf_dir):
+    """The first night of each site that the finer model doesn't carry, by its number from 0; null if it carries all."""
+    nights = series.regime(merged_models(spark, sf_dir), ["site", "night"])
+    n = rank.ranked(nights, ["site"], F.asc("night"), out="i")
+    return n.groupBy("site").agg(F.min(F.when(F.col("regime") != "MSM", F.col("i") - 1)).cast("long").alias("horizon"))

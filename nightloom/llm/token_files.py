@@ -33,6 +33,8 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Token ids of a frame, about; level of compression.
 FRAME_IDS, LEVEL = 1 << 16, 3
 GOES_ON, NULL_ID = 1, 2
+#: What stands for a null id, so that ids ascend: null ones come first.
+NO_ID = -(1 << 63)
 
 
 def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -55,7 +57,7 @@ class Writer:
         at, flag = 0, NULL_ID * (doc_id is None)
         while True:
             part = ids[at : at + FRAME_IDS - self.n]
-            self.entries.append((doc_id or 0, flag, len(part)))
+            self.entries.append((NO_ID if doc_id is None else doc_id, flag, len(part)))
             self.ids.append(part)
             self.n += len(part)
             at += len(part)
@@ -128,7 +130,7 @@ class Reader:
         k = bisect_left([last for _, last in self.index], doc_id)
         while k < len(self.table) and self.index[k][0] <= doc_id:
             for key, on, ids in self.frame(k):
-                if key == doc_id and (on if out is not None else not on):
+                if key is not None and key == doc_id and (on if out is not None else not on):
                     out = ids if out is None else np.concatenate([out, ids])
                 elif out is not None:
                     return out

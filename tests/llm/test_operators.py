@@ -416,6 +416,14 @@ def test_readers_decompress_only_what_was_asked_for(tmp_path):
     import zstandard
 
     assert len(zstandard.ZstdDecompressor().decompressobj().decompress(open(path, "rb").read()[: r.table[0][1]])) == r.table[0][2]
+    odd = str(tmp_path / "y.ids.zst")
+    w = token_files.Writer(open(odd, "wb"))
+    for i, doc in enumerate([None, None, -(1 << 63), -7, -2, 0, 5, 5]):
+        w.add(doc, np.full(40_000, i, np.uint32))
+    w.close()
+    for doc, first in ((-(1 << 63), 2), (-7, 3), (-2, 4), (0, 5), (5, 6)):
+        assert set(token_files.Reader(odd).get(doc).tolist()) == {first} and len(token_files.Reader(odd).get(doc)) == 40_000
+    assert token_files.Reader(odd).get(1) is None and [k for k, on, _ in token_files.Reader(odd) if not on].count(None) == 2
     raw = bytearray(open(path, "rb").read())
     raw[r.table[1][0] + 40] ^= 1
     open(path, "wb").write(raw)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightloom.llm.common import settle
+from nightloom.llm.common import HOT, joined, settle
 from nightloom.operators.graph import components, parts_for
 
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 5
@@ -206,7 +206,8 @@ def sign(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -
             n = part.num_rows
             keys = banded(signatures(doc, e, n, bands * rows), bands)
             some = np.bincount(doc, minlength=n) > 0
-            yield pa.record_batch([part.column("doc_id"), printed(prints), listed(keys[some].ravel(), some * bands)], names=["doc_id", "print", "keys"])
+            more = [c for c in part.schema.names if c != "text"]
+            yield pa.record_batch([*(part.column(c) for c in more), printed(prints), listed(keys[some].ravel(), some * bands)], names=[*more, "print", "keys"])
 
 
 def element_lists(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -257,19 +258,23 @@ def still_open(met: DataFrame, comps: DataFrame, named) -> DataFrame:
     return rows.join(most, "key").select("key", "node", "comp", (F.col("comp") == F.col("top")).alias("large"), "n_large", "n_small")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size.
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, class_id, class_size, first, and the columns in ``carry``.
 
     A link joins two texts whose shingles (``words`` words in lower case, split at white space, counted with their
     multiplicity) have a weighted Jaccard similarity of ``similar`` or more; classes are the connected components, named by
     their smallest doc_id. Texts of the same words are always of one class. Null, empty and blank texts have no words and
     are each a class of their own, as are rows with no partner; a class whose ids are all null has a null class_id. Rows
-    that repeat an id count as rows. Other columns are ignored; no rows, no result.
+    that repeat an id count as rows. ``first``: the row has the class' smallest id, and of the texts with that id the one
+    with the least fingerprint; rows without an id are all first. Other columns are ignored; no rows, no result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = settle(docs.mapInArrow(partial(sign, words=words, bands=bands, rows=rows), "doc_id long, print binary, keys array<bigint>"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    signed = settle(docs.mapInArrow(partial(sign, words=words, bands=bands, rows=rows), f"{kinds}, print binary, keys array<bigint>"))
     full = signed.filter(F.size("keys") > 0)
-    nodes = settle(full.groupBy("print").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
+    total = full.count()
+    groups = full.groupBy("print").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    nodes = settle(groups.withColumn("node", F.monotonically_increasing_id()))
     parts = parts_for(nodes.count(), 20_000)
 
     def kept(df: DataFrame) -> DataFrame:
@@ -277,25 +282,39 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return settle(df.coalesce(parts))
 
     buckets = nodes.select("node", F.explode("keys").alias("key"))
-    pivots = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", F.xxhash64("node", "key")).alias("pivot")).filter("n > 1").drop("n")
-    met = kept(buckets.join(pivots, "key"))  # members of buckets with two or more
+    pivots = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", F.xxhash64("node", "key")).alias("pivot")).filter("n > 1")
+    met = kept(buckets.join(pivots.drop("n"), "key"))  # members of buckets with two or more
     pairs = kept(met.filter("node != pivot").groupBy(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
     wanted = nodes.join(met.select("node").distinct(), "node").select("node", "print", F.col("doc_id").alias("of"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["of"])).select("text", "node", "print")
     sets = settle(texts.mapInArrow(partial(element_lists, words=words), "node long, elements array<bigint>").dropDuplicates(["node"]))
 
+    def with_elements(some: DataFrame, x: str, y: str, rows: int) -> DataFrame:
+        """Links with the elements of their node ``x``. A node that many links share has copies, each for a part of these."""
+        often = some.groupBy(x).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > rows).select(x, F.ceil(F.col("n") * HOT / rows).cast("int").alias("parts"))
+        few = often.collect()  # fewer than HOT
+        own = sets.select(F.col("node").alias(x), F.col("elements").alias(f"of_{x}"))
+        if not few:
+            return some.join(own, x)
+        hot, parts = F.broadcast(some.sparkSession.createDataFrame(few, often.schema)), F.coalesce("parts", F.lit(1))
+        own = own.join(hot, x, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        return some.join(hot, x, "left").withColumn("part", F.pmod(F.xxhash64(y), parts).cast("int")).drop("parts").join(own, [x, "part"]).drop("part")
+
     def verified(some: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("node").alias(x), F.col("elements").alias(f"of_{x}")) for x in "ab")
+        """Those of the links that hold; settled in as many tasks as the work has, then few partitions."""
+        some = kept(some)
+        rows = some.count()
         n = F.size("of_a") + F.size("of_b")
         both = F.size(F.array_intersect("of_a", "of_b"))
         close = F.least(F.size("of_a"), F.size("of_b")) >= similar * F.greatest(F.size("of_a"), F.size("of_b")) - 1e-9
-        return some.join(one, "a").join(two, "b").filter(close).filter(both >= similar * (n - both) - 1e-9).select("a", "b")
+        pairs = with_elements(with_elements(some, "a", "b", rows), "b", "a", rows) if rows else some.withColumns({"of_a": F.array().cast("array<bigint>"), "of_b": F.array().cast("array<bigint>")})
+        return settle(pairs.filter(close).filter(both >= similar * (n - both) - 1e-9).select("a", "b")).coalesce(parts)
 
     def named(rows: DataFrame, col: str, out: str, comps: DataFrame) -> DataFrame:
         c = comps.select(F.col("node").alias(col), F.col("comp").alias(out))
         return rows.join(c, col, "left").withColumn(out, F.coalesce(out, col))
 
-    def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
         """``comps`` with further links between its nodes: only components that these join are gone through."""
         if links.isEmpty():
             return comps
@@ -307,10 +326,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sides = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "bands").union(pairs.select("b", "a", "bands"))
     best = sides.groupBy("node").agg(F.max_by("other", F.col("bands") * 1000 + F.pmod(F.xxhash64("node", "other"), F.lit(1000))).alias("other"))
     first = best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    comps = kept(components(kept(verified(first))))
+    comps = kept(components(verified(first)))
     # Then the other pivots that are still of another class.
     rest = named(named(pairs.join(first, ["a", "b"], "left_anti"), "a", "of_a", comps), "b", "of_b", comps).filter("of_a != of_b").select("a", "b")
-    comps = joined(comps, kept(verified(rest)))
+    comps = merged(comps, verified(rest))
     # Then members of a bucket that still holds several classes: those outside its largest class meet members of that.
     for seed in range(MEETINGS):
         left = kept(still_open(met, comps, named))
@@ -318,7 +337,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         other = left.filter("large").groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key", F.lit(seed))).alias("pivot"))
         again = left.filter("not large").join(other, "key").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        comps = joined(comps, kept(verified(again)))
+        comps = merged(comps, verified(again))
     # Last, whoever is still outside meets everybody of the bucket, in blocks of bounded size.
     left = kept(still_open(met, comps, named))
     if not left.isEmpty():
@@ -332,19 +351,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # buckets of the same members in several bands are compared once
         task = spread.groupBy("key", "i", "j").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.count(F.lit(1)).alias("c"))
         task = task.groupBy("s", "c", "i", "j").agg(F.min("key").alias("key")).select("key", "i", "j")
-        short = sets.select("node", F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")).alias("elements"))  # half the bytes, no fewer matches
-        held = spread.join(task, ["key", "i", "j"]).join(short, "node")
+        held = spread.join(task, ["key", "i", "j"]).join(sets, "node")
         links = held.groupBy("key", "i", "j").applyInPandas(lambda pdf: blocks(pdf, similar), "a long, b long").distinct()
-        comps = joined(comps, kept(verified(settle(links))))
-    labels = nodes.join(comps, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))
-    rows_ = settle(full.join(labels, "print").select("doc_id", "comp"))
-    named_by = rows_.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    blank = signed.filter(F.size("keys") == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return rows_.join(named_by, "comp").select("doc_id", "class_id", "class_size").union(blank)
+        comps = merged(comps, verified(settle(links)))
+    labels = settle(nodes.join(comps, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"), "copies"))
+    rows_ = settle(joined(full.select("doc_id", *carry, "print"), labels, ["print"], "copies", total))
+    by = F.struct("doc_id", "print")
+    named_by = settle(rows_.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.when(F.col("doc_id").isNotNull(), by)).alias("least")))
+    out = ["doc_id", "class_id", "class_size", "first", *carry]
+    found = joined(rows_, named_by.withColumn("n", F.col("class_size")), ["comp"], "n", total).withColumn("first", F.col("doc_id").isNull() | (by == F.col("least"))).select(*out)
+    blank = signed.filter(F.size("keys") == 0).withColumns({"class_id": F.col("doc_id"), "class_size": F.lit(1).cast("long"), "first": F.lit(True)}).select(*out)
+    return found.unionByName(blank)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id. Rows without an id stay; rows that share
-    an id stay or go together."""
-    gone = near_classes(docs, id_col, text_col, **more).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """``docs`` with one document of each class: the ``first``; columns as they are, no rows give none. Rows without an id stay;
+    rows that share an id and a text stay or go together. Texts move once, to meet the verdict."""
+    raw = lambda text: F.sha2(F.coalesce(text, F.lit("")), 256)
+    seen = near_classes(docs.withColumn("__raw", raw(F.col(text_col))), id_col, text_col, carry=("__raw",), **more)
+    gone = seen.filter(~F.col("first")).select(F.col("doc_id").alias("__gone"), "__raw").distinct()
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (raw(docs[text_col]) == gone["__raw"]), "left_anti")

@@ -18,7 +18,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_classes(documents(spark, sf_dir))
+    return near_dedup.near_classes(documents(spark, sf_dir)).drop("first")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

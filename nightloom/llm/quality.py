@@ -174,8 +174,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, c
 
 
 def drop_poor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of ``docs`` whose text is kept; columns as they are. A row goes by its own id and text, so rows that share an id may fare differently."""
-    gone = judged(docs.withColumn("__sha", F.sha2(text_of(text_col), 256)), id_col, text_col, carry=["__sha"], **more)
-    gone = gone.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), "__sha").distinct()
-    same = docs[id_col].eqNullSafe(gone["__gone"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == gone["__sha"])
-    return docs.join(gone, same, "left_anti")
+    """The rows of ``docs`` whose text is kept; columns as they are. A row goes by its own text, so rows that share an id may
+    fare differently; no rows give none.
+
+    Each row is carried along with its votes, so no text is shuffled; it is written once, where the votes are settled.
+    """
+    whole = F.struct(*docs.columns).alias("__row")
+    return judged(docs.withColumn("__row", whole), id_col, text_col, carry=["__row"], **more).filter("kept").select("__row.*")

@@ -36,7 +36,7 @@ def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record_id(key: int, sha1: str, url: str | None, copy: int) -> str:
+def record_id(key: int, sha1: str, url: str, copy: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}:{sha1}:{copy}:{url}')}>"
 
 
@@ -45,7 +45,7 @@ def head(r: dict) -> bytes:
     response = r["record_type"] == "response"
     fields = [
         ("WARC-Type", r["record_type"]), ("WARC-Record-ID", record_id(r["key"], r["sha1"], r["url"], r["copy"])), ("WARC-Date", DATE),
-        *([("WARC-Target-URI", "".join(c for c in r["url"] if c >= " "))] if r["url"] else []), ("WARC-Payload-Digest", f"sha1:{base32(r['sha1'])}"),
+        *([("WARC-Target-URI", "".join(c for c in r["url"][1:] if c >= " "))] if r["url"][1:] else []), ("WARC-Payload-Digest", f"sha1:{base32(r['sha1'])}"),
         *([] if response else [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(r["refers_key"], r["sha1"], r["refers_url"], 0)), ("X-Refers-To-Page", r["refers_key"])]),
         *([] if r["key"] == NO_ID else [("X-Page", r["key"])]), ("X-Payload-Length", r["payload_bytes"]),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(HTTP) + r["payload_bytes"] * response),
@@ -108,15 +108,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
     """
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
-    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(url_col).alias("url"), body.alias("body"))
+    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.concat(F.lit("u"), url_col), F.lit("")).alias("url"), body.alias("body"))  # a url that is never null
     rows = rows.withColumn("sha1", F.sha1("body"))
     large = rows.filter(F.octet_length("body") >= least)
     light = settle(large.groupBy("key", "sha1", "url", F.octet_length("body").cast("long").alias("payload_bytes")).agg(F.count(F.lit(1)).alias("copies")))
-    # ~key is smallest where the key is largest; a null url is smaller than any
+    # ~key is smallest where the key is largest; no url is smaller than any
     first = light.groupBy("sha1").agg(F.min(F.struct(F.bitwise_not("key").alias("not_key"), "url")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = settle(first.select("sha1", F.bitwise_not("first.not_key").alias("refers_key"), F.col("first.url").alias("refers_url"), "n"))
     each = joined(light, first, ["sha1"], "n", light.count()).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    chosen = (F.col("key") == F.col("refers_key")) & F.col("url").eqNullSafe(F.col("refers_url")) & (F.col("copy") == 0)
+    chosen = (F.col("key") == F.col("refers_key")) & (F.col("url") == F.col("refers_url")) & (F.col("copy") == 0)
     records = each.withColumn("record_type", F.when(chosen, "response").otherwise("revisit"))
     names = ["key", "sha1", "url", "copy", "chunk_no", "chunk", "payload_bytes", "record_type", "refers_key", "refers_url"]
 
@@ -126,17 +126,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
         return each.withColumn("chunk", F.substring("body", F.col("chunk_no") * chunk + 1, F.lit(chunk))).drop("body")
 
     # Only responses need their bytes. A row that repeats very often sends its chunks once from each task.
-    chunks, own = cut(large), ["key", "sha1", "url", "chunk_no"]
-    often = light.filter(F.col("copies") * HOT > light.agg(F.sum("copies")).first()[0]).select(F.col("key").alias("k"), F.col("sha1").alias("s"), F.col("url").alias("u")) if not light.isEmpty() else light
+    chunks, own = cut(large), ["key", "sha1", "url"]
+    often = light.filter(F.col("copies") * HOT > light.agg(F.sum("copies")).first()[0]).select(*own) if not light.isEmpty() else light
     if not often.isEmpty():
-        same = (F.col("key") == F.col("k")) & (F.col("sha1") == F.col("s")) & F.col("url").eqNullSafe(F.col("u"))
-        once = chunks.join(F.broadcast(often), same, "left_semi").groupBy(*own, "payload_bytes").agg(F.any_value("chunk").alias("chunk"))
-        chunks = chunks.join(F.broadcast(often), same, "left_anti").unionByName(once)
+        once = chunks.join(F.broadcast(often), own, "left_semi").groupBy(*own, "chunk_no", "payload_bytes").agg(F.any_value("chunk").alias("chunk"))
+        chunks = chunks.join(F.broadcast(often), own, "left_anti").unionByName(once)
     # The writer needs a record's rows together; a join's own exchange is given up for a broadcast, or split, this one is not.
-    one = records.filter("record_type = 'response'").select(F.col("key").alias("k"), F.col("sha1").alias("s"), F.col("url").alias("u"), "copy", "record_type", "refers_key", "refers_url")
-    same = (F.col("key") == F.col("k")) & (F.col("sha1") == F.col("s")) & F.col("url").eqNullSafe(F.col("u"))
-    full = chunks.repartition("key", "sha1", "url").join(one, same).select(*names).sortWithinPartitions("key", "sha1", "url", "chunk_no")
-    bare = records.filter("record_type = 'revisit'").withColumns({"chunk_no": F.lit(0), "chunk": F.lit(None).cast("binary")}).select(*names).repartition("key", "sha1", "url", "copy")
+    one = records.filter("record_type = 'response'").select(*own, "copy", "record_type", "refers_key", "refers_url")
+    full = chunks.repartition(*own).join(one, own).select(*names).sortWithinPartitions(*own, "chunk_no")
+    bare = records.filter("record_type = 'revisit'").withColumns({"chunk_no": F.lit(0), "chunk": F.lit(None).cast("binary")}).select(*names).repartition(*own, "copy")
     table = full.unionByName(bare)
     if least > 0:  # small payloads are responses as they stand
         small = cut(rows.filter(F.octet_length("body") < least).withColumn("copy", F.monotonically_increasing_id()))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Seconds between two requests to the driver to collect its garbage, and when it was last asked.
-PATIENCE = 2.0
+PATIENCE = 0.5
 _asked = 0.0
 
 
@@ -32,7 +32,7 @@ def settle(df: DataFrame) -> DataFrame:
     and what follows sees the same rows, in the same partitions, however often it reads them.
 
     Shuffle and checkpoint files of what was cut off go when the driver collects its garbage, which may be late, so this asks
-    for it every few seconds.
+    for it, at most twice a second.
     """
     global _asked
     shared_dir(df.sparkSession)

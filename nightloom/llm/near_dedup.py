@@ -33,6 +33,8 @@ FIRST_CELL = 1 / 16
 SLICE, SLICE_ROWS, BLOCK = 1 << 20, 1024, 256
 #: Rounds in which members outside a bucket's largest class meet one of it, before the rest is compared in blocks.
 MEETINGS = 2
+#: Links of a node that may meet in one task, however few links there are.
+FEW = 256
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -291,7 +293,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def with_elements(some: DataFrame, x: str, y: str, rows: int) -> DataFrame:
         """Links with the elements of their node ``x``. A node that many links share has copies, each for a part of these."""
-        often = some.groupBy(x).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > rows).select(x, F.ceil(F.col("n") * HOT / rows).cast("int").alias("parts"))
+        often = some.groupBy(x).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") * HOT > rows) & (F.col("n") > FEW)).select(x, F.ceil(F.col("n") * HOT / rows).cast("int").alias("parts"))
         few = often.collect()  # fewer than HOT
         own = sets.select(F.col("node").alias(x), F.col("elements").alias(f"of_{x}"))
         if not few:

@@ -134,8 +134,10 @@ def test_near_classes(docs):
     assert near_dedup.near_classes(empty(docs)).collect() == []
 
 
-def test_a_crowd_of_near_copies(spark):
-    """Copies of copies: some pairs are over the bound, some are not, and buckets hold several classes."""
+@pytest.mark.parametrize("few", [0, 256])
+def test_a_crowd_of_near_copies(spark, monkeypatch, few):
+    """Copies of copies: some pairs are over the bound, some are not, and buckets hold several classes. With 0 all pivots are popular."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
     base = prose(7, 150).replace("\n", " ")
     texts = [(i, edited(base, 40 + i % 9, i)) for i in range(120)] + [(1000 + i, edited(edited(base, 25, 5), 30, i)) for i in range(60)]
     got = near_dedup.near_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()

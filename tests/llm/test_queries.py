@@ -249,7 +249,8 @@ def test_html_of_unmarked_pages(spark):
 
 def test_pipeline(spark, texts):
     """The pieces of the documents that the stages leave, by brute force for each stage."""
-    kept = [(d, t) for d, t in texts if {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(texts, "doc_id long, text string")).collect()}[d]]
+    verdict = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    kept = [(d, t) for d, t in texts if verdict[d]]
     groups = collections.defaultdict(list)
     for d, t in kept:
         groups[brute.bare(t)].append((-len(t), d, t))

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from nightloom.llm import common, exact_dedup, near_dedup, packing, quality, secrets
+from nightloom.operators.graph import discard
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +38,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table, each written as Parquet to the shared folder and read again."""
+    """All stages over the whole ``documents`` table, each written as Parquet to the shared folder and read again.
+
+    A stage's table is deleted once the next one is written; the last one stays for the result to be read. Rows that repeat an
+    id are documents of their own, null texts are empty (and fail the quality rules), and no documents give no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
         docs = spark.read.parquet(f"{top}/{k}-{name}")
+        if k:
+            discard(spark, f"{top}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

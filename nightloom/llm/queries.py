@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightloom.llm import bpe, exact_dedup, html_text, near_dedup, packing, quality, secrets, shards, token_files, warc
+from nightloom.llm import bpe, clusters, conversations, exact_dedup, html_text, mixing, near_dedup, oracle, packing, quality, secrets, shards, token_files, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.audited(conversations.damaged(rows), rows)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.planned(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_html_text": op2_html_text,
@@ -71,9 +84,12 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
+    "op11_repair": op11_repair,
+    "op12_mixing": op12_mixing,
+    "op13_clusters": op13_clusters,
 }
 
-ORACLE_SQL = {
+ORACLE_SQL = oracle.ORACLE_SQL | {
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              b AS (SELECT doc_id, length(t) AS n, sha256(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM d),

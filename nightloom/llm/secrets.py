@@ -9,10 +9,13 @@ explains, are reported beside the patterns' matches.
 from __future__ import annotations
 
 import base64
+import heapq
 import math
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +35,20 @@ KINDS = ("assign", "access", "hex", "guess")
 #: A name starts here: no letter before it, or a step of camel case.
 _START = r"(?-i:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
 #: Where a credential's value stands: after its name (the base patterns' names may stand within any other), in a URL before the
-#: host, after an authorization scheme. A value ends at white space; in quotes at the quote, in a URL at the host's "@".
+#: host, after an authorization scheme.
 CONTEXT = re.compile(
     rf"""(?:password|passwd|secret|token|api[_-]?key|{_START}(?:pwd|pass|passphrase|passcode|credentials?|auth|private[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|auth[_-]?key|db[_-]?pass|login))"""
-    r"""["']?\x20*[:=]\x20*(?:"(?P<double>(?:\\\S|[^\s"\\]){6,})|'(?P<single>(?:\\\S|[^\s'\\]){6,})|(?P<bare>[^\s"'<>,;|]{6,}))"""
-    r"""|\b[a-z][a-z0-9+.-]*://[^\s/:@"']*:(?!\d{1,5}[/?\#])(?P<url>(?:[^\s"'<>@]|@(?=[^\s"'<>@/,;]*@)){6,})(?=@)"""
-    r"""|\b(?:Bearer|Basic)\x20+(?P<scheme>[^\s"'<>,;|@]{6,})""",
+    r"""["']?\x20*[:=]\x20*(?:(?P<double>")|(?P<single>')|(?P<bare>))"""
+    r"""|\b[a-z][a-z0-9+.-]{0,31}://[^\s/:@"']*:(?!\d{1,5}[/?\#])(?P<url>)"""
+    r"""|\b(?:Bearer|Basic)\x20+(?P<scheme>)""",
     re.I | re.A,
 )
+#: What a value may hold, by its context: it ends at white space, in quotes at the quote, in a URL at the host's "@".
+VALUE = {
+    "double": re.compile(r"""(?:\\\S|[^\s"\\])*+""", re.A), "single": re.compile(r"""(?:\\\S|[^\s'\\])*+""", re.A), "bare": re.compile(r"""[^\s"'<>,;|]*+""", re.A),
+    "url": re.compile(r"""(?:[^\s"'<>@]|@(?=[^\s"'<>@/,;]*@))*+""", re.A), "scheme": re.compile(r"""[^\s"'<>,;|@]*+""", re.A),
+}
+LEAST_VALUE = 6
 #: For Arrow: texts that may hold anything of the above.
 MAY = r"(?i:passw|secret|token|api_?key|pwd|pass|credential|auth|_?key|login|bearer|basic|://)|AKIA|[0-9a-f]{32}"
 #: A value is hard to guess from this many powers of ten on.
@@ -68,8 +77,9 @@ DATE = re.compile(rf"(?P<year>{_YEAR})(?:(?P<a>[-./_]?){_MONTH}(?P=a){_DAY})?|(?
 
 
 @lru_cache(4)
-def dictionary(path: str | None) -> tuple[dict[str, int], int]:
-    """Words with their ranks, and the longest one's length: COMMON first, then the whole words of a tokenizer's rank file.
+def dictionary(path: str | None) -> tuple[dict[str, int], dict[str, int], frozenset[str]]:
+    """Words with their ranks, the same read backwards, and the beginnings of all of these: COMMON first, then the whole words of a
+    tokenizer's rank file.
 
     The file has a token (base64 of its bytes) and its rank in each line, most frequent first; its whole words are the tokens
     of a space and letters. ``None``: COMMON alone.
@@ -82,13 +92,12 @@ def dictionary(path: str | None) -> tuple[dict[str, int], int]:
     ranks: dict[str, int] = {}
     for w in words:
         ranks.setdefault(w, len(ranks) + 1)
-    return ranks, max(map(len, ranks))
+    reverse = {w[::-1]: n for w, n in ranks.items()}
+    return ranks, reverse, frozenset(w[:n] for w in (*ranks, *reverse) for n in range(LEAST_WORD, len(w) + 1))
 
 
-def character_cost(value: str) -> float:
-    """log10 of the kinds of characters that the value draws from."""
-    kinds = 10 * any(c.isdigit() for c in value) + 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value)
-    return math.log10(max(kinds + 33 * any(not (c.isascii() and c.isalnum()) for c in value), 10))
+#: Kinds of characters and how many there are of each.
+CHARACTERS = ((10, re.compile("[0-9]")), (26, re.compile("[a-z]")), (26, re.compile("[A-Z]")), (33, re.compile("[^0-9a-zA-Z]")))
 
 
 def word_cost(word: str, rank: int, extra: float) -> float:
@@ -120,23 +129,6 @@ def lowered(value: str) -> str:
     return low if len(low) == len(value) else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)  # some letters become two
 
 
-def words_from(value: str, words: str | None) -> Callable[[int], Iterator[tuple[int, str, float]]]:
-    ranks, longest = dictionary(words)
-    low = lowered(value)
-    forms = [(low, 0.0)] + [(t, math.log10(2)) for t in dict.fromkeys(low.translate(m) for m in LEET) if t != low]
-
-    def found(i: int) -> Iterator[tuple[int, str, float]]:
-        for j in range(i + LEAST_WORD, min(i + longest, len(value)) + 1):
-            for text, extra in forms:
-                part = text[i:j]
-                if part in ranks:
-                    yield j, "word", word_cost(value[i:j], ranks[part], extra)
-                if part[::-1] in ranks:
-                    yield j, "word", word_cost(value[i:j], ranks[part[::-1]], extra + math.log10(2))
-
-    return found
-
-
 def dates_from(value: str, i: int) -> Iterator[tuple[int, str, float]]:
     if value[i].isdigit():
         for j in range(i + 4, min(i + 10, len(value)) + 1):
@@ -144,8 +136,9 @@ def dates_from(value: str, i: int) -> Iterator[tuple[int, str, float]]:
                 yield j, "date", cost
 
 
-def walks_from(low: str, i: int) -> Iterator[tuple[int, str, float]]:
-    """Sub-walks of three and more characters from a place; of longer ones than MOST_WALK, the whole one too."""
+def walks_from(low: str, i: int, start: int) -> Iterator[tuple[int, str, float]]:
+    """Sub-walks of three and more characters from a place; of longer ones than MOST_WALK, the whole one from where it starts in
+    the value, which is at ``start``."""
     j, turns, before = i + 1, 0, None
     while j < len(low) and low[j - 1 : j + 1] in STEPS:
         way = low[j - 1 : j + 1] in FORWARD
@@ -154,78 +147,184 @@ def walks_from(low: str, i: int) -> Iterator[tuple[int, str, float]]:
         if 3 <= j - i <= MOST_WALK:
             yield j, "walk", walk_cost(j - i, turns)
         elif j - i > MOST_WALK:
-            if i and low[i - 1 : i + 1] in STEPS:  # within a longer one
+            if i > start and low[i - 1 : i + 1] in STEPS:  # within a longer one
                 return
     if j - i > MOST_WALK:
         yield j, "walk", walk_cost(j - i, turns)
 
 
-def periods(value: str) -> list[list[tuple[int, int]]]:
-    """For each place the (unit length, copies) that stand there, for units that are no repeats themselves."""
+def periods(value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The (unit length, copies) that stand at each place, for units that are no repeats themselves: where each place's begin,
+    unit lengths, copies."""
     n = len(value)
-    data = np.frombuffer(value.encode("utf-32-le"), "<u4")
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    data = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4")
+    runs: dict[int, np.ndarray] = {}  # characters from each place on that come again so much later
+    places, units, copies = [], [], []
     for u in range(1, min(MOST_UNIT, n // 2) + 1):
         differs = np.append(np.flatnonzero(data[u:] != data[: n - u]), n - u)
-        places = np.arange(n - u)
-        run = differs[np.searchsorted(differs, places)] - places  # characters from here on that come again u later
-        for i in places[run >= u].tolist():
-            if not any(u % v == 0 and v * copies >= u for v, copies in out[i]):
-                out[i].append((u, int(run[i]) // u + 1))
-    return out
+        if len(differs) > n - 2 * u + 1 and int(np.diff(differs, prepend=-1).max()) <= u:
+            continue  # no run is as long as the unit
+        run = np.repeat(differs, np.diff(differs, prepend=-1))[: n - u] - np.arange(n - u)
+        runs[u] = run
+        found = run >= u
+        for v, other in runs.items():
+            if v < u and u % v == 0:
+                found &= (other[: n - u] < v) | (other[: n - u] // v * v + v < u)
+        at = np.flatnonzero(found)
+        places.append(at)
+        units.append(np.full(len(at), u))
+        copies.append(run[at] // u + 1)
+    if not places:
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    every = np.concatenate(places)
+    order = np.argsort(every, kind="stable")
+    return np.searchsorted(every[order], np.arange(n + 1)), np.concatenate(units)[order], np.concatenate(copies)[order]
+
+
+class Run:
+    """A value, and the values that start later in it and end where it ends.
+
+    What segments start at a place is worked out when a search gets there, once for all values of the run.
+    """
+
+    def __init__(self, value: str, words: str | None):
+        self.value, self.words, self.low = value, words, lowered(value)
+        self.forms = [(self.low, 0.0)] + [(t, math.log10(2)) for t in dict.fromkeys(self.low.translate(m) for m in LEET) if t != self.low]
+        self.begins, self.units, self.copies = periods(value)
+        backwards = value[::-1]
+        self.last = [(n, len(value) - m.start()) for n, kind in CHARACTERS if (m := kind.search(backwards))]
+        self.held: dict[int, list[tuple[int, str, float]]] = {}
+
+    def each(self, start: int) -> float:
+        """log10 of the kinds of characters that the value from ``start`` draws from."""
+        return math.log10(max(sum(n for n, end in self.last if end > start), 10))
+
+    def words_from(self, i: int) -> Iterator[tuple[int, str, float]]:
+        ranks, reverse, heads = dictionary(self.words)
+        for text, extra in self.forms:
+            for j in range(i + LEAST_WORD, len(text) + 1):
+                part = text[i:j]
+                if part not in heads:
+                    break
+                if part in ranks:
+                    yield j, "word", word_cost(self.value[i:j], ranks[part], extra)
+                if part in reverse:
+                    yield j, "word", word_cost(self.value[i:j], reverse[part], extra + math.log10(2))
+
+    def segments(self, i: int, start: int, each: float) -> list[tuple[int, str, float]]:
+        """(end, kind, cost) of what may start at place ``i`` of the value from ``start``."""
+        found = self.held.get(i)
+        if found is None:
+            found = self.held[i] = [*self.words_from(i), *dates_from(self.value, i), *walks_from(self.low, i, 0 if i else i)]
+        out = [(i + 1, "brute", each), *found]
+        if i == start and i:
+            out += walks_from(self.low, i, start)
+        for k in range(self.begins[i], self.begins[i + 1]):
+            u, count = int(self.units[k]), int(self.copies[k])
+            unit = unit_cost(self.value[i : i + u], self.words, each)
+            out += [(i + u * n, "repeat", repeat_cost(unit, n)) for n in {*range(2, min(count, MOST_COUNT) + 1), count}]
+        return out
+
+    def cheapest(self, start: int = 0, each: float | None = None) -> tuple[float, list[tuple[int, int, str]]]:
+        """log10 of the guesses of the value from ``start`` on, and its segments: the shortest path through its places."""
+        n, each = len(self.value), self.each(start) if each is None else each
+        best, back = [0.0] + [math.inf] * (n - start), [(0, "")] * (n - start + 1)
+        for i in range(start, n):
+            here = best[i - start]
+            for j, kind, cost in self.segments(i, start, each):
+                if here + cost < best[j - start]:
+                    best[j - start], back[j - start] = here + cost, (i, kind)
+            self.held.pop(i, None)  # not needed again
+        out: list[tuple[int, int, str]] = []
+        j = n
+        while j > start:
+            i, kind = back[j - start]
+            if out and kind == "brute" == out[-1][2] and out[-1][0] == j - start:
+                out[-1] = (i - start, out[-1][1], kind)
+            else:
+                out.append((i - start, j - start, kind))
+            j = i
+        return best[-1], out[::-1]
+
+    def cheap(self, start: int, threshold: float) -> bool:
+        """Whether the value from ``start`` on costs less than ``threshold``: places in the order of their costs, until the end is
+        reached or all that is left costs more. Only places within reach of the threshold are looked at."""
+        n, each, best, queue = len(self.value), self.each(start), {start: 0.0}, [(0.0, start)]
+        while queue:
+            here, i = heapq.heappop(queue)
+            if here > best[i]:
+                continue
+            for j, _, cost in self.segments(i, start, each):
+                total = here + cost
+                if total < threshold and total < best.get(j, math.inf):
+                    if j == n:
+                        return True
+                    best[j] = total
+                    heapq.heappush(queue, (total, j))
+        return start == n and threshold > 0
+
+
+@lru_cache(20_000)  # values of at most MOST_UNIT characters
+def unit_cost(unit: str, words: str | None, each: float | None) -> float:
+    return Run(unit, words).cheapest(0, each)[0]
 
 
 def cheapest(value: str, words: str | None = None) -> tuple[float, list[tuple[int, int, str]]]:
-    """log10 of the guesses of the cheapest segmentation, and its segments: the shortest path through the value's places.
+    """log10 of the guesses of the cheapest segmentation, and its segments.
 
     Segments are the words (also reversed, or with look-alikes for letters), dates, sub-walks and repeats from every place;
     a unit of a repeat costs what its own cheapest segmentation costs. ``words``: a dictionary's file.
     """
-    return _cheapest(value, words, character_cost(value))
+    return Run(value, words).cheapest()
 
 
-@lru_cache(20_000)
-def _cheapest(value: str, words: str | None, each: float) -> tuple[float, list[tuple[int, int, str]]]:
-    n = len(value)
-    best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
-    found, low, copies = words_from(value, words), lowered(value), periods(value)
-    for i in range(n):
-        here = best[i]
-        segments = [(i + 1, "brute", each), *found(i), *dates_from(value, i), *walks_from(low, i)]
-        for u, count in copies[i]:
-            unit = _cheapest(value[i : i + u], words, each)[0]
-            segments += [(i + u * k, "repeat", repeat_cost(unit, k)) for k in {*range(2, min(count, MOST_COUNT) + 1), count}]
-        for j, kind, cost in segments:
-            if here + cost < best[j]:
-                best[j], back[j] = here + cost, (i, kind)
-    out: list[tuple[int, int, str]] = []
-    j = n
-    while j:
-        i, kind = back[j]
-        if out and kind == "brute" == out[-1][2] and out[-1][0] == j:
-            out[-1] = (i, out[-1][1], kind)
-        else:
-            out.append((i, j, kind))
-        j = i
-    return best[-1], out[::-1]
-
-
-def spans_of(text: str, threshold: float = THRESHOLD, words: str | None = None) -> list[tuple[str, int, int, int, float]]:
-    """(kind, start, end, start of the value, log10 of guesses) by start, then kind; places are code points."""
+def guesses_of(value: str, words: str | None) -> float:
+    return unit_cost(value, words, None) if len(value) <= MOST_UNIT else cheapest(value, words)[0]
+
+
+class Values:
+    """Where values end. A value that starts within another one of its kind ends where that one does, so ends are found once."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, dict.fromkeys(VALUE, (0, -1))
+
+    def end(self, kind: str, a: int) -> int | None:
+        """The end of the value that starts at ``a``; None for what is too short, or has no host after it in a URL."""
+        lo, hi = self.known[kind]
+        if not lo <= a <= hi or kind in ("double", "single"):  # in quotes, what a backslash means depends on the start
+            lo, hi = self.known[kind] = VALUE[kind].match(self.text, a).span()
+        return hi if hi - a >= LEAST_VALUE and (kind != "url" or self.text[hi : hi + 1] == "@") else None
+
+
+def spans_of(text: str, threshold: float = THRESHOLD, words: str | None = None, costs: bool = True) -> list[tuple[str, int, int, int, float]]:
+    """(kind, start, end, start of the value, log10 of guesses) by start, then kind; places are code points. Without ``costs``
+    the last is NaN."""
     out = []
     for kind, pattern, group, least in BASE:
         out += [(kind, m.start(), m.end(), m.start(group)) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    base, at = [(a, b) for _, a, b, _ in out], 0
+    base = sorted((a, b) for _, a, b, _ in out)
+    starts, furthest = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+    values, runs, at, guesses = Values(text), {}, 0, {}
     while m := CONTEXT.search(text, at):
-        a, at = m.span(m.lastgroup)
-        if any(x <= a and at <= y for x, y in base):
-            at = a  # a value that isn't reported here may hold a name with a value of its own
-        elif cheapest(text[a:at], words)[0] >= threshold:
-            out.append(("guess", m.start(), at, a))
-        else:
-            at = a
+        kind, a = m.lastgroup, m.end()
+        end = values.end(kind, a)
+        if end is None:  # another context may start within this one's name
+            at = m.start() + 1
+            continue
+        at = a  # a value that isn't reported here may hold a name with a value of its own
+        before = bisect_right(starts, a)
+        if before and furthest[before - 1] >= end:
+            continue
+        runs = {e: r for e, r in runs.items() if e > a}
+        if end not in runs:
+            runs[end] = a, Run(text[a:end], words)
+        first, run = runs[end]
+        if not run.cheap(a - first, threshold):
+            out.append(("guess", m.start(), end, a))
+            guesses[a, end] = run.cheapest(a - first)[0] if costs else math.nan
+            at = end
     out.sort(key=lambda x: (x[1], KINDS.index(x[0])))
-    return [(kind, a, b, v, cheapest(text[v:b], words)[0]) for kind, a, b, v in out]
+    return [(kind, a, b, v, guesses[v, b] if kind == "guess" else guesses_of(text[v:b], words) if costs else math.nan) for kind, a, b, v in out]
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,value:int,guesses:double>>"
@@ -269,7 +368,7 @@ def digested(spans: DataFrame) -> DataFrame:
 
 def masked(text: str, mask: str, threshold: float, words: str | None = None) -> str:
     out, at = [], 0
-    for _, _, end, value, _ in sorted(spans_of(text, threshold, words), key=lambda x: x[3]):
+    for _, _, end, value, _ in sorted(spans_of(text, threshold, words, costs=False), key=lambda x: x[3]):
         if value >= at:
             out += [text[at:value], mask]
         at = max(at, end)

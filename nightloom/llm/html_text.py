@@ -22,8 +22,8 @@ from nightloom.llm.quality import STOP_WORDS
 from nightloom.llm.segments import slices
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD = re.compile(r"\w+")
 
@@ -33,8 +33,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr "
     "html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-NESTED = frozenset("address article aside blockquote body button center details dialog div dl fieldset figure footer form head header hgroup label main menu nav object ol search section select svg table ul span".split())
-HARD = frozenset("nav footer aside form head dialog menu button select object svg search".split())
+NESTED = frozenset("address article aside blockquote body button center details dialog div dl fieldset figure footer form head header hgroup label legend main menu nav object ol search section select svg table ul span".split())
+HARD = frozenset("nav footer aside head dialog menu button select object svg search datalist".split())
+#: These are boilerplate within a form.
+OF_FORMS = frozenset("label legend".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Parts of class names and ids that mark boilerplate; the second set does so even around an article.
 SOFT_NAMES = frozenset(
@@ -66,12 +68,12 @@ def standing(tag: str, attributes: str, inside: tuple[int, int]) -> tuple[int, f
     above, section = inside
     names: set[str] = set()
     whole: set[str] = set()
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            value = m[2] or m[3] or m[4] or ""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
             names.update(x.lower() for x in NAME.findall(value))
             whole.update(value.lower().split())
-        if HIDDEN.search(attributes):
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and NOT_SHOWN.search(value)):
             return 3, 0.0
     if above == 3 or tag in HARD or (tag == "header" and not section):
         return 3, 0.0
@@ -79,6 +81,8 @@ def standing(tag: str, attributes: str, inside: tuple[int, int]) -> tuple[int, f
         return (2, MOST_BY_NAME) if whole & HARD_NAMES else (2 if above == 2 else 0, 0.0)
     if names & HARD_NAMES:
         return 2, MOST_BY_NAME if whole & HARD_NAMES else MOST
+    if tag == "form":  # some pages stand in one form as a whole
+        return 2, MOST
     if names & SOFT_NAMES or (names & OUTER_NAMES and not section):
         return max(above, 1), MOST
     return above, 0.0
@@ -89,21 +93,21 @@ def blocks_of(page: str, spared: frozenset[int] | None = None) -> list[Block]:
     out: list[Block] = []
     named: list[tuple[int, float, int]] = []  # place, share, text within
     read = 0  # text but links, without what is boilerplate for good by its kind
-    parts: list[str] = []
-    links, anchors, heading = 0, 0, False
+    parts: list[tuple[int, str, int]] = []  # standing, text, of which links
+    anchors, heading = 0, False
     stack: list[tuple[str, int, int, tuple[int, float, int] | None]] = []  # element, standing, section (0: none), place, share and text read before
     sections, at, end = 0, 0, len(page)
 
     def close() -> None:
-        nonlocal links, read
+        """End the block. What stands worse in it than the rest, within an element of a line, is cut out, as a block of its own."""
         if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                _, state, section, _ = stack[-1] if stack else ("", 0, 0, None)
-                out.append(Block(text, links, state > 0, section, heading))
-                read += max(len(text) - links, 0) * (state < 3)
+            least = min((state for state, text, _ in parts if not text.isspace()), default=0)
+            section = stack[-1][2] if stack else 0
+            for cut in (False, True):
+                own = [(text, n) for state, text, n in parts if (state > least) == cut]
+                if text := " ".join("".join(t for t, _ in own).split()):
+                    out.append(Block(text, sum(n for _, n in own), cut or least > 0, section, heading))
             parts.clear()
-        links = 0
 
     def leave(i: int) -> None:
         named.extend((x[0], x[1], read - x[2]) for *_, x in stack[i:] if x)
@@ -114,9 +118,10 @@ def blocks_of(page: str, spared: frozenset[int] | None = None) -> list[Block]:
         stop = m.start() if m else end
         if stop > at:
             text = html.unescape(page[at:stop]) if page.find("&", at, stop) >= 0 else page[at:stop]
-            parts.append(text)
-            if anchors:
-                links += len(text)
+            state = stack[-1][1] if stack else 0
+            parts.append((state, text, len(text) * anchors))
+            if state < 3 and not anchors:
+                read += len(" ".join(text.split()))
         if not m:
             break
         at = m.end()
@@ -129,7 +134,7 @@ def blocks_of(page: str, spared: frozenset[int] | None = None) -> list[Block]:
             at = over.end() if over else end
             continue
         if tag == "br":
-            parts.append(" ")
+            parts.append((stack[-1][1] if stack else 0, " ", 0))
         elif tag == "a":
             anchors = 0 if closing else 1
         if tag in BLOCKS:
@@ -139,16 +144,17 @@ def blocks_of(page: str, spared: frozenset[int] | None = None) -> list[Block]:
             if closing:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
-                        close()
                         leave(i)
                         break
+                    if tag not in BLOCKS and stack[i][0] in BLOCKS:  # an element of a line doesn't end a block
+                        break
             elif not m[3].endswith("/"):
                 _, state, section, _ = stack[-1] if stack else ("", 0, 0, None)
                 now, share = standing(tag, m[3], (state, section))
+                if tag in OF_FORMS and any(x[0] == "form" for x in stack):
+                    now, share = 3, 0.0
                 if spared and m.start() in spared:
                     now = 0 if tag in ("article", "main") and state < 2 else state
-                if now != state or share:
-                    close()
                 if tag in ("article", "main") and not now and not section:
                     sections += 1
                     section = sections

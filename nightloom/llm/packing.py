@@ -4,7 +4,9 @@ Only the histogram of piece lengths reaches the driver: at most ``size`` numbers
 asks for the fewest sequences, each filled by one configuration (a multiset of lengths that fits), so that every length is
 covered. It is solved by multiplicative weights: lengths that lag behind get dearer, and a knapsack dynamic program prices
 the most valuable configurations of the moment. The solution is rounded to whole numbers of sequences and the program solved
-anew for what is left; the last tenth is packed best-fit. The plan is a table of runs - the r-th to s-th piece of a length go to these sequences -
+anew for what is left; the last tenth is packed best-fit, or by the fullest choice for the longest piece. Sequences with room
+are then mended: packed anew together with some full ones, as long as that saves any. Whichever start ends with the fewest
+sequences is the plan; best fit alone, mended likewise, is among the starts, so that the plan never needs more. The plan is a table of runs - the r-th to s-th piece of a length go to these sequences -
 that is joined with the pieces, which are numbered within their lengths partition by partition.
 """
 
@@ -30,6 +32,8 @@ SIZE, END = 1024, 2
 LEVELS, RATE, STEEP, AT_ONCE = (0.25, 0.5, 0.75, 0.9, 1.0), 3.0, 1.2, 1024
 #: Rounding: least part of the value that is taken from each solution, how full its configurations are, and where it ends.
 SHARE, FULL, LAST = 0.5, 0.995, 0.1
+#: How many full sequences are mended with each that has room, at most.
+MENDED = 64
 #: Rows of a plan up to which it is broadcast: about 5 MB.
 BROADCAST = 100_000
 
@@ -198,14 +202,81 @@ def rounded(counts: dict[int, int], size: int) -> tuple[Counter, dict[int, int]]
     return made, left
 
 
+def fullest(counts: dict[int, int], size: int) -> Counter:
+    """Configurations of a histogram, each the longest piece left and those of the others that fill it most, long ones first.
+
+    What sums the pieces reach is a set of bits, length by length; a configuration is taken as often as its pieces are left.
+    """
+    left, made = {x: n for x, n in counts.items() if n}, Counter()
+    while left:
+        top = max(left)
+        room = size - top
+        reach, mask, steps = 1, (1 << (room + 1)) - 1, []
+        for x in sorted((x for x in left if x <= room), reverse=True):
+            steps.append((x, reach))
+            some, more = min(left[x] - (x == top), room // x), 1
+            while some > 0:  # any number of them, by numbers that double
+                step = min(more, some)
+                reach |= (reach << (step * x)) & mask
+                some, more = some - step, 2 * more
+            if reach >> room & 1:
+                break
+        config, at = [top], reach.bit_length() - 1
+        for x, without in reversed(steps):
+            while not without >> at & 1:
+                config.append(x)
+                at -= x
+        have = Counter(config)
+        n = min(left[x] // k for x, k in have.items())
+        made[tuple(sorted(config, reverse=True))] += n
+        left = {x: m for x, m in ((x, m - n * have.get(x, 0)) for x, m in left.items()) if m}
+    return made
+
+
+def histogram_of(configs: Counter) -> dict[int, int]:
+    out: Counter = Counter()
+    for config, n in configs.items():
+        for x in config:
+            out[x] += n
+    return dict(out)
+
+
+#: Which full sequences are packed anew with those that have room: of many pieces, of short ones, without long ones, any.
+ORDERS = (lambda c: (-len(c), c), lambda c: (c[-1], c), lambda c: (c[0], c), lambda c: (sum(x * x for x in c) % 1009, c))
+
+
+def mended(made: Counter, size: int) -> Counter:
+    """``made`` with fewer sequences, where packing those with room anew, with up to MENDED times as many full ones, saves some."""
+    least = -(-sum(sum(c) * n for c, n in made.items()) // size)
+    share, order = 1, 0
+    while sum(made.values()) > least and share <= MENDED:
+        old = Counter({c: n for c, n in made.items() if sum(c) < size})
+        want = share * sum(old.values())
+        for c in sorted((c for c in made if sum(c) == size), key=ORDERS[order]):
+            if want <= 0:
+                break
+            old[c] = min(made[c], want)
+            want -= old[c]
+        new = min((f(histogram_of(old), size) for f in (best_fit, fullest)), key=lambda m: sum(m.values()))
+        if sum(new.values()) < sum(old.values()):
+            made = made - old + new
+        else:
+            order = (order + 1) % len(ORDERS)
+            share *= 1 if order else 2
+    return made
+
+
 def plan(counts: dict[int, int], size: int = SIZE) -> Counter:
     """Configurations with their whole numbers of sequences, which hold each length exactly as often as it occurs.
 
-    Full-length pieces take a sequence each; the other lengths go by ``rounded``, and its rest best-fit.
+    Full-length pieces take a sequence each; the other lengths go by ``rounded``, its rest by ``best_fit`` or ``fullest``, and
+    ``mended``; or all by ``best_fit`` and ``mended``, if that takes fewer.
     """
     alone = Counter({(size,): counts[size]}) if counts.get(size) else Counter()
-    made, left = rounded({x: n for x, n in counts.items() if x != size}, size)
-    return alone + made + best_fit(left, size)
+    rest = {x: n for x, n in counts.items() if x != size}
+    made, left = rounded(rest, size)
+    starts = (made + best_fit(left, size), made + fullest(left, size), best_fit(rest, size))
+    return alone + min((mended(start, size) for start in starts), key=lambda m: sum(m.values()))
 
 
 def runs(configs: Counter) -> list[tuple[int, int, int, int, int, int]]:

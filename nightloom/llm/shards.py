@@ -3,22 +3,30 @@
 The heap runs on the driver over the distinct sizes of groups, with their counts, not over groups. However large a corpus is,
 sizes that differ sum up to at most its bytes, so there are at most sqrt(2 * bytes) of them: 14 million for 100 TB, about a
 thousandth of that where sizes crowd together, as texts' do. Groups of one size are dealt at once, with the result that the
-heap would give one by one. The plan's runs (size, ranks, shard), at most as many as groups and as shards times sizes, are
-joined with the groups, which are numbered within their size partition by partition.
+heap would give one by one. What the driver holds is the shards' loads, a partition of the ordered sizes and a block of the
+plan; each block is written to the shared folder before the next one is worked out. The plan has a row for each size, with the
+shards that take its groups and how many groups each; it is joined with the groups, which are numbered within their size
+partition by partition.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightloom.llm.common import gapless, joined, settle, text_of
+from nightloom.llm.common import gapless, joined, settle, shared_dir, text_of
+from nightloom.operators.graph import discard
 
 SHARDS, OVERHEAD = 40, 16
+#: Sizes whose plan is worked out and written at once.
+BLOCK = 4000
 
 
 def dealt(loads: list[tuple[int, int]], size: int, count: int) -> dict[int, int]:
@@ -49,9 +57,12 @@ def dealt(loads: list[tuple[int, int]], size: int, count: int) -> dict[int, int]
     return given
 
 
-def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
-    """(size, lo, hi, shard): where the groups numbered lo to hi of each size go. Equal sizes are dealt in order of shards."""
-    loads = [(0, s) for s in range(shards)]
+def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int, loads: list[tuple[int, int]] | None = None) -> pa.Table:
+    """(total, lo, hi, shard): where the groups numbered lo to hi of each size go. Equal sizes are dealt in order of shards.
+
+    ``loads``: the heap that earlier, larger sizes have left, which is brought up to date.
+    """
+    loads = [(0, s) for s in range(shards)] if loads is None else loads
     rows: list[tuple[int, int, int, int]] = []
     order = np.argsort(-sizes)
     for size, count in zip(sizes[order].tolist(), counts[order].tolist(), strict=True):
@@ -63,6 +74,29 @@ def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
     return pa.table({"total": columns[0], "lo": columns[1], "hi": columns[2], "shard": columns[3].astype(np.int32)})
 
 
+def blocks(kinds: Iterator[tuple[int, int]], shards: int, block: int = BLOCK) -> Iterator[pa.Table]:
+    """The plan for (size, groups), largest first, in blocks: total, groups, to (where each shard's groups end), shards."""
+    loads = [(0, s) for s in range(shards)]
+    while some := list(islice(kinds, block)):
+        sizes, counts = (np.array(x, np.int64) for x in zip(*some, strict=True))
+        table = schedule(sizes, counts, shards, loads)
+        of = table["total"].to_numpy()
+        begins = pa.array(np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)), pa.int32())
+        lists = [pa.ListArray.from_arrays(begins, table[c].combine_chunks()) for c in ("hi", "shard")]
+        yield pa.table([pa.array(sizes), pa.array(counts), *lists], ["total", "groups", "to", "shards"])
+
+
+PLAN = "total long, groups long, to array<long>, shards array<int>"
+
+
+def write_plan(spark: SparkSession, kinds: DataFrame, shards: int, folder: str) -> DataFrame:
+    spark.createDataFrame([], PLAN).write.parquet(folder)
+    ordered = ((r["total"], r["groups"]) for r in kinds.orderBy(F.desc("total")).toLocalIterator())
+    for table in blocks(ordered, shards):
+        spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.schema(PLAN).parquet(folder)
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -76,10 +110,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(t) + overhead).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.unhex(F.sha2(t, 256)).alias("same"))
     rows = settle(rows)
     groups = settle(rows.groupBy("same").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")))
-    kinds = groups.groupBy("total").agg(F.count(F.lit(1)).alias("groups")).toPandas()  # see above for their bound
-    table = schedule(kinds["total"].to_numpy(np.int64), kinds["groups"].to_numpy(np.int64), shards)
-    plan = docs.sparkSession.createDataFrame(table).join(docs.sparkSession.createDataFrame(kinds, "total long, groups long"), "total")
+    kinds = settle(groups.groupBy("total").agg(F.count(F.lit(1)).alias("groups")))
+    folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    plan = write_plan(docs.sparkSession, kinds, shards, folder)
     numbered = settle(gapless(groups, ["total"], "nth", ["same"]))
-    placed = joined(numbered, plan, ["total"], "groups", int(kinds["groups"].sum())).filter("lo <= nth and nth < hi").select("same", "shard", "n")
-    placed = joined(rows, settle(placed), ["same"], "n", rows.count()).drop("same")
+    shard = F.element_at("shards", F.size(F.filter("to", lambda x: x <= F.col("nth"))) + 1)
+    placed = settle(joined(numbered, plan, ["total"], "groups", groups.count()).select("same", shard.alias("shard"), "n"))
+    discard(docs.sparkSession, folder)
+    placed = joined(rows, placed, ["same"], "n", rows.count()).drop("same")
     return gapless(placed, ["shard"], "slot", ["doc_id"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

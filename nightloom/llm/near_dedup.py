@@ -9,11 +9,13 @@ A document of n shingles and a signature of k take O(n + k log k), not O(n k).
 
 With 32 bands of 5 coordinates a pair at similarity 0.8 shares no band with a probability of 3e-6. Within a band's bucket
 nobody compares all pairs: each member meets the bucket's pivot, another one in each band, links are verified exactly on
-whole texts, and only where a bucket still falls into several components its members are compared in blocks.
+whole texts, and only where a bucket still falls into several components its members are compared in blocks, with those that
+share one of their rarest elements.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -33,6 +35,8 @@ FIRST_CELL = 1 / 16
 SLICE, SLICE_ROWS, BLOCK = 1 << 20, 1024, 256
 #: Rounds in which members outside a bucket's largest class meet one of it, before the rest is compared in blocks.
 MEETINGS = 2
+#: Counters of a sketch of element frequencies, a power of two: 2 MB.
+SKETCH = 1 << 18
 #: Links of a node that may meet in one task, however few links there are.
 FEW = 256
 
@@ -254,12 +258,42 @@ def blocks(pdf, similar: float):
 def still_open(met: DataFrame, comps: DataFrame, named) -> DataFrame:
     """Members of buckets that hold several classes, without the pivot, which everybody has met: key, node, comp, large (of the
     bucket's largest class), n_large, n_small."""
-    rows = named(met.filter("node != pivot").select("key", "node"), "node", "comp", comps)
+    return several(named(met.filter("node != pivot").select("key", "node"), "node", "comp", comps))
+
+
+def several(rows: DataFrame) -> DataFrame:
+    """Members (key, node, comp) of the buckets that hold several classes, with large, n_large and n_small."""
     each = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     most = each.groupBy("key").agg(F.max_by("comp", "n").alias("top"), F.max("n").alias("n_large"), (F.sum("n") - F.max("n")).alias("n_small")).filter("n_small > 0")
     return rows.join(most, "key").select("key", "node", "comp", (F.col("comp") == F.col("top")).alias("large"), "n_large", "n_small")
 
 
+def sketch(open_sets: DataFrame) -> np.ndarray:
+    """How often elements occur, added up over those of the same lower bits: SKETCH numbers, whatever the table."""
+    counts = open_sets.select(F.explode("elements").alias("e")).groupBy(F.col("e").bitwiseAND(F.lit(SKETCH - 1)).alias("at")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    out = np.zeros(SKETCH, np.int64)
+    out[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    return out
+
+
+def rare_elements(batches: Iterator[pa.RecordBatch], counts: np.ndarray, similar: float) -> Iterator[pa.RecordBatch]:
+    """(key, node, comp) for the rarest elements of each set, as many as leave less than the share that similar sets have in common.
+
+    Sets of similarity ``similar`` or more share one of these, for in an order that all sets follow, the first element that
+    they share is among them. Any such order does; this one follows ``counts``, so that what is common to a family comes last.
+    """
+    for b in batches:
+        keys, nodes, comps = [np.zeros(0, np.int64)], [], []
+        for node, comp, elements in zip(b.column("node").to_pylist(), b.column("comp").to_pylist(), b.column("elements"), strict=True):
+            own = np.unique(elements.values.to_numpy(zero_copy_only=False))
+            n = len(own) - math.ceil(similar * len(own) - 1e-9) + 1
+            keys.append(own[np.lexsort((own, counts[own & (SKETCH - 1)]))[:n]])
+            nodes.append(np.full(len(keys[-1]), node))
+            comps.append(np.full(len(keys[-1]), comp))
+        columns = (np.concatenate(keys), *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (nodes, comps)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node", "comp"])
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, first, and the columns in ``carry``.
 
@@ -270,12 +304,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that repeat an id count as rows. ``first``: the row has the class' smallest id, and of the texts with that id the one
     with the least fingerprint; rows without an id are all first. Other columns are ignored; no rows, no result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__h"), *carry)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     signed = settle(docs.mapInArrow(partial(sign, words=words, bands=bands, rows=rows), f"{kinds}, print binary, keys array<bigint>"))
     full = signed.filter(F.size("keys") > 0)
     total = full.count()
-    groups = full.groupBy("print").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    groups = full.groupBy("print").agg(F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__h")).alias("of"), F.count(F.lit(1)).alias("copies"))
     nodes = settle(groups.withColumn("node", F.monotonically_increasing_id()))
     parts = parts_for(nodes.count(), 20_000)
 
@@ -287,8 +321,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pivots = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", F.xxhash64("node", "key")).alias("pivot")).filter("n > 1")
     met = kept(buckets.join(pivots.drop("n"), "key"))  # members of buckets with two or more
     pairs = kept(met.filter("node != pivot").groupBy(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
-    wanted = nodes.join(met.select("node").distinct(), "node").select("node", "print", F.col("doc_id").alias("of"))
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["of"])).select("text", "node", "print")
+    wanted = nodes.join(met.select("node").distinct(), "node").select("node", "print", F.col("of.doc_id").alias("of"), F.col("of.__h").alias("h"))
+    # An id may be null or repeated, so the text's hash is joined too; ``print`` tells the texts apart that it doesn't.
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["of"]) & (docs["__h"] == wanted["h"])).select("text", "node", "print")
     sets = settle(texts.mapInArrow(partial(element_lists, words=words), "node long, elements array<bigint>").dropDuplicates(["node"]))
 
     def with_elements(some: DataFrame, x: str, y: str, rows: int) -> DataFrame:
@@ -340,8 +375,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         other = left.filter("large").groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key", F.lit(seed))).alias("pivot"))
         again = left.filter("not large").join(other, "key").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         comps = merged(comps, verified(again))
-    # Last, whoever is still outside meets everybody of the bucket, in blocks of bounded size.
+    # Last, whoever is still outside meets everybody of the bucket who shares a rare element, in blocks of bounded size.
     left = kept(still_open(met, comps, named))
+    if not left.isEmpty():
+        still = settle(left.select("node", "comp").distinct().join(sets, "node"))
+        rare = still.mapInArrow(partial(rare_elements, counts=sketch(still), similar=similar), "key long, node long, comp long")
+        left = kept(several(settle(rare)))
     if not left.isEmpty():
         blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
         tag = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("large"), blocks_of("n_large")).otherwise(blocks_of("n_small"))).cast("int")

@@ -86,7 +86,7 @@ class Codec:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.buffer = np.frombuffer(b"".join(words), np.uint8)
         self.texts = [str(i) for i in range(top)]
-        self.segments = segments.Segments(self.encode_each)
+        self.segments = segments.Segments(self.encode_each, pattern in segments.CUT)
 
     def rows(self, m: np.ndarray) -> list[list[int]]:
         """All rows of a padded matrix (padding: -1), each merged to its ids.

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 #: White space other than single spaces and line feeds within a text: such a text has no safe places to cut.
 _OTHER = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
+#: The patterns that a text is cut for.
+CUT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
 #: Marks a text's first segment, which has no space before it; texts with this character are encoded whole.
 _FIRST = "\r"
 #: Bytes of text that are worked on at once, segments that are remembered, segments that are encoded at once.
@@ -32,10 +34,11 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 
 class Segments:
-    """``encode``: ids of each string of a list, as the tokenizer gives them for that string alone."""
+    """``encode``: ids of each string of a list, as the tokenizer gives them for that string alone. ``cut``: its pattern parts texts
+    where this module says; others' texts are encoded whole."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cut: bool = True):
+        self.encode, self.cut = encode, cut
         self.forget()
 
     def forget(self) -> None:
@@ -71,7 +74,7 @@ class Segments:
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in one array, number of ids of each text); null is empty."""
         texts = pc.fill_null(texts, "").cast(pa.string())
-        other = pc.match_substring_regex(texts, _OTHER)
+        other = pc.match_substring_regex(texts, _OTHER) if self.cut else pa.array(np.ones(len(texts), bool))
         if not pc.any(other).as_py():
             return self.fast(texts)
         ids, n = self.fast(texts.filter(pc.invert(other)))

@@ -167,7 +167,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
     """
     folder = folder or f"{shared_dir(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows that share an id, or have none, are parted by their texts, and equal ones by a number.
+    placed = rows.withColumns({"__t": F.xxhash64("text"), "__n": F.monotonically_increasing_id()})
+    placed = placed.repartitionByRange("doc_id", "__t", "__n").sortWithinPartitions("doc_id", "__t", "__n").select("doc_id", "text")
     written = settle(placed.mapInArrow(partial(write_part, tokenizer=tokenizer, folder=folder, end_id=end_id), "part long, file string, docs long, tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not for each document
     return settle(written.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))))

@@ -9,8 +9,8 @@ A document of n shingles and a signature of k take O(n + k log k), not O(n k).
 
 With 32 bands of 5 coordinates a pair at similarity 0.8 shares no band with a probability of 3e-6. Within a band's bucket
 nobody compares all pairs: each member meets the bucket's pivot, another one in each band, links are verified exactly on
-whole texts, and only where a bucket still falls into several components its members are compared in blocks, with those that
-share one of their rarest elements.
+whole texts, and only where a bucket still falls into several components those of its members are compared in blocks that share
+one of their rarest elements with a member of another component.
 """
 
 from __future__ import annotations
@@ -375,12 +375,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         other = left.filter("large").groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key", F.lit(seed))).alias("pivot"))
         again = left.filter("not large").join(other, "key").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         comps = merged(comps, verified(again))
-    # Last, whoever is still outside meets everybody of the bucket who shares a rare element, in blocks of bounded size.
+    # Last, whoever is still outside, and shares a rare element with one of another class, meets everybody of the bucket of whom
+    # that is true, in blocks of bounded size.
     left = kept(still_open(met, comps, named))
     if not left.isEmpty():
         still = settle(left.select("node", "comp").distinct().join(sets, "node"))
         rare = still.mapInArrow(partial(rare_elements, counts=sketch(still), similar=similar), "key long, node long, comp long")
-        left = kept(several(settle(rare)))
+        able = settle(several(settle(rare)).select("node").distinct())
+        left = kept(several(left.select("key", "node", "comp").join(able, "node", "left_semi")))
     if not left.isEmpty():
         blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
         tag = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("large"), blocks_of("n_large")).otherwise(blocks_of("n_small"))).cast("int")

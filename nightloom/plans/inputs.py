@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date, timedelta
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -101,3 +104,95 @@ def altitude_sql(lon: str, lat: str, place_lat: str, place_lon: str) -> str:
     ra = f"degrees(atan2(sin(radians({lon})) * cos({e}) - tan(radians({lat})) * sin({e}), cos(radians({lon}))))"
     dec = f"asin(sin(radians({lat})) * cos({e}) + cos(radians({lat})) * sin({e}) * sin(radians({lon})))"
     return f"degrees(asin(sin(radians({place_lat})) * sin({dec}) + cos(radians({place_lat})) * cos({dec}) * cos(radians({turn_sql(f'280.46061837 + 360.98564736629 * d + {place_lon} - {ra}')}))))"
+
+
+# --- the explore run -----------------------------------------------------------------------------------------------------
+
+#: Hours that local times are ahead of UTC, and the place whose nights a run goes by.
+OFFSET, REFERENCE = 9, (34.6, 138.85)
+#: Events of so many users make one forecast cell's payload, so that payloads grow with the table.
+USERS_A_CELL = 16
+#: The finer model's payloads end so many days after the first event.
+FINE_DAYS = 20
+
+
+class Facts(NamedTuple):
+    """Numbers that the inputs of a run go by: forecast cells, the first date of the events, horizon profiles."""
+
+    cells: int
+    first: date
+    profiles: int
+
+
+def run_facts(spark: SparkSession, sf_dir: str) -> Facts:
+    users, first = table(spark, sf_dir, "events").agg(F.countDistinct("user_id"), F.min(F.col("ts").cast("date"))).first()
+    return Facts(max(1, users // USERS_A_CELL), first, table(spark, sf_dir, "supplier").count())
+
+
+def explore_sites(spark: SparkSession, sf_dir: str, facts: Facts) -> DataFrame:
+    """Sites that spread with the table: id, place, elevation, light, the cells of astronomy (cy, cx) and of the models (fine,
+    coarse), and the number of a horizon profile, null without terrain."""
+    k, n, m = F.col("c_custkey"), facts.cells, facts.profiles
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.col("c_name").alias("name"), (33 + (k * 7919 % 50000) / 10000.0).alias("lat"), (136 + (k * 104729 % 50021) / 10000.0).alias("lon"), (k * 53 % 2776).cast("double").alias("elev"),
+        (k * 17 % 200 / 20.0).alias("light"), F.when(k % 9 > 0, k * 29 % 1500 / 100.0).alias("alr"), (k % 6 < 4).alias("is_primary"), F.when(k % 3 > 0, k % m + 1).alias("horizon_no"),
+    )
+    grid = lambda c, step: F.rint(F.col(c) / step).cast("long")
+    return rows.withColumns({"cy": grid("lat", 0.25), "cx": grid("lon", 0.25), "fine": (grid("lat", 0.05) * 31 + grid("lon", 0.0625) * 17) % n, "coarse": (grid("lat", 0.25) * 13 + grid("lon", 0.25) * 7) % n})
+
+
+_GRID = lambda c, step: f"CAST(round_even({c} / {step}, 0) AS BIGINT)"
+EXPLORE_SITES = f"""pc AS (SELECT greatest(1, count(DISTINCT user_id) // {USERS_A_CELL}) AS n FROM events), sc AS (SELECT count(*) AS m FROM supplier),
+    es0 AS (SELECT c_custkey AS id, c_name AS name, 33 + (c_custkey * 7919 % 50000) / 10000.0 AS lat, 136 + (c_custkey * 104729 % 50021) / 10000.0 AS lon, CAST(c_custkey * 53 % 2776 AS DOUBLE) AS elev, c_custkey * 17 % 200 / 20.0 AS light,
+        CASE WHEN c_custkey % 9 > 0 THEN c_custkey * 29 % 1500 / 100.0 END AS alr, c_custkey % 6 < 4 AS is_primary, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % m + 1 END AS horizon_no FROM customer, sc),
+    es AS (SELECT es0.*, {_GRID("lat", 0.25)} AS cy, {_GRID("lon", 0.25)} AS cx, ({_GRID("lat", 0.05)} * 31 + {_GRID("lon", 0.0625)} * 17) % n AS fine, ({_GRID("lat", 0.25)} * 13 + {_GRID("lon", 0.25)} * 7) % n AS coarse FROM es0, pc)"""
+
+
+def event_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("night")).distinct()
+
+
+def payloads(spark: SparkSession, sf_dir: str, facts: Facts, fine: bool) -> DataFrame:
+    """cell, hour, levels (map of pressure to (h, c)), low, mid, high, total: a model's forecasts, from the events of each cell's users.
+
+    A level may be missing, or lack its height (then that of the standard atmosphere stands); the coarse model has two levels
+    less; covers may be null.
+    """
+    from nightloom.operators import cloud
+
+    e, n = table(spark, sf_dir, "events"), facts.cells
+    kinds = ("view", "click", "purchase") if fine else ("view", "signup", "error")
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    rows = e.filter(F.col("event_type").isin(*kinds))
+    if fine:
+        rows = rows.filter(F.col("ts").cast("date") < F.lit(facts.first + timedelta(FINE_DAYS)))
+    rows = rows.groupBy((F.col("user_id") % n).alias("cell"), hour.alias("hour")).agg(F.floor(F.min(F.least("value", F.lit(100.0)))).cast("long").alias("b"))
+    b = F.col("b")
+
+    def level(p: int) -> Column:
+        c = F.when((b + p) % 3 == 0, 0.0).otherwise(((b * 7 + p // 25) % 101).cast("double"))
+        h = F.coalesce(F.when((b + p) % 5 > 0, (b + 12000 - 12 * p).cast("double")), F.round(cloud.pressure_height(F.lit(float(p))), 4))
+        there = (b + p) % 7 > 0 if fine else ((b + p) % 9 > 0) & F.lit(p not in (900, 800))
+        return F.when(there, F.struct(F.lit(p).alias("key"), F.struct(h.alias("h"), c.alias("c")).alias("value")))
+
+    cover = lambda f, k: F.when((b + k) % 11 > 0, (b * f % 101) * 0.41)
+    entries = F.filter(F.array(*(level(p) for p in cloud.LEVELS)), lambda x: x.isNotNull())
+    return rows.select("cell", "hour", F.map_from_entries(entries).alias("levels"), cover(7, 1).alias("low"), cover(11, 2).alias("mid"), F.when(b % 5 == 0, 0.0).otherwise(cover(13, 3)).alias("high"), cover(19, 4).alias("total"))
+
+
+def payloads_sql(name: str, fine: bool) -> str:
+    """{name}: cell, hour, low, mid, high, total; {name}_l: a row for each level, p, h, c."""
+    kinds = "'view', 'click', 'purchase'" if fine else "'view', 'signup', 'error'"
+    until = f"AND CAST(ts AS DATE) < (SELECT CAST(min(ts) AS DATE) FROM events) + {FINE_DAYS}" if fine else ""
+    there = "(b + p) % 7 > 0" if fine else "(b + p) % 9 > 0 AND p NOT IN (900, 800)"
+    cover = lambda f, k: f"CASE WHEN (b + {k}) % 11 > 0 THEN (b * {f} % 101) * CAST(0.41 AS DOUBLE) END"
+    return f"""{name}_b AS (SELECT user_id % n AS cell, date_trunc('hour', ts) AS hour, CAST(floor(min(least(value, 100.0))) AS BIGINT) AS b FROM events, pc WHERE event_type IN ({kinds}) {until} GROUP BY 1, 2),
+    {name} AS (SELECT cell, hour, {cover(7, 1)} AS low, {cover(11, 2)} AS mid, CASE WHEN b % 5 = 0 THEN 0.0 ELSE {cover(13, 3)} END AS high, {cover(19, 4)} AS total FROM {name}_b),
+    {name}_l AS (SELECT cell, hour, p, CASE WHEN (b + p) % 5 > 0 THEN CAST(b + 12000 - 12 * p AS DOUBLE) ELSE round(44330.0 * (1.0 - pow(p / CAST(1013.25 AS DOUBLE), 1 / CAST(5.255 AS DOUBLE))), 4) END AS h, CASE WHEN (b + p) % 3 = 0 THEN 0.0 ELSE CAST((b * 7 + p // 25) % 101 AS DOUBLE) END AS c
+        FROM {name}_b, (SELECT unnest([1000, 925, 900, 850, 800, 700, 600, 500, 400, 300]) AS p) WHERE {there})"""
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """horizon_no, profile: an array of 360 altitudes for each supplier."""
+    packed = horizons(spark, sf_dir).groupBy("site").agg(F.sort_array(F.collect_list(F.struct("az", "alt"))).alias("p"))
+    return packed.select(F.col("site").alias("horizon_no"), F.transform("p", lambda x: x["alt"]).alias("profile"))

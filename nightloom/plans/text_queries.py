@@ -134,12 +134,6 @@ def drop_log_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(~F.col("text").rlike("(?i)token")).select("doc_id")
 
 
-@query()
-def explore_json(spark, sf_dir):
-    """The explore document: finals, outlooks, nights and the fetch record, as one JSON text for each run."""
-    return docs.explore_document(spark, sf_dir)
-
-
 @query(f"""WITH {SITES} SELECT id, name, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, 'curated' AS origin, coalesce(lift, false) AS requires_lift_access FROM sites WHERE id % 9 > 0""")
 def spot_json(spark, sf_dir):
     """Site annotations written as JSON lines with a declared schema, and read back."""

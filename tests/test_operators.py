@@ -244,13 +244,6 @@ def test_claims(spark):
     assert [r.sentence for r in claims.vague(df, ["id"], "text").collect()] == ["12 km off, soon."]
 
 
-def test_explore_document(spark):
-    from nightloom.sources.documents import explore_document
-
-    doc = json.loads(explore_document(spark, "/root/testdata/sf0.001").first().document)
-    assert doc["schema"] == "nightloom-explore/1" and len(doc["scanned_nights"]) == 31
-
-
 def test_night_table_and_pruning(spark, tmp_path):
     from nightloom.sources.documents import prune, write_nights
 
@@ -379,22 +372,3 @@ def test_elements_of_pages(spark):
     got = sorted((r.n, r.parent, r.depth, r.name, r.text) for r in pages.elements(df).collect() if r.page_id == 1)
     assert got == [(0, -1, 0, "html", ""), (1, 0, 1, "body", ""), (2, 1, 2, "p", "One  threefour"), (3, 2, 3, "b", "two"), (4, 2, 3, "br", ""), (5, 1, 2, "ul", ""), (6, 5, 3, "li", "a"), (7, 5, 3, "li", "b")]
     assert {r.page_id for r in pages.elements(df).collect()} == {1}
-
-
-def test_explore_document(spark):
-    """The document holds what the funnel's tables hold, in their order."""
-    import os
-
-    from nightloom.plans import funnel
-    from nightloom.sources import documents
-
-    path = "/root/testdata/sf0.001"
-    if not os.path.isdir(path):
-        pytest.skip("no test tables")
-    whole = json.loads(documents.explore_document(spark, path).first().document)
-    parts = {k: [r.asDict() for r in v.collect()] for k, v in funnel.explore(spark, path).items()}
-    assert whole["schema"] == documents.SCHEMA_ID and len(whole["scanned_nights"]) == len(parts["nights"])
-    for name in ("finals", "outlooks"):
-        want = sorted((r["is_primary"], r["rank"], r["site"], str(r["night"])) for r in parts[name] if r["rank"] <= 20)
-        assert [(r["is_primary"], r["rank"], r["site"], r["night"]) for r in whole[name]] == want
-    assert [r["night"] for r in whole["scanned_nights"]] == sorted(str(r["night"]) for r in parts["nights"])

@@ -398,7 +398,7 @@ def moon_negligible_windows(spark, sf_dir):
     r AS (SELECT site, night, run, min(t) AS a, max(t) AS z, max(coalesce(after, t)) AS b, max(alt) AS peak, arg_min(t, (-alt, t)) AS top, min(t0) AS t0, max(t1) AS t1 FROM n WHERE alt > 0 GROUP BY 1, 2, 3)
     SELECT site, CAST(night AS VARCHAR) AS night, strftime(a, '%Y-%m-%d %H:%M') AS start, strftime(b, '%Y-%m-%d %H:%M') AS "end", strftime(top, '%Y-%m-%d %H:%M') AS peak_time, peak, a > t0 AS rises, z < t1 AS sets FROM r""")
 def target_windows(spark, sf_dir):
-    """The galactic centre above 15 degrees for each site and night, with its highest sample."""
+    """The galactic centre over a flat horizon for each site and night, with its highest sample."""
     from nightloom.operators import runs
 
     n = inputs.site_nights(spark, sf_dir).withColumn("t", F.explode(F.sequence("lo", "hi", F.expr("interval 15 minutes"))))

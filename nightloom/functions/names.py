@@ -24,3 +24,9 @@ def normalized(name: pd.Series) -> pd.Series:
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters of two normalised names; null if either is."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, clean(x), clean(y)).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratio of matching characters of two names as they are."""
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightloom.functions import clock, geo, sky
-from nightloom.operators import nearby, rank, raster, sites, terrain
+from nightloom.operators import alike, nearby, rank, raster, sites, terrain
 from nightloom.plans import inputs
 from nightloom.plans.inputs import FEW_SITES, HORIZONS, RASTER, SITES, table
 
@@ -141,6 +141,20 @@ def recommend_keep(spark, sf_dir):
     return sites.recommended(sites.duplicate_groups(r).join(r.select("id", "name"), "id"), F.col("id") % 7 == 0).select("id", "group", "keep")
 
 
+def named_places(spark, sf_dir):
+    """Records named by the first words of a text."""
+    k = F.col("doc_id")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select(k.alias("id"), F.array_join(F.slice(words, 1, 3), " ").alias("name"), (33 + (k * 7919 % 50000) / 10000.0).alias("lat"), (136 + (k * 104729 % 50021) / 10000.0).alias("lon"))
+
+
+@query()
+def candidate_check(spark, sf_dir):
+    """New records against known ones, by name and by distance. Sequence matching has no SQL: a test looks at all pairs."""
+    r = named_places(spark, sf_dir)
+    return alike.checked(r.filter("id % 10 = 0"), r.filter("id % 10 > 0")).withColumn("best_ratio", F.round("best_ratio", 6))
+
+
 @query(f"""WITH {SITES}, {FEW_SITES}, p AS (SELECT a.id, b.id AS b_id, {distance_sql("a", "b")} AS d, a.id % 5 = b.id % 5 AS related FROM few a JOIN sites b ON {distance_sql("a", "b")} <= 10000),
     s AS (SELECT *, CASE WHEN related AND d <= 1500 THEN 1 WHEN related THEN 2 WHEN d <= 1500 THEN 3 END AS step FROM p),
     k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step, round(d, 6), b_id) AS n FROM s WHERE step IS NOT NULL) WHERE n = 1)

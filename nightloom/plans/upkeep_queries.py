@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nightloom.functions import clock, geo, sky
 from nightloom.operators import cloud, rank, series
+from nightloom.operators.graph import settle
+from nightloom.operators.joins import joined
 from nightloom.plans import inputs
 from nightloom.plans.inputs import SITES, table
 from nightloom.plans.time_queries import MODELS, merged_models
@@ -165,7 +166,14 @@ def shared_nations(spark, sf_dir):
 
 @query("""SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS INTEGER) AS quarter FROM customer""")
 def quarters(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.ntile(4).over(Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")).alias("quarter"))
+    """Quarters of each nation's balances: rows are numbered by ranges, for nations are few and large."""
+    rows = settle(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"))
+    sizes = rows.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    placed = joined(rank.numbered(rows, ["c_nationkey"], F.asc("c_acctbal"), F.asc("c_custkey")), sizes.withColumn("all", F.col("n")), ["c_nationkey"], "n", rows.count())
+    few, more = F.floor(F.col("all") / 4), F.col("all") % 4  # the first ``more`` quarters have one row more
+    at = F.col("rank") - 1
+    quarter = F.when(at < more * (few + 1), F.floor(at / (few + 1))).otherwise(more + F.floor((at - more * (few + 1)) / F.greatest(few, F.lit(1))))
+    return placed.select("c_custkey", (quarter + 1).cast("int").alias("quarter"))
 
 
 @query("""SELECT p_size AS tile, arg_min(p_partkey // 100, (-v, p_partkey)) AS iy, arg_min(p_partkey % 100, (-v, p_partkey)) AS ix, max(v) AS value FROM (SELECT *, p_partkey * 31 % 97 AS v FROM part) GROUP BY 1""")

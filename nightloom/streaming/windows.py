@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.operators.graph import discard, shared_dir
+from nightloom.streaming import stateful, tables
 
 
 def stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -44,32 +45,6 @@ def finished(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
 
-def merged(spark: SparkSession, df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
-    """Run a stream into a table that keeps the latest row of each key, batch by batch, and read that.
-
-    A batch is merged with the version before it into a new one, so a batch that is run again after a failure gives the
-    same; the version before that is deleted.
-    """
-    versions: list[str] = []
-
-    def put(rows: DataFrame, batch: int) -> None:
-        held = [spark.read.parquet(versions[-1])] if versions else []
-        both = rows
-        for h in held:
-            both = both.unionByName(h)
-        body = F.struct(order, *(c for c in df.columns if c not in keys and c != order))
-        latest = both.groupBy(*keys).agg(F.max(body).alias("r")).select(*keys, "r.*").select(*df.columns)
-        path = f"{out}/version-{batch:06d}"
-        latest.write.mode("overwrite").parquet(path)
-        if path not in versions:
-            versions.append(path)
-        if len(versions) > 2:
-            discard(spark, versions.pop(0))
-
-    df.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(versions[-1])
-
-
 def _text(df: DataFrame) -> DataFrame:
     return df.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")).withColumn("end", F.date_format("end", "yyyy-MM-dd HH:mm"))
 
@@ -89,7 +64,30 @@ def stream_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user, merged batch by batch into a table."""
     e = stream(spark, f"{sf_dir}/events.parquet", maxFilesPerTrigger="1").select("user_id", "event_id", "ts")
-    return merged(spark, e, ["user_id"], "ts", f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}").select("user_id", "event_id")
+    return tables.merged(e, ["user_id"], "ts", f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}").select("user_id", "event_id")
+
+
+#: A day's budget of requests, and hours that snapshots of two models live.
+BUDGET, DAY, LIVES = 3.0, 86_400_000, (3, 6)
+
+
+def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream: user_id, id, at (milliseconds), t with a watermark of an hour."""
+    e = stream(spark, f"{sf_dir}/events.parquet")
+    return e.select("user_id", F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("ts").cast("timestamp").alias("t")).withWatermark("t", "1 hour")
+
+
+def stream_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each user within a day's budget: when each one goes, for those that are gone by the watermark."""
+    with stateful.keyed_state(spark):
+        return finished(spark, stateful.paced(timed(spark, sf_dir).withColumn("weight", F.lit(1.0)), ["user_id"], BUDGET, DAY)).select("user_id", "id", "at", "release")
+
+
+def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of each user's cell, served by a snapshot that lives three or six hours by its model."""
+    ttl = F.when(F.col("user_id") % 2 == 0, LIVES[0]).otherwise(LIVES[1]) * 3_600_000
+    with stateful.keyed_state(spark):
+        return finished(spark, stateful.snapshots(timed(spark, sf_dir).withColumn("ttl", ttl.cast("long")), ["user_id"])).select("user_id", "id", "hit", "fetched")
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +96,7 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, first_seen(e, ["user_id"], "ts", "60 days").select("user_id"))
 
 
-QUERIES = {"stream_first_seen": stream_first_seen, "stream_sessions": stream_sessions, "stream_budgets": stream_budgets, "stream_latest": stream_latest}
+QUERIES = {"stream_first_seen": stream_first_seen, "stream_sessions": stream_sessions, "stream_budgets": stream_budgets, "stream_latest": stream_latest, "stream_pacing": stream_pacing, "stream_snapshots": stream_snapshots}
 SQL = {
     "stream_first_seen": "SELECT DISTINCT user_id FROM events",
     "stream_sessions": """WITH d AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3 HOUR THEN 1 ELSE 0 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM d),
@@ -106,5 +104,12 @@ SQL = {
         SELECT user_id, strftime(a, '%Y-%m-%d %H:%M') AS start, strftime(b, '%Y-%m-%d %H:%M') AS "end", n FROM s WHERE b <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""",
     "stream_budgets": """WITH w AS (SELECT user_id, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events)
         SELECT user_id, strftime(s, '%Y-%m-%d %H:%M') AS start, strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS "end", round(CAST(sum(1.5) AS DOUBLE), 6) AS spent FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR GROUP BY user_id, s""",
+    "stream_pacing": f"""WITH RECURSIVE q AS (SELECT user_id, event_id AS id, (epoch_us(ts) // 1000) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS n FROM events),
+        r(user_id, id, "at", n, release, past) AS (SELECT user_id, id, "at", n, "at", ["at"] FROM q WHERE n = 1
+            UNION ALL SELECT user_id, id, "at", n, release, list_append(past, release)[-{int(BUDGET)}:] FROM (SELECT q.*, past, greatest(q."at", past[-1], CASE WHEN len(past) = {int(BUDGET)} THEN past[1] + {DAY} ELSE 0 END) AS release FROM r JOIN q ON q.user_id = r.user_id AND q.n = r.n + 1))
+        SELECT user_id, id, "at", release FROM r WHERE release <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 3600000""",
+    "stream_snapshots": f"""WITH RECURSIVE q AS (SELECT user_id, event_id AS id, (epoch_us(ts) // 1000) AS "at", CASE WHEN user_id % 2 = 0 THEN {LIVES[0]} ELSE {LIVES[1]} END * 3600000 AS ttl, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS n FROM events),
+        r(user_id, id, "at", n, hit, fetched) AS (SELECT user_id, id, "at", n, false, "at" FROM q WHERE n = 1 UNION ALL SELECT q.user_id, q.id, q."at", q.n, q."at" < fetched + ttl, CASE WHEN q."at" < fetched + ttl THEN fetched ELSE q."at" END FROM r JOIN q ON q.user_id = r.user_id AND q.n = r.n + 1)
+        SELECT user_id, id, hit, fetched FROM r WHERE "at" <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 3600000""",
     "stream_latest": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1",
 }

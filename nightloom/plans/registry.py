@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from nightloom.plans import check_queries, funnel, report_queries, sky_queries, space_queries, text_queries, time_queries, upkeep_queries
+from nightloom.plans import check_queries, fetch_queries, funnel, report_queries, sky_queries, space_queries, text_queries, time_queries, upkeep_queries
 from nightloom.streaming import windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (time_queries, space_queries, report_queries, text_queries, check_queries, upkeep_queries, funnel, sky_queries, windows):
+for part in (time_queries, space_queries, report_queries, text_queries, check_queries, upkeep_queries, funnel, sky_queries, fetch_queries, windows):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.SQL
 

@@ -23,6 +23,7 @@ COLUMNS = {
     "op5_exact_dedup": "doc_id keep_id group_size kept text_sha256", "op6_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op7_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op8_shards": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_packing": "doc_id piece start length ids_crc32 sequence_id offset", "op10_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op1_near_dedup": "doc_id class_id class_size",
+    "op11_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256", "op12_mixing": "doc_id size source_size target taken", "op13_clusters": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
 }
 
 

@@ -75,13 +75,14 @@ def horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
 HORIZONS = "hz AS (SELECT site, CAST(az AS INTEGER) AS az, (az * az * 7 + site * 13 + az * 31) % 200 / 10.0 AS alt FROM (SELECT s_suppkey AS site, unnest(generate_series(0, 359)) AS az FROM supplier))"
 
 
-def raster(spark: SparkSession, rows: int = 120, cols: int = 120) -> DataFrame:
-    """iy, ix, value on a grid of 0.05 degrees; every 97th cell is missing."""
-    cells = spark.range(rows * cols).select((F.col("id") / cols).cast("long").alias("iy"), (F.col("id") % cols).alias("ix"))
+def raster(spark: SparkSession, sf_dir: str, cols: int = 120) -> DataFrame:
+    """iy, ix, value on a grid of 0.05 degrees, a cell for each part, row by row; every 97th cell is missing."""
+    k = F.col("p_partkey")
+    cells = table(spark, sf_dir, "part").select(F.floor(k / cols).alias("iy"), (k % cols).alias("ix"))
     return cells.filter((F.col("iy") * 31 + F.col("ix") * 17) % 97 != 0).withColumn("value", (F.col("ix") * 31 + F.col("iy") * 17) % 1000 / 50.0)
 
 
-RASTER = """rs AS (SELECT iy, ix, (ix * 31 + iy * 17) % 1000 / 50.0 AS value FROM (SELECT id // 120 AS iy, id % 120 AS ix FROM range(14400) t(id)) WHERE (iy * 31 + ix * 17) % 97 <> 0)"""
+RASTER = """rs AS (SELECT iy, ix, (ix * 31 + iy * 17) % 1000 / 50.0 AS value FROM (SELECT p_partkey // 120 AS iy, p_partkey % 120 AS ix FROM part) WHERE (iy * 31 + ix * 17) % 97 <> 0)"""
 
 
 def turn_sql(x: str) -> str:

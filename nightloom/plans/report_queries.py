@@ -119,12 +119,13 @@ def circular_range_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.explode(near).alias("peak"))
 
 
-@query("""WITH m AS (SELECT month, epoch(make_date(2024, CAST(month AS INTEGER), 1)) / 86400.0 - 10957.5 AS d FROM range(1, 13) t(month)), h AS (SELECT month, -(280.46061837 + 360.98564736629 * d + 138.0 - 266.4) AS x FROM m)
-    SELECT CAST(month AS INTEGER) AS month, round((x - 360 * floor(x / 360)) / 15 / 1.00273790935, 4) AS wait FROM h""")
+@query(f"""WITH {inputs.FEW_SITES}, m AS (SELECT month, epoch(make_date(2024, CAST(month AS INTEGER), 1)) / 86400.0 - 10957.5 AS d FROM range(1, 13) t(month)), h AS (SELECT id, month, -(280.46061837 + 360.98564736629 * d + lon - 266.4) AS x FROM m, few)
+    SELECT id, CAST(month AS INTEGER) AS month, round((x - 360 * floor(x / 360)) / 15 / 1.00273790935, 4) AS wait FROM h""")
 def monthly_transit(spark, sf_dir):
-    m = spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
+    """Hours from the first midnight of each month to the passage of the galactic centre, for each site."""
+    m = inputs.few_sites(spark, sf_dir).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
     d = sky.days(F.make_timestamp(F.lit(2024), F.col("month"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
-    return m.select("month", F.round(sky.transit_wait(d, F.lit(138.0), F.lit(266.4)), 4).alias("wait"))
+    return m.select("id", "month", F.round(sky.transit_wait(d, F.col("lon"), F.lit(266.4)), 4).alias("wait"))
 
 
 @query(f"""WITH {inputs.SITE_NIGHTS}, {inputs.sky_sql("sn", "lo")} SELECT site, CAST(night AS VARCHAR) AS night, round({inputs.turn_sql("mlon - slon")} / 360 * 29.530589, 3) AS age, round(phase, 3) AS phase, round((1 + cos(radians(phase))) / 2, 4) AS illuminated FROM sky""")

@@ -188,7 +188,7 @@ def tile_lookup(spark, sf_dir):
     SELECT id, CASE WHEN count(value) = 4 THEN round(sum(value * w), 6) END AS value FROM c LEFT JOIN rs USING (iy, ix) GROUP BY id""")
 def bilinear_sample(spark, sf_dir):
     p = inputs.sites(spark, sf_dir).select("id", "lat", "lon")
-    return raster.bilinear(p, inputs.raster(spark), 38.0, 136.0, 0.05).select("id", F.round("value", 6).alias("value"))
+    return raster.bilinear(p, inputs.raster(spark, sf_dir), 38.0, 136.0, 0.05).select("id", F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH {SITES} SELECT CAST(floor((lat - 33) / 0.2 + 0.5) AS BIGINT) AS iy, CAST(floor((lon - 136) / 0.2 + 0.5) AS BIGINT) AS ix, round(sum(CASE WHEN alr < 0.5 THEN 0 ELSE alr END), 6) AS value FROM sites GROUP BY 1, 2""")
@@ -200,30 +200,32 @@ def bin_to_plane(spark, sf_dir):
 @query(f"""WITH {RASTER}, k AS (SELECT j, i, pow(greatest(sqrt(j * j + i * i), 0.4), -1.5) AS w FROM range(-3, 4) a(j), range(-3, 4) b(i) WHERE sqrt(j * j + i * i) <= 3),
     s AS (SELECT iy + j AS iy, ix + i AS ix, sum(value * w) AS s FROM rs, k WHERE value <> 0 GROUP BY 1, 2) SELECT iy, ix, round(coalesce(s, 0), 6) AS sum FROM rs LEFT JOIN s USING (iy, ix)""")
 def kernel_sum_small(spark, sf_dir):
-    out = raster.neighbourhood_sum(inputs.raster(spark), 3, lambda d: max(d, 0.4) ** -1.5)
+    out = raster.neighbourhood_sum(inputs.raster(spark, sf_dir), 3, lambda d: max(d, 0.4) ** -1.5)
     return out.select("iy", "ix", F.round("sum", 6).alias("sum"))
 
 
 @query(SQL["kernel_sum_small"])
 def kernel_sum_blocks(spark, sf_dir):
     """The same sums by blocks, each with one FFT."""
-    out = raster.convolved(inputs.raster(spark), 50, 3, lambda d: max(d, 0.4) ** -1.5)
+    out = raster.convolved(inputs.raster(spark, sf_dir), 50, 3, lambda d: max(d, 0.4) ** -1.5)
     return out.select("iy", "ix", F.round("sum", 6).alias("sum"))
 
 
 @query(f"""WITH {RASTER} SELECT avg(CASE WHEN value >= 10 THEN 1.0 ELSE 0.0 END) AS share, count(*) AS n FROM rs WHERE iy BETWEEN 10 AND 59 AND ix BETWEEN 20 AND 99 AND NOT (iy BETWEEN 30 AND 40 AND ix BETWEEN 30 AND 40)""")
 def bright_share(spark, sf_dir):
-    image = inputs.raster(spark).select(F.col("iy").alias("y"), F.col("ix").alias("x"), F.col("value").alias("brightness"))
+    image = inputs.raster(spark, sf_dir).select(F.col("iy").alias("y"), F.col("ix").alias("x"), F.col("value").alias("brightness"))
     mask = image.filter("y between 30 and 40 and x between 30 and 40").select("y", "x")
     return raster.bright_share(image, (10, 60, 20, 100), mask, 10)
 
 
-@query("""SELECT iy, ix FROM (SELECT id // 60 AS iy, id % 60 AS ix FROM range(3600) t(id)) WHERE (iy BETWEEN 5 AND 24 AND ix BETWEEN 10 AND 39) OR (iy BETWEEN 40 AND 54 AND ix BETWEEN 20 AND 44)""")
+@query("""WITH p AS (SELECT event_id // 60 AS iy, event_id % 60 AS ix FROM events), r AS (SELECT *, iy // 60 AS band, CASE WHEN iy % 60 BETWEEN 5 AND 24 AND ix BETWEEN 10 AND 39 THEN 1 WHEN iy % 60 BETWEEN 40 AND 54 AND ix BETWEEN 20 AND 44 THEN 2 END AS rect FROM p)
+    SELECT iy, ix FROM (SELECT *, count(*) OVER (PARTITION BY band, rect) AS n FROM r WHERE rect IS NOT NULL) WHERE n >= 200""")
 def solid_fill(spark, sf_dir):
-    """Solid rectangles among specks and an L-shaped area, found by connected areas."""
-    p = spark.range(3600).select((F.col("id") / 60).cast("long").alias("y"), (F.col("id") % 60).alias("x"))
-    white = p.filter("(y between 5 and 24 and x between 10 and 39) or (y between 40 and 54 and x between 20 and 44) or (y between 27 and 38 and x between 50 and 51) or (y between 37 and 38 and x between 46 and 51) or (y * 60 + x) % 611 = 0")
-    white = white.filter("(y between 5 and 24 and x between 10 and 39) or (y between 40 and 54 and x between 20 and 44) or not ((y between 4 and 25 and x between 9 and 40) or (y between 39 and 55 and x between 19 and 45))")
+    """Solid rectangles among specks and L-shaped areas, found by connected areas, in an image with a pixel for each event."""
+    k = F.col("event_id")
+    p = table(spark, sf_dir, "events").select(F.floor(k / 60).alias("y"), (k % 60).alias("x")).withColumn("v", F.col("y") % 60)
+    white = p.filter("(v between 5 and 24 and x between 10 and 39) or (v between 40 and 54 and x between 20 and 44) or (v between 27 and 38 and x between 50 and 51) or (v between 37 and 38 and x between 46 and 51) or (y * 60 + x) % 611 = 0")
+    white = white.filter("(v between 5 and 24 and x between 10 and 39) or (v between 40 and 54 and x between 20 and 44) or not ((v between 4 and 25 and x between 9 and 40) or (v between 39 and 55 and x between 19 and 45))").drop("v")
     return raster.fill_mask(white, 60, least_area=200).select(F.col("y").alias("iy"), F.col("x").alias("ix"))
 
 

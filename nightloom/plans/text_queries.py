@@ -123,10 +123,10 @@ def json_safe_numbers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", clock.json_safe(v).alias("v"))
 
 
-@query("""SELECT unnest(['Mt. A', 'Abc']) AS alias UNION ALL SELECT 'Mt. A・Abc'""")
+@query("""SELECT s_suppkey, unnest([s_name || ' A', s_name]) AS alias FROM supplier UNION ALL SELECT s_suppkey, s_name || ' A・' || s_name FROM supplier""")
 def alias_list(spark, sf_dir):
-    one = spark.range(1).select(F.lit("Mt. A・Abc").alias("name"))
-    return one.select(F.explode(claims.aliases(F.col("name"))).alias("alias"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.lit(" A・"), "s_name").alias("name"))
+    return rows.select("s_suppkey", F.explode(claims.aliases(F.col("name"))).alias("alias"))
 
 
 @query("""SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)token')""")
@@ -142,14 +142,14 @@ def spot_json(spark, sf_dir):
 
 @query("""SELECT s AS site, CAST(az AS INTEGER) AS az, round((az * 7 + s * 13) % 200 / 10.0, 3) AS alt FROM (SELECT s_suppkey AS s, unnest(range(360)) AS az FROM supplier)""")
 def horizon_csv(spark, sf_dir):
-    """Horizon profiles written as CSV with comment lines, one folder a site, and scanned with their checks."""
+    """Horizon profiles written as CSV, sorted by site, and scanned with their checks."""
     return docs.csv_round_trip(spark, sf_dir)
 
 
-@query("""SELECT CAST(z AS INTEGER) AS py, CAST(x AS INTEGER) AS px, CASE WHEN (z * 16 + x) % 7 <> 0 THEN (z * 31 + x * 17) % 500 / 10.0 END AS elev FROM range(16) a(z), range(16) b(x)""")
+@query("""SELECT s_suppkey AS tile, CAST(z AS INTEGER) AS py, CAST(x AS INTEGER) AS px, CASE WHEN (z * 16 + x + s_suppkey) % 7 <> 0 THEN (z * 31 + x * 17 + s_suppkey) % 500 / 10.0 END AS elev FROM supplier, range(16) a(z), range(16) b(x)""")
 def dem_text(spark, sf_dir):
     """A tile's text, comma-separated with a marker for missing values, as rows."""
-    return docs.tile_text(spark)
+    return docs.tile_text(spark, sf_dir)
 
 
 @query("""SELECT user_id % 3 AS model, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS hours FROM events WHERE event_type = 'view' AND value <= 40 GROUP BY 1, 2""")

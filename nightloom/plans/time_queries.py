@@ -123,16 +123,17 @@ def area_prescreen(spark, sf_dir):
 
 
 def nights(spark, sf_dir):
-    """Fourteen nights with derived sun events and hours, some of them null."""
+    """The dates of the events as nights with derived sun events and hours, some of them null."""
     n = F.col("id")
     at = lambda h: F.when(n % 5 != 0, F.timestamp_seconds(1704067200 + n * 86400 + h * 3600))
-    return spark.range(14).select(
-        F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")).alias("night"), at(17).alias("sunset"), at(30).alias("sunrise"),
+    dates = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("night")).distinct()
+    return dates.withColumn("id", F.datediff("night", F.lit("2024-01-01").cast("date"))).select(
+        "night", at(17).alias("sunset"), at(30).alias("sunrise"),
         F.when(n % 7 != 3, at(19)).alias("dark_start"), at(28).alias("dark_end"), (n * 37 % 11 / 2.0).alias("moon_free_hours"),
     )
 
 
-@query("""WITH n AS (SELECT id, CAST(DATE '2024-01-01' + CAST(id AS INTEGER) AS DATE) AS night, id % 5 <> 0 AS sun, id % 5 <> 0 AND id % 7 <> 3 AS dark, id * 37 % 11 / 2.0 AS h FROM range(14) t(id)),
+@query("""WITH n AS (SELECT id, CAST(DATE '2024-01-01' + CAST(id AS INTEGER) AS DATE) AS night, id % 5 <> 0 AS sun, id % 5 <> 0 AND id % 7 <> 3 AS dark, id * 37 % 11 / 2.0 AS h FROM (SELECT DISTINCT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS id FROM events)),
     r AS (SELECT *, CASE WHEN NOT sun THEN 'no_sunset_or_sunrise' WHEN NOT dark THEN 'no_astronomical_darkness' WHEN h <= 0 THEN 'no_moon_free_window' END AS reason FROM n),
     k AS (SELECT *, CASE WHEN reason IS NULL THEN h WHEN reason = 'no_moon_free_window' THEN 0.0 END AS hours, row_number() OVER (PARTITION BY reason IS NULL ORDER BY h DESC, night) AS n FROM r)
     SELECT CAST(night AS VARCHAR) AS night, hours AS moon_free_hours, CASE WHEN reason IS NULL AND n > 6 THEN 'not_in_top_n' ELSE reason END AS reason, CASE WHEN reason IS NULL THEN CAST(n AS INTEGER) END AS rank FROM k""")

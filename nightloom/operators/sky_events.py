@@ -100,7 +100,8 @@ def planet_events(nights: DataFrame, keys: list[str], offset: float, names: tupl
 
 def _exploded(rows: DataFrame, keys: list[str], kind: str, position: Callable[[Column], Column], offset: float) -> DataFrame:
     found = ridge_runs(sampled(F.col("dark_start"), F.col("dark_end"), position, offset), F.col("profile"))
-    return rows.select(*keys, F.lit(kind).alias("kind"), F.col("o.name").alias("name"), F.explode(found).alias("e")).select(*keys, "kind", "name", *(F.col(f"e.{c}").alias(c) for c in FIELDS))
+    out = rows.select(*keys, F.lit(kind).alias("kind"), F.col("o.name").alias("name"), F.explode_outer(found).alias("e")).filter("e is not null")  # explode works the runs out once more, to filter by their number
+    return out.select(*keys, "kind", "name", *(F.col(f"e.{c}").alias(c) for c in FIELDS))
 
 
 def moon_events(nights: DataFrame, keys: list[str], offset: float) -> DataFrame:
@@ -115,7 +116,7 @@ def moon_events(nights: DataFrame, keys: list[str], offset: float) -> DataFrame:
         none = F.array(F.struct(F.lit("moon_below_horizon_all_night").alias("kind"), F.lit(None).cast("timestamp").alias("start"), F.lit(None).cast("timestamp").alias("end"), F.lit(None).cast("double").alias("max_alt")))
         return let(F.transform(true_runs(flagged(s, lambda x: x["alt"] > 0)), stay), lambda found: F.when(F.size(found) > 0, found).when(s.isNotNull(), none))
 
-    return nights.select(*keys, F.explode(let(samples, events)).alias("e")).select(*keys, "e.*")
+    return nights.select(*keys, F.explode_outer(let(samples, events)).alias("e")).filter("e is not null").select(*keys, "e.*")
 
 
 def pole_star(nights: DataFrame, keys: list[str], offset: float) -> DataFrame:

@@ -2,49 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.functions import planets, sky
+from nightloom.functions.geo import rounded
 from nightloom.operators import astro, sky_events
+from nightloom.operators.graph import dealt, settle
 from nightloom.plans import funnel, inputs
 from nightloom.plans.inputs import OFFSET, table
 
-KEYS = ["id", "night"]
 
+def of_sites(spark: SparkSession, sf_dir: str, told: Callable[[DataFrame, list[str], float], DataFrame], ridge: bool = False) -> DataFrame:
+    """What ``told`` says of the suppliers' sites in the nights that a run goes on with: id and the columns that it gives.
 
-def dark_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' sites, with their profiles, and the nights that a run goes on with: dark_start, dark_end, lat, lon, profile."""
+    Sites at one place (and, where the ``ridge`` counts, of one profile) see the same sky, so that is worked out once for each
+    such spot, named by its first site, and sites are joined with their spot.
+    """
     chosen = [r["night"] for r in funnel.Explore(spark, sf_dir).nights.filter("reason is null").select("night").orderBy("night").collect()]  # as many as a run goes on with
-    sites = inputs.few_sites(spark, sf_dir).withColumn("night", F.explode(F.array(*map(F.lit, chosen)).cast("array<date>")))
-    nights = astro.night_events(sites, OFFSET).filter("dark_start is not null and dark_end is not null")
-    return nights.join(inputs.profiles(spark, sf_dir).withColumnRenamed("horizon_no", "id"), "id", "left")
+    sites, by = inputs.few_sites(spark, sf_dir).select("id", "lat", "lon"), ["lat", "lon"]
+    if ridge:
+        sites, by = sites.join(inputs.profiles(spark, sf_dir).withColumnRenamed("horizon_no", "id"), "id"), [*by, "profile"]
+    spots = settle(sites.groupBy(*by).agg(F.min("id").alias("spot")))
+    places = spots.select("lat", "lon").distinct().withColumn("night", F.explode(F.array(*map(F.lit, chosen)).cast("array<date>")))
+    nights = astro.night_events(dealt(places, 100), OFFSET).filter("dark_start is not null and dark_end is not null")
+    found = settle(shown(told(dealt(spots.join(nights, ["lat", "lon"]), 50), ["spot", "night"], OFFSET)))
+    return sites.join(spots, by).select("id", "spot").join(found, "spot").drop("spot")
 
 
 def shown(df: DataFrame) -> DataFrame:
-    kinds = {"timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm"), "double": lambda c: F.round(c, 4), "date": lambda c: F.col(c).cast("string")}
+    kinds = {"timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm"), "double": lambda c: rounded(F.col(c), 4), "date": lambda c: F.col(c).cast("string")}
     return df.select(*(kinds.get(f.dataType.simpleString(), F.col)(f.name).alias(f.name) for f in df.schema))
 
 
 def ridge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bright stars that come over a site's ridge and go behind it."""
-    return shown(sky_events.object_events(dark_nights(spark, sf_dir), KEYS, OFFSET))
+    return of_sites(spark, sf_dir, sky_events.object_events, ridge=True)
 
 
 def moon_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(sky_events.moon_events(dark_nights(spark, sf_dir), KEYS, OFFSET))
+    return of_sites(spark, sf_dir, sky_events.moon_events)
 
 
 def pole_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(sky_events.pole_star(dark_nights(spark, sf_dir), KEYS, OFFSET))
+    return of_sites(spark, sf_dir, sky_events.pole_star)
 
 
 def planet_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the planets stand at the time of each event: ecliptic of the date, and over a place that the user gives."""
     e = table(spark, sf_dir, "events").select("event_id", sky.days(F.col("ts")).alias("d"), (30 + F.col("user_id") % 15).cast("double").alias("lat"), (130 + F.col("user_id") % 20).cast("double").alias("lon"))
     rows = e.withColumn("o", F.explode(planets.listed())).withColumns({"g": planets.ecliptic(F.col("d"), F.col("o")), "h": planets.horizontal(F.col("d"), F.col("lat"), F.col("lon"), F.col("o"))})
-    rounded = (F.round(c, 4).alias(n) for c, n in (("g.lon", "ecliptic_lon"), ("g.lat", "ecliptic_lat"), ("g.distance", "distance"), ("h.alt", "alt"), ("h.az", "az")))
-    return rows.select("event_id", F.col("o.name").alias("planet"), *rounded)
+    shown_at = (rounded(F.col(c), 4).alias(n) for c, n in (("g.lon", "ecliptic_lon"), ("g.lat", "ecliptic_lat"), ("g.distance", "distance"), ("h.alt", "alt"), ("h.az", "az")))
+    return rows.select("event_id", F.col("o.name").alias("planet"), *shown_at)
 
 
 def horizontal_sql(d: str, ra: str, dec: str) -> tuple[str, str]:

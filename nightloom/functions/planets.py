@@ -67,6 +67,11 @@ def ecliptic(d: Column, of: Column) -> Column:
 
 def horizontal(d: Column, lat: Column, lon: Column, of: Column) -> Column:
     """struct(alt, az) of a planet at a place."""
+    return seen_from(d, lat, lon, ecliptic(d, of))
+
+
+def seen_from(d: Column, lat: Column, lon: Column, ecliptic: Column) -> Column:
+    """struct(alt, az), at a place, of what stands at ``ecliptic`` (lon, lat)."""
 
     def over(e: Column) -> Column:
         ra, dec = sky.equatorial(e["lon"], e["lat"])
@@ -77,4 +82,4 @@ def horizontal(d: Column, lat: Column, lon: Column, of: Column) -> Column:
 
         return let(F.struct(ra.alias("ra"), dec.alias("dec")), at)
 
-    return let(ecliptic(d, of), over)
+    return let(ecliptic, over)

@@ -53,7 +53,7 @@ def pole_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planet_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the planets stand at the time of each event: ecliptic of the date, and over a place that the user gives."""
     e = table(spark, sf_dir, "events").select("event_id", sky.days(F.col("ts")).alias("d"), (30 + F.col("user_id") % 15).cast("double").alias("lat"), (130 + F.col("user_id") % 20).cast("double").alias("lon"))
-    rows = e.withColumn("o", F.explode(planets.listed())).withColumns({"g": planets.ecliptic(F.col("d"), F.col("o")), "h": planets.horizontal(F.col("d"), F.col("lat"), F.col("lon"), F.col("o"))})
+    rows = dealt(e, 20_000).withColumn("o", F.explode(planets.listed())).withColumn("g", planets.ecliptic(F.col("d"), F.col("o"))).withColumn("h", planets.seen_from(F.col("d"), F.col("lat"), F.col("lon"), F.col("g")))  # the ecliptic once
     shown_at = (rounded(F.col(c), 4).alias(n) for c, n in (("g.lon", "ecliptic_lon"), ("g.lat", "ecliptic_lat"), ("g.distance", "distance"), ("h.alt", "alt"), ("h.az", "az")))
     return rows.select("event_id", F.col("o.name").alias("planet"), *shown_at)
 

@@ -29,4 +29,12 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters of two names as they are."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    matcher, out = difflib.SequenceMatcher(), []
+    last = None
+    for x, y in zip(a, b, strict=True):
+        if y != last:  # the index of a second name serves all its neighbours
+            matcher.set_seq2(y)
+            last = y
+        matcher.set_seq1(x)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype="float64")

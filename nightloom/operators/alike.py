@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nightloom.functions import names
 from nightloom.functions.geo import let
-from nightloom.operators.graph import settle
+from nightloom.operators.graph import parts_for, settle
 from nightloom.operators.nearby import within
 
 #: Least ratio, tokens of a key, counters of the sketch that orders tokens (a power of two), metres.
@@ -67,7 +67,8 @@ def candidates(a: DataFrame, b: DataFrame, ratio: float = RATIO) -> DataFrame:
     sketch = left.unionByName(right).select(F.explode("tokens").alias("t")).groupBy(F.pmod(F.xxhash64("t"), F.lit(SKETCH)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n"))
     held = F.map_from_entries(F.collect_list(F.struct("at", "n")))  # at most SKETCH entries
     counts = sketch.groupBy().agg(held.alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0).cast("long"))).alias("counts"))
-    ours, theirs = keyed(left, counts, ratio), keyed(right, counts, ratio)
+    tasks = parts_for(left.count() + right.count(), 2_000)  # by names: few bytes make many pairs
+    ours, theirs = keyed(left, counts, ratio).repartition(tasks, "key"), keyed(right, counts, ratio).repartition(tasks, "key")
     met = ours.join(theirs.select(F.col("name").alias("b_name"), F.col("tokens").alias("b_tokens"), "key"), "key")
     both = F.size("tokens") + F.size("b_tokens")
     fits = (2 * F.least(F.size("tokens"), F.size("b_tokens")) >= ratio * both - 1e-9) & (2 * F.size(F.array_intersect("tokens", "b_tokens")) >= ratio * both - 1e-9)
@@ -79,7 +80,9 @@ def alike(a: DataFrame, b: DataFrame, ratio: float = RATIO) -> DataFrame:
 
     Names are compared as they are, so callers normalise them first. Null and empty names are alike to none.
     """
-    return candidates(a, b, ratio).withColumn("ratio", names.ratio("name", "b_name")).filter(F.col("ratio") >= ratio)
+    pairs = settle(candidates(a, b, ratio))
+    pairs = pairs.repartition(parts_for(pairs.count(), 20_000), "b_name").sortWithinPartitions("b_name")  # a name's pairs stand together
+    return pairs.withColumn("ratio", names.ratio("name", "b_name")).filter(F.col("ratio") >= ratio)
 
 
 def checked(new: DataFrame, known: DataFrame, ratio: float = RATIO, near: float = NEAR) -> DataFrame:
@@ -96,7 +99,8 @@ def checked(new: DataFrame, known: DataFrame, ratio: float = RATIO, near: float
     best = F.max(F.struct("ratio", (-F.col("b_id")).alias("back")))
     by_name = pairs.join(copies, "b_name").groupBy("name").agg(F.sum("n").alias("alike"), best.alias("best"))
     placed = lambda d: d.filter("lat is not null and lon is not null")
-    around = within(placed(new), placed(known), near).select("row", "name", "b_name")
+    # the fewer rows go around: known ones stay in their cells
+    around = within(placed(known), placed(new), near).select(F.col("b_row").alias("row"), F.col("b_name").alias("name"), F.col("name").alias("b_name"))
     around = around.join(pairs.select("name", "b_name", F.lit(True).alias("known")), ["name", "b_name"], "left")
     by_place = around.groupBy("row").agg(F.count(F.lit(1)).alias("close"), F.count(F.when(F.col("known").isNull(), 1)).alias("only_close"))
     found = new.join(by_name, "name", "left").join(by_place, "row", "left")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HREF = r'<a [^>]*href="([^"]*)"'
+#: Elements of a batch.
+MOST = 1 << 13
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -52,16 +54,23 @@ class Elements(HTMLParser):
             self.rows[self.stack[-1]][4] += data
 
 
-def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for page_id, html in zip(pdf["page_id"], pdf["html"], strict=True):
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch for every MOST elements, whatever pages come at once; a page's text is a Python string only while it is parsed."""
+    names = ["page_id", "n", "parent", "depth", "name", "text"]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 4, *[pa.string()] * 2], strict=True)], names)
+    for batch in batches:
+        out: list[tuple] = []
+        for page_id, html in zip(batch.column("page_id"), batch.column("html"), strict=True):
             p = Elements()
-            p.feed(html or "")
-            out += [(page_id, *r) for r in p.rows]
-        yield pd.DataFrame(out, columns=["page_id", "n", "parent", "depth", "name", "text"])
+            p.feed(html.as_py() or "")
+            out += [(page_id.as_py(), *r) for r in p.rows]
+            if len(out) >= MOST:
+                yield made(out)
+                out = []
+        if out:
+            yield made(out)
 
 
 def elements(pages: DataFrame) -> DataFrame:
     """A row for each element: page_id, n, parent, depth, name, text."""
-    return pages.select("page_id", "html").mapInPandas(parsed, "page_id long, n long, parent long, depth long, name string, text string")
+    return pages.select("page_id", "html").mapInArrow(parsed, "page_id long, n long, parent long, depth long, name string, text string")

@@ -22,7 +22,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightloom.llm.common import HOT, joined, settle
@@ -255,12 +255,6 @@ def blocks(pdf, similar: float):
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def still_open(met: DataFrame, comps: DataFrame, named) -> DataFrame:
-    """Members of buckets that hold several classes, without the pivot, which everybody has met: key, node, comp, large (of the
-    bucket's largest class), n_large, n_small."""
-    return several(named(met.filter("node != pivot").select("key", "node"), "node", "comp", comps))
-
-
 def several(rows: DataFrame) -> DataFrame:
     """Members (key, node, comp) of the buckets that hold several classes, with large, n_large and n_small."""
     each = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -326,26 +320,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["of"]) & (docs["__h"] == wanted["h"])).select("text", "node", "print")
     sets = settle(texts.mapInArrow(partial(element_lists, words=words), "node long, elements array<bigint>").dropDuplicates(["node"]))
 
-    def with_elements(some: DataFrame, x: str, y: str, rows: int) -> DataFrame:
-        """Links with the elements of their node ``x``. A node that many links share has copies, each for a part of these."""
-        often = some.groupBy(x).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") * HOT > rows) & (F.col("n") > FEW)).select(x, F.ceil(F.col("n") * HOT / rows).cast("int").alias("parts"))
-        few = often.collect()  # fewer than HOT
-        own = sets.select(F.col("node").alias(x), F.col("elements").alias(f"of_{x}"))
-        if not few:
-            return some.join(own, x)
-        hot, parts = F.broadcast(some.sparkSession.createDataFrame(few, often.schema)), F.coalesce("parts", F.lit(1))
-        own = own.join(hot, x, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-        return some.join(hot, x, "left").withColumn("part", F.pmod(F.xxhash64(y), parts).cast("int")).drop("parts").join(own, [x, "part"]).drop("part")
+    def copies(some: DataFrame, x: str, rows: int) -> Column:
+        """Copies that a node of ``some`` has, each for a part of its links: 1, but for nodes that many links share a power of two."""
+        often = some.groupBy(x).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") * HOT > rows) & (F.col("n") > FEW))
+        by_parts: dict[int, list[int]] = {}
+        for node, n in often.collect():  # fewer than HOT
+            by_parts.setdefault(1 << math.ceil(math.log2(max(2, n * HOT / rows))), []).append(node)
+        return F.coalesce(*(F.when(F.col(x).isin(found), parts) for parts, found in by_parts.items()), F.lit(1))
 
     def verified(some: DataFrame) -> DataFrame:
         """Those of the links that hold; settled in as many tasks as the work has, then few partitions."""
         some = kept(some)
         rows = some.count()
+        parts_of = {x: copies(some, x, rows) for x in "ab"}  # before elements are joined, which are large
+        for x, y in ("ab", "ba"):
+            own = sets.select(F.col("node").alias(x), F.col("elements").alias(f"of_{x}"))
+            own = own.withColumn("part", F.explode(F.sequence(F.lit(0), parts_of[x] - 1)))
+            some = some.withColumn("part", F.pmod(F.xxhash64(y), parts_of[x]).cast("int")).join(own, [x, "part"]).drop("part")
         n = F.size("of_a") + F.size("of_b")
         both = F.size(F.array_intersect("of_a", "of_b"))
         close = F.least(F.size("of_a"), F.size("of_b")) >= similar * F.greatest(F.size("of_a"), F.size("of_b")) - 1e-9
-        pairs = with_elements(with_elements(some, "a", "b", rows), "b", "a", rows) if rows else some.withColumns({"of_a": F.array().cast("array<bigint>"), "of_b": F.array().cast("array<bigint>")})
-        return settle(pairs.filter(close).filter(both >= similar * (n - both) - 1e-9).select("a", "b")).coalesce(parts)
+        return settle(some.filter(close).filter(both >= similar * (n - both) - 1e-9).select("a", "b")).coalesce(parts)
 
     def named(rows: DataFrame, col: str, out: str, comps: DataFrame) -> DataFrame:
         c = comps.select(F.col("node").alias(col), F.col("comp").alias(out))
@@ -359,6 +354,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("comp"))
         return kept(comps.union(fresh).join(over.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
 
+    def still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
+        """Of members (key, node) of buckets those whose bucket still holds several classes. Classes only grow, so the next round
+        need only ask for these."""
+        return kept(several(kept(named(members.select("key", "node"), "node", "comp", comps))))
+
     # Each node first meets the pivot that it shares the most bands with; mostly that joins a class.
     sides = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "bands").union(pairs.select("b", "a", "bands"))
     best = sides.groupBy("node").agg(F.max_by("other", F.col("bands") * 1000 + F.pmod(F.xxhash64("node", "other"), F.lit(1000))).alias("other"))
@@ -368,8 +368,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = named(named(pairs.join(first, ["a", "b"], "left_anti"), "a", "of_a", comps), "b", "of_b", comps).filter("of_a != of_b").select("a", "b")
     comps = merged(comps, verified(rest))
     # Then members of a bucket that still holds several classes: those outside its largest class meet members of that.
+    left = met.filter("node != pivot")  # whom everybody has met
     for seed in range(MEETINGS):
-        left = kept(still_open(met, comps, named))
+        left = still_open(left, comps)
         if left.isEmpty():
             break
         other = left.filter("large").groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key", F.lit(seed))).alias("pivot"))
@@ -377,7 +378,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         comps = merged(comps, verified(again))
     # Last, whoever is still outside, and shares a rare element with one of another class, meets everybody of the bucket of whom
     # that is true, in blocks of bounded size.
-    left = kept(still_open(met, comps, named))
+    left = still_open(left, comps)
     if not left.isEmpty():
         still = settle(left.select("node", "comp").distinct().join(sets, "node"))
         rare = still.mapInArrow(partial(rare_elements, counts=sketch(still), similar=similar), "key long, node long, comp long")
@@ -396,7 +397,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         task = task.groupBy("s", "c", "i", "j").agg(F.min("key").alias("key")).select("key", "i", "j")
         held = spread.join(task, ["key", "i", "j"]).join(sets, "node")
         links = held.groupBy("key", "i", "j").applyInPandas(lambda pdf: blocks(pdf, similar), "a long, b long").distinct()
-        comps = merged(comps, verified(settle(links)))
+        comps = merged(comps, settle(links))  # compared on whole texts' elements as ``verified`` does
     labels = settle(nodes.join(comps, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"), "copies"))
     rows_ = settle(joined(full.select("doc_id", *carry, "print"), labels, ["print"], "copies", total))
     by = F.struct("doc_id", "print")

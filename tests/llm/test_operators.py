@@ -144,6 +144,36 @@ def test_a_crowd_of_near_copies(spark, monkeypatch, few):
     assert sorted(repr((r.doc_id, r.class_id, r.class_size)) for r in got) == near_truth(texts)
 
 
+def joined_rows(spark, since: int) -> int:
+    """Rows that outer joins have made in the queries after ``since``."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        if run > since:
+            found, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                if "Join" in node.name() and "LeftOuter" in node.desc():
+                    metrics = node.metrics()
+                    for m in (metrics.apply(i) for i in range(metrics.size())):
+                        if m.name() == "number of output rows" and found.contains(m.accumulatorId()):
+                            total += int(found.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_few_rows_go_around_for_a_popular_pivot(spark, monkeypatch):
+    """Links of popular nodes are told apart without a join, their elements are joined once, and rounds ask for open buckets only."""
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    base = prose(7, 150).replace("\n", " ")
+    texts = [(i, edited(base, 40 + i % 9, i)) for i in range(120)] + [(1000 + i, edited(edited(base, 25, 5), 30, i)) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    since = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+    near_dedup.near_classes(docs).collect()
+    rows = joined_rows(spark, since)
+    assert 0 < rows < 20_000, rows
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     shared, own = rng.integers(1, 1 << 60, 600, dtype=np.uint64), rng.integers(1, 1 << 60, (2, 200), dtype=np.uint64)

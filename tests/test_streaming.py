@@ -131,3 +131,35 @@ def test_snapshots_expire_by_model(spark, tmp_path):
                 want.append((k, i, at, hit, fetched))
     assert sorted((r.k, r.id, r["at"], r.hit, r.fetched) for r in got if r.k < 3) == sorted(want)
     assert {r.hit for r in got} == {True, False}
+
+
+def test_what_a_call_brings_waits_as_one_value():
+    """A value for each row would go to the state store and back one by one."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.values, self.timers = [], []
+
+        def appendValue(self, value):
+            self.values.append(value)
+
+        def appendList(self, values):
+            self.values += values
+
+        def getListState(self, name, schema):
+            return self
+
+        def getValueState(self, name, schema):
+            return self
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    held, of = Held(), stateful.Snapshots(["k"])
+    of.init(held)
+    list(of.handleInputRows((1,), iter([pd.DataFrame({"at": range(5, 55), "id": range(50), "ttl": [3] * 50})]), held))
+    assert len(held.values) == 1 and held.timers == [5]

@@ -133,7 +133,7 @@ def test_snapshots_expire_by_model(spark, tmp_path):
     assert {r.hit for r in got} == {True, False}
 
 
-def test_what_a_call_brings_waits_as_one_value():
+def test_what_a_call_brings_for_many_keys_waits_as_one_value():
     """A value for each row would go to the state store and back one by one."""
     import pandas as pd
 
@@ -159,7 +159,7 @@ def test_what_a_call_brings_waits_as_one_value():
         def getCurrentWatermarkInMs(self):
             return 0
 
-    held, of = Held(), stateful.Snapshots(["k"])
+    held, of = Held(), stateful.Snapshots()
     of.init(held)
-    list(of.handleInputRows((1,), iter([pd.DataFrame({"at": range(5, 55), "id": range(50), "ttl": [3] * 50})]), held))
+    list(of.handleInputRows((1,), iter([pd.DataFrame({"key_text": ["a", "b"] * 25, "at": range(5, 55), "id": range(50), "ttl": [3] * 50})]), held))
     assert len(held.values) == 1 and held.timers == [5]

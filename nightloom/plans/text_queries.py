@@ -106,8 +106,9 @@ def html_links(spark, sf_dir):
 
 @query()
 def html_tree(spark, sf_dir):
-    """Elements of each page with their depth and own text, by an HTML parser in Arrow batches."""
-    return pages.elements(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("elements"), F.max("depth").alias("depth"))
+    """Elements of each page with their depth and own text, by an HTML parser in Arrow batches: how many, the greatest depth (null
+    without any), the elements themselves, and the text outside them."""
+    return pages.trees(table(spark, sf_dir, "pages")).select("page_id", F.size("tree").cast("long").alias("elements"), F.array_max(F.transform("tree", lambda x: x["depth"])).alias("depth"), "tree", "outside")
 
 
 @query("""SELECT c_custkey, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped, replace(replace(replace(x, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS embedded, length(c_name) AS width FROM (SELECT c_custkey, c_name, '<b>"' || c_name || '" & ''co''</b>' AS x FROM customer)""")

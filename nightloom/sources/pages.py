@@ -31,15 +31,18 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 class Elements(HTMLParser):
-    """(order, parent's order, depth, name, own text) of every element of one page."""
+    """(order, parent's order, depth, name, pieces of own text) of every element of one page, and the text outside all elements.
+
+    Pages are fed whole and closed: what a page leaves unfinished at its end is text."""
 
     def __init__(self):
         super().__init__()
-        self.rows: list[list] = []
+        self.rows: list[tuple[int, int, int, str, list[str]]] = []
         self.stack: list[int] = []
+        self.outside: list[str] = []
 
     def handle_starttag(self, tag, attrs):
-        self.rows.append([len(self.rows), self.stack[-1] if self.stack else -1, len(self.stack), tag, ""])
+        self.rows.append((len(self.rows), self.stack[-1] if self.stack else -1, len(self.stack), tag, []))
         if tag not in VOID:
             self.stack.append(len(self.rows) - 1)
 
@@ -50,27 +53,51 @@ class Elements(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if self.stack and data.strip():
-            self.rows[self.stack[-1]][4] += data
+        if data.strip():
+            (self.rows[self.stack[-1]][4] if self.stack else self.outside).append(data)
+
+    def close(self):
+        super().close()
+        if self.rawdata:  # of a script or style without an end, which the parser keeps back
+            self.handle_data(self.rawdata)
+            self.rawdata = ""
+
+
+ELEMENT = pa.struct([("n", pa.int64()), ("parent", pa.int64()), ("depth", pa.int64()), ("name", pa.string()), ("text", pa.string())])
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A batch for every MOST elements, whatever pages come at once; a page's text is a Python string only while it is parsed."""
-    names = ["page_id", "n", "parent", "depth", "name", "text"]
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 4, *[pa.string()] * 2], strict=True)], names)
+    names = ["page_id", "tree", "outside"]
+
+    def made(ids: list, ends: list[int], rows: list[tuple], outside: list[str]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(ELEMENT)
+        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ELEMENT, strict=True)], fields=list(ELEMENT))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(outside, pa.string())], names)
+
     for batch in batches:
-        out: list[tuple] = []
+        ids, ends, rows, outside = [], [0], [], []
         for page_id, html in zip(batch.column("page_id"), batch.column("html"), strict=True):
             p = Elements()
             p.feed(html.as_py() or "")
-            out += [(page_id.as_py(), *r) for r in p.rows]
-            if len(out) >= MOST:
-                yield made(out)
-                out = []
-        if out:
-            yield made(out)
+            p.close()
+            ids.append(page_id.as_py())
+            rows += [(*r[:4], "".join(r[4])) for r in p.rows]
+            ends.append(len(rows))
+            outside.append("".join(p.outside))
+            if len(rows) >= MOST:
+                yield made(ids, ends, rows, outside)
+                ids, ends, rows, outside = [], [0], [], []
+        if ids:
+            yield made(ids, ends, rows, outside)
+
+
+def trees(pages: DataFrame) -> DataFrame:
+    """A row for each page, also for those without elements: page_id, tree (array of its elements: n, parent, depth, name, own text)
+    and outside, its text outside all elements."""
+    return pages.select("page_id", "html").mapInArrow(parsed, "page_id long, tree array<struct<n:long,parent:long,depth:long,name:string,text:string>>, outside string")
 
 
 def elements(pages: DataFrame) -> DataFrame:
     """A row for each element: page_id, n, parent, depth, name, text."""
-    return pages.select("page_id", "html").mapInArrow(parsed, "page_id long, n long, parent long, depth long, name string, text string")
+    return trees(pages).select("page_id", F.inline("tree"))

@@ -1,78 +1,114 @@
-"""Names that are alike: a similarity join by sequence matching that loses no pair and doesn't look at all pairs.
-
-The ratio of two names is at most twice the characters that they have in common (as a multiset) by the sum of their lengths.
-So names of a ratio of at least r have many common tokens (a character and which occurrence of it this is), and at least M
-of them are among each one's rarest: a key of M rare tokens is shared. Names meet by such keys, then by length and common
-tokens, and only what is left is matched character by character. Distinct names are joined, records fan out from them.
+"""Names that are alike: a similarity join by sequence matching that loses no pair.
+
+The ratio of two names is at most twice the characters that they have in common (as a multiset) by the sum of their lengths,
+and also twice the length of their longest common subsequence by that sum. Distinct names of either side are dealt to
+blocks; of two blocks the pairs of fitting lengths are counted by a matrix product of their characters, then by common
+subsequences with the bits of a word, both for many pairs at once, and only what is left is matched block by block of
+characters. Records fan out from distinct names. That looks at all pairs of fitting lengths, at some nanoseconds each: names of
+few characters have too many keys in common for a join by keys to look at fewer.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from nightloom.functions import names
-from nightloom.functions.geo import let
 from nightloom.operators.graph import parts_for, settle
 from nightloom.operators.nearby import within
 
-#: Least ratio, tokens of a key, counters of the sketch that orders tokens (a power of two), metres.
-RATIO, TOGETHER, SKETCH, NEAR = 0.8, 3, 1 << 12, 200.0
-
-
-def tokens(name: Column) -> Column:
-    """The characters of a name, each with the number of its occurrence."""
-    chars = F.filter(F.split(name, ""), lambda c: c != "")
-    return let(chars, lambda cs: F.transform(cs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(cs, F.lit(1), i + 1), lambda x: x == c)).cast("string"))))
-
-
-def least_common(length: Column, ratio: float) -> Column:
-    """Tokens that a name of so many has at least in common with any name of that ratio."""
-    return F.ceil(length * (ratio / (2 - ratio)) - 1e-9).cast("int")
-
-
-def keyed(listed: DataFrame, counts: DataFrame, ratio: float) -> DataFrame:
-    """key, name, tokens of every distinct name, a row for each key; names of one character class are never lost.
-
-    Tokens are in the order of ``counts`` (rare ones first), which is the same for all names. Of a name's first tokens, as many
-    are left out as keep TOGETHER of those that it shares with any partner among the rest. Names too short to share so many
-    have single tokens as keys too, and so have the names that are short enough to be their partners.
-    """
-    n, common = F.size("tokens"), least_common(F.size("tokens"), ratio)
-    short = max(k for k in range(TOGETHER * 2) if math.ceil(k * ratio / (2 - ratio) - 1e-9) < TOGETHER)
-    partners = math.floor(short * (2 - ratio) / ratio + 1e-9)
-    place = lambda t: F.struct(F.get(F.col("counts"), F.pmod(F.xxhash64(t), F.lit(SKETCH)).cast("int")).alias("n"), t.alias("t"))
-    ordered = F.transform(F.array_sort(F.transform("tokens", place)), lambda x: x["t"])
-    rows = listed.filter(n > 0).crossJoin(F.broadcast(counts)).withColumn("rare", ordered).drop("counts")  # one row of SKETCH numbers
-
-    def after(x: Column, i: Column) -> Column:
-        return F.slice(x, i + 2, F.size(x))
-
-    def together(p: Column) -> Column:  # all choices of three, in order
-        pairs = lambda q: F.flatten(F.transform(q, lambda b, j: F.transform(after(q, j), lambda c: F.struct(b.alias("b"), c.alias("c")))))
-        return F.flatten(F.transform(p, lambda a, i: let(after(p, i), lambda q: F.transform(pairs(q), lambda x: F.xxhash64(a, x["b"], x["c"])))))
-
-    whole = F.when(common >= TOGETHER, let(F.slice("rare", F.lit(1), n - common + TOGETHER), together))
-    single = F.when(n <= partners, F.transform(F.slice("rare", F.lit(1), n - common + 1), lambda t: F.xxhash64(F.lit("single"), t)))
-    none = F.array().cast("array<bigint>")
-    return rows.select("name", "tokens", F.explode(F.array_distinct(F.concat(F.coalesce(whole, none), F.coalesce(single, none)))).alias("key"))
+#: Least ratio, metres.
+RATIO, NEAR = 0.8, 200.0
+#: Distinct names of a block of the first and the second side; of the first that are compared at once; pairs at once.
+BLOCKS, CHUNK, PAIRS = (8192, 16_384), 512, 1 << 17
+#: Columns of the matrices and character codes of the masks: what comes later shares them, which only lets more pairs through.
+COLUMNS, CODES = 256, 2048
+
+
+def counted(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each name how many of its tokens (a character and which occurrence of it this is) each column has; frequent ones come first."""
+    listed, number = [], Counter()
+    for name in (*left, *right):
+        seen = Counter()
+        own = []
+        for c in name:
+            own.append((c, seen[c]))
+            seen[c] += 1
+        listed.append(own)
+        number.update(own)
+    column = {t: i % COLUMNS for i, (t, _) in enumerate(number.most_common())}
+    out = np.zeros((len(listed), min(COLUMNS, max(1, len(number)))), np.float32)
+    sizes = np.array([len(x) for x in listed], np.int64)
+    np.add.at(out, (np.repeat(np.arange(len(listed)), sizes), np.array([column[t] for x in listed for t in x], np.int64)), 1)
+    return out[: len(left)], out[len(left) :]
+
+
+def coded(names: list[str], code: dict[str, int]) -> np.ndarray:
+    """A line of character codes for each name, filled up with CODES."""
+    out = np.full((len(names), max(map(len, names), default=0)), CODES, np.int32)
+    for i, name in enumerate(names):
+        out[i, : len(name)] = [code[c] for c in name]
+    return out
+
+
+def subsequence(masks: np.ndarray, sizes: np.ndarray, codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of a first name ``i`` (its ``masks``: for each code the bits of the
+    places that have it) and a second one ``j`` (its ``codes``); for a first name of over 64 characters its size."""
+    row = np.full(len(i), ~np.uint64(0))
+    for t in range(codes.shape[1]):
+        met = row & masks[i, codes[j, t]]
+        row = (row + met) | (row - met)
+    m = sizes[i]
+    low = np.where(m >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(m, 63).astype(np.uint64)) - np.uint64(1))
+    return np.where(m > 64, m, np.minimum(m, 64) - np.bitwise_count(row & low))
+
+
+def met(left: list[str], right: list[str], ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of two lists of names, both by length, that may have the ratio."""
+    a, b = counted(left, right)
+    code = {c: n % CODES for n, (c, _) in enumerate(Counter("".join(left) + "".join(right)).most_common())}
+    size, b_size, codes = np.array([len(x) for x in left]), np.array([len(x) for x in right]), coded(right, code)
+    for lo in range(0, len(left), CHUNK):
+        some = left[lo : lo + CHUNK]
+        first, last = (np.searchsorted(b_size, k) for k in (math.floor(len(some[0]) * ratio / (2 - ratio) - 1e-9), math.floor(len(some[-1]) * (2 - ratio) / ratio + 1e-9) + 1))
+        masks = np.zeros((len(some), CODES + 1), np.uint64)
+        for k, name in enumerate(some):
+            for at, c in enumerate(name[:64]):
+                masks[k, code[c]] |= np.uint64(1 << at)
+        for start in range(first, last, PAIRS // CHUNK * 16):
+            end = min(last, start + PAIRS // CHUNK * 16)
+            least = ratio * (size[lo : lo + CHUNK, None] + b_size[None, start:end]) / 2 - 1e-6
+            i, j = np.nonzero((a[lo : lo + CHUNK] @ b[start:end].T >= least) & (np.minimum(size[lo : lo + CHUNK, None], b_size[None, start:end]) >= least))
+            for k in range(0, len(i), PAIRS):
+                x, y = i[k : k + PAIRS], j[k : k + PAIRS] + start
+                longest = codes[:, : b_size[y.max()]]
+                fits = subsequence(masks, size[lo : lo + CHUNK], longest, x, y) >= ratio * (size[lo + x] + b_size[y]) / 2 - 1e-6
+                yield lo + x[fits], y[fits]
 
 
 def candidates(a: DataFrame, b: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """name, b_name: pairs of distinct names of which none with that ratio is missing, with enough characters in common."""
-    listed = lambda d: d.select("name").filter("name is not null").distinct().withColumn("tokens", tokens(F.col("name")))
-    left, right = settle(listed(a)), settle(listed(b))
-    sketch = left.unionByName(right).select(F.explode("tokens").alias("t")).groupBy(F.pmod(F.xxhash64("t"), F.lit(SKETCH)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    held = F.map_from_entries(F.collect_list(F.struct("at", "n")))  # at most SKETCH entries
-    counts = sketch.groupBy().agg(held.alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0).cast("long"))).alias("counts"))
-    tasks = parts_for(left.count() + right.count(), 2_000)  # by names: few bytes make many pairs
-    ours, theirs = keyed(left, counts, ratio).repartition(tasks, "key"), keyed(right, counts, ratio).repartition(tasks, "key")
-    met = ours.join(theirs.select(F.col("name").alias("b_name"), F.col("tokens").alias("b_tokens"), "key"), "key")
-    both = F.size("tokens") + F.size("b_tokens")
-    fits = (2 * F.least(F.size("tokens"), F.size("b_tokens")) >= ratio * both - 1e-9) & (2 * F.size(F.array_intersect("tokens", "b_tokens")) >= ratio * both - 1e-9)
-    return met.filter(fits).select("name", "b_name").distinct()
+    """name, b_name: pairs of distinct names of which none with that ratio is missing, with enough characters in common in one order."""
+    listed = lambda d: settle(d.select("name").filter("name != ''").distinct())
+    left, right = listed(a), listed(b)
+    n, m = (max(1, math.ceil(d.count() / k)) for d, k in zip((left, right), BLOCKS, strict=True))
+
+    def dealt(d: DataFrame, own: str, parts: int, other: str, others: int) -> GroupedData:
+        """Each name in the block that its hash says, and that block beside every one of the other side."""
+        rows = d.withColumn(own, F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return rows.repartition(n * m, "i", "j").groupBy("i", "j")
+
+    def compared(x: pa.Table, y: pa.Table) -> pa.Table:
+        left, right = (sorted(t.column("name").to_pylist(), key=len) for t in (x, y))
+        out = [pa.table({"name": pa.array(left).take(pa.array(i)), "b_name": pa.array(right).take(pa.array(j))}) for i, j in met(left, right, ratio) if len(i)] if left and right else []
+        return pa.concat_tables(out) if out else pa.table({"name": pa.array([], pa.string()), "b_name": pa.array([], pa.string())})
+
+    return dealt(left, "i", n, "j", m).cogroup(dealt(right, "j", m, "i", n)).applyInArrow(compared, "name string, b_name string")
 
 
 def alike(a: DataFrame, b: DataFrame, ratio: float = RATIO) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,38 +67,50 @@ class Elements(HTMLParser):
 ELEMENT = pa.struct([("n", pa.int64()), ("parent", pa.int64()), ("depth", pa.int64()), ("name", pa.string()), ("text", pa.string())])
 
 
-def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch for every MOST elements, whatever pages come at once; a page's text is a Python string only while it is parsed."""
-    names = ["page_id", "tree", "outside"]
-
-    def made(ids: list, ends: list[int], rows: list[tuple], outside: list[str]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [()] * len(ELEMENT)
-        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ELEMENT, strict=True)], fields=list(ELEMENT))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(outside, pa.string())], names)
-
+def read(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(page_id, its elements, its text outside them) of pages with MOST elements together or a little more, whatever pages come at
+    once; a page's text is a Python string only while it is parsed."""
+    out, size = [], 0
     for batch in batches:
-        ids, ends, rows, outside = [], [0], [], []
         for page_id, html in zip(batch.column("page_id"), batch.column("html"), strict=True):
             p = Elements()
             p.feed(html.as_py() or "")
             p.close()
-            ids.append(page_id.as_py())
-            rows += [(*r[:4], "".join(r[4])) for r in p.rows]
-            ends.append(len(rows))
-            outside.append("".join(p.outside))
-            if len(rows) >= MOST:
-                yield made(ids, ends, rows, outside)
-                ids, ends, rows, outside = [], [0], [], []
+            out.append((page_id.as_py(), [(*r[:4], "".join(r[4])) for r in p.rows], "".join(p.outside)))
+            size += len(p.rows) + 1
+            if size >= MOST:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(ELEMENT), ELEMENT, strict=True)]
+
+
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each element."""
+    for pages in read(batches):
+        ids = [i for i, rows, _ in pages for _ in rows]
         if ids:
-            yield made(ids, ends, rows, outside)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns([r for _, rows, _ in pages for r in rows])], ["page_id", *(f.name for f in ELEMENT)])
+
+
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each page."""
+    for pages in read(batches):
+        flat = pa.StructArray.from_arrays(columns([r for _, rows, _ in pages for r in rows]), fields=list(ELEMENT))
+        ends = [0, *accumulate(len(rows) for _, rows, _ in pages)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pages], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([p[2] for p in pages], pa.string())], ["page_id", "tree", "outside"])
 
 
 def trees(pages: DataFrame) -> DataFrame:
     """A row for each page, also for those without elements: page_id, tree (array of its elements: n, parent, depth, name, own text)
     and outside, its text outside all elements."""
-    return pages.select("page_id", "html").mapInArrow(parsed, "page_id long, tree array<struct<n:long,parent:long,depth:long,name:string,text:string>>, outside string")
+    return pages.select("page_id", "html").mapInArrow(whole, "page_id long, tree array<struct<n:long,parent:long,depth:long,name:string,text:string>>, outside string")
 
 
 def elements(pages: DataFrame) -> DataFrame:
     """A row for each element: page_id, n, parent, depth, name, text."""
-    return trees(pages).select("page_id", F.inline("tree"))
+    return pages.select("page_id", "html").mapInArrow(parsed, "page_id long, n long, parent long, depth long, name string, text string")

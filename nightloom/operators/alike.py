@@ -4,8 +4,8 @@ The ratio of two names is at most twice the characters that they have in common
 and also twice the length of their longest common subsequence by that sum. Distinct names of either side are dealt to
 blocks; of two blocks the pairs of fitting lengths are counted by a matrix product of their characters, then by common
 subsequences with the bits of a word, both for many pairs at once, and only what is left is matched block by block of
-characters. Records fan out from distinct names. That looks at all pairs of fitting lengths, at some nanoseconds each: names of
-few characters have too many keys in common for a join by keys to look at fewer.
+characters. Records fan out from distinct names. That looks at all pairs of fitting lengths, by a few operations of
+arithmetic each, and is quadratic in the distinct names.
 """
 
 from __future__ import annotations
